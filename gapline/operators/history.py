@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gapline.functions.times import days_between, hours_between
-from gapline.operators.scale import (HOT_ROWS, ONE_GROUP, SEGMENT, carry, is_one_of, split_hot,
-                                     union_parts)
+from gapline.operators.quantiles import quantiles
+from gapline.operators.scale import (HOT_ROWS, SEGMENT, carry, split_hot, union_parts,
+                                     with_totals)
 
 FAR = 3  # how many earlier gaps the short rolling means look at
 
@@ -72,7 +73,8 @@ def _gaps_in_segments(rows: DataFrame, tl: Timeline) -> DataFrame:
 
 def with_history(df: DataFrame, tl: Timeline = Timeline(), *, zero_gaps: str = "drop",
                  no_history: str = "null", since: str = "first_record",
-                 first_repair: str = "retained", hot_rows: int = HOT_ROWS) -> DataFrame:
+                 first_repair: str = "retained", records: int = 1,
+                 hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per failure after the device's first, with features of the earlier rows only.
 
     zero_gaps     "drop" removes rows with gap 0 before the history is taken, "keep" leaves them
@@ -81,6 +83,7 @@ def with_history(df: DataFrame, tl: Timeline = Timeline(), *, zero_gaps: str = "
     since         days_running counts from the "first_record" or the "first_retained" one
     first_repair  repair history where nothing came before: the "retained" row's own repair
                   or that of the device's first "record"
+    records       devices with fewer records in all are left out
     Added: hist_count, hist_mean_gap, hist_std_gap, last_gap, recent3_gap, rolling3_gap,
     prev_gap, prev_repair, hist_mean_repair, last_repair, days_running, hist_rate.
     """
@@ -90,8 +93,15 @@ def with_history(df: DataFrame, tl: Timeline = Timeline(), *, zero_gaps: str = "
     _check("first_repair", first_repair, ("retained", "record"))
     keep = F.col("gap_h") > 0 if zero_gaps == "drop" else F.col("gap_h").isNotNull()
     cold, hot = split_hot(df, tl.device, tl.order, hot_rows)
-    cold = _state(_gaps(cold, tl).filter(keep), tl)
+    cold = _gaps(cold, tl)
+    if records > 2:
+        # A window on the same partitioning: no exchange of its own.
+        whole = Window.partitionBy(tl.device)
+        cold = cold.withColumn("_records", F.count(F.lit(1)).over(whole))
+        cold = cold.filter(F.col("_records") >= records).drop("_records")
+    cold = _state(cold.filter(keep), tl)
     if hot is not None:
+        hot = min_records(hot, records, tl.device) if records > hot_rows else hot
         hot = _state_in_segments(_gaps_in_segments(hot, tl).filter(keep), tl)
     return _features(union_parts(cold, hot), tl, no_history, since, first_repair)
 
@@ -234,9 +244,6 @@ def drop_first_records(df: DataFrame, gap: str = "gap_h") -> DataFrame:
 def cut_above_quantile(df: DataFrame, prob: float, value: str = "gap_h", strict: bool = False,
                        hot_rows: int = HOT_ROWS) -> DataFrame:
     """Keep values up to (strict: below) an exact quantile of the whole table."""
-    from gapline.operators.quantiles import quantiles
-    from gapline.operators.scale import with_totals
-
     bound = quantiles(df, value, {"_bound": prob}, hot_rows=hot_rows)
     inside = F.col(value) < F.col("_bound") if strict else F.col(value) <= F.col("_bound")
     return with_totals(df, bound).filter(inside).drop("_bound")
