@@ -14,7 +14,7 @@ from gapline.operators import history as h
 from gapline.operators.metrics import percentage_error
 from gapline.operators.select import feature_pool
 from gapline.operators.stats import type_profile
-from gapline.plans.cleaning import clean_work_orders
+from gapline.plans.cleaning import clean_work_orders, run_cleaning
 from gapline.plans.events import with_history_only
 from gapline.plans.reports import gap_repair_scatter
 from gapline.sources.logs import count_lines, read_result_lines, result_lines, split_lines
@@ -23,6 +23,7 @@ from gapline.sources.tables import (read_clean_work_orders, read_csv, read_raw_w
                                     standard_names, times_as_text, write_table)
 
 OWN = {n: n for n in STANDARD_NAMES}
+RULES = c.Rules(period=JUDGE_PERIOD)
 
 
 def folder_for(spark, name: str) -> str:
@@ -57,12 +58,13 @@ def _(spark, d):
 
 @query("s3_csv_sink_clean", "WITH " + JUDGED + f""" SELECT
   {", ".join(f"strftime({n}, '%Y-%m-%d %H:%M:%S') AS {n}" if n in
-   ("current_faildate", "repair_start_time", "repair_end_time", "start_of_operation") else n
+   ("current_faildate", "repair_start_time", "repair_end_time", "start_of_operation")
+   else "nullif(cause_desc, '') AS cause_desc" if n == "cause_desc" else n
    for n in STANDARD_NAMES if n not in ("prev_faildate", "cust_fixby", "responsible_person"))}
   FROM judged WHERE drop_reason IS NULL""")
 def _(spark, d):
     path = folder_for(spark, "clean")
-    write_table(clean_work_orders(raw(spark, d), JUDGE_PERIOD), path, "csv")
+    write_table(clean_work_orders(raw(spark, d), RULES), path, "csv")
     rows = times_as_text(read_clean_work_orders(spark, path, "csv"))
     return rows.drop("prev_faildate", "cust_fixby", "responsible_person")
 
@@ -115,8 +117,9 @@ def _(spark, d):
                                  keep_unmapped=True)
 
 
-@query("p3_schema_drift", """SELECT * FROM (VALUES ('unmapped', 'unmapped'),
-  ('missing_core', 'repair_end_time'), ('missing_time', 'repair_end_time')) t(issue, "column")""")
+@query("p3_schema_drift", "WITH " + RAW + """ SELECT 'unmapped' AS issue, 'unmapped' AS "column",
+  count(unmapped) AS rows FROM raw UNION ALL SELECT 'missing_core', 'repair_end_time', count(*) FROM raw
+  UNION ALL SELECT 'missing_time', 'repair_end_time', count(*) FROM raw""")
 def _(spark, d):
     return c.schema_drift(raw(spark, d).drop("repair_end_time"), OWN)
 
@@ -272,11 +275,18 @@ def _(spark, d):
 
 @query("cleaned_work_orders", "WITH " + JUDGED + f" SELECT {NAMES} FROM judged WHERE drop_reason IS NULL")
 def _(spark, d):
-    return clean_work_orders(raw(spark, d), JUDGE_PERIOD)
+    return clean_work_orders(raw(spark, d), RULES)
 
 
 def _judged(spark, d):
-    return c.judge_rows(c.standardize_columns(raw(spark, d), OWN), period=JUDGE_PERIOD)
+    return c.judge_rows(c.standardize_columns(raw(spark, d), OWN), RULES)
+
+
+@query("cleaned_work_orders_from_job", "WITH " + JUDGED + f" SELECT {NAMES} FROM judged WHERE drop_reason IS NULL")
+def _(spark, d):
+    path = folder_for(spark, "job")
+    run_cleaning(raw(spark, d), path, rules=RULES)
+    return read_clean_work_orders(spark, path)
 
 
 @query("a19_cleaning_audit", "WITH " + JUDGED + """, n AS (SELECT sum(copies) AS total,
@@ -434,9 +444,10 @@ def _(spark, d):
     return pred(spark, d).select("assetnum", bins.tier(accuracy).alias("tier"))
 
 
-@query("a25_numeric_columns", """SELECT * FROM (VALUES ('o_orderkey', 'bigint', true), ('o_custkey', 'bigint', true),
-  ('o_orderstatus', 'string', false), ('o_totalprice', 'double', true),
-  ('o_orderdate', 'timestamp_ntz', false), ('o_orderpriority', 'string', false)) t("column", type, is_numeric)""")
+@query("a25_numeric_columns", """SELECT t.*, (SELECT count(*) FROM orders) AS rows FROM (VALUES
+  ('o_orderkey', 'bigint', true), ('o_custkey', 'bigint', true), ('o_orderstatus', 'string', false),
+  ('o_totalprice', 'double', true), ('o_orderdate', 'timestamp_ntz', false),
+  ('o_orderpriority', 'string', false)) t("column", type, is_numeric)""")
 def _(spark, d):
     return type_profile(table(spark, d, "orders"))
 
@@ -444,5 +455,5 @@ def _(spark, d):
 @query("standard_names_round_trip", "WITH " + JUDGED + """ SELECT wonum AS 工单号, current_faildate AS 故障时间,
   repair_duration_hours AS 维修时长_小时 FROM judged WHERE drop_reason IS NULL""")
 def _(spark, d):
-    rows = clean_work_orders(raw(spark, d), JUDGE_PERIOD)
+    rows = clean_work_orders(raw(spark, d), RULES)
     return standard_names(rows).select("工单号", "故障时间", "维修时长_小时")

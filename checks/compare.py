@@ -63,7 +63,7 @@ def check(spark, con, folder: str, name: str) -> tuple[str | None, int, float]:
     seconds = time.perf_counter() - start
     if name not in ORACLES:
         return None, got.num_rows, seconds
-    return differences(got, con.execute(ORACLES[name]).to_arrow_table()), got.num_rows, seconds
+    return differences(got, con.sql(ORACLES[name]).to_arrow_table()), got.num_rows, seconds
 
 
 def main() -> int:

@@ -13,8 +13,8 @@ from gapline.operators.split import thin
 from gapline.operators.stats import null_total, gaps_not_positive
 from gapline.plans import events as pe
 
-HOT = 8          # forces the segmented plan on most devices of the test data
-EVENT_HOT = 20
+HOT = 15         # forces the segmented plan on most devices of the test data
+EVENT_HOT = 60
 
 _GAP_COLUMNS = "assetnum, wonum, record_no, first_time, first_repair, gap_h"
 _GAPS_SQL = "WITH " + GAPS + f" SELECT {_GAP_COLUMNS} FROM gaps"
@@ -285,7 +285,7 @@ def _(spark, d):
 
 @query("event_table_3_hot_devices", _V3_SQL)
 def _(spark, d):
-    return _six(pe.history_events_raw(wo(spark, d), hot_rows=30))
+    return _six(pe.history_events_raw(wo(spark, d), hot_rows=60))
 
 
 _V4_SQL = "WITH " + _WPOS + ", " + _wo_history("pos") + f""",

@@ -9,26 +9,24 @@ from pyspark.sql import functions as F
 
 from gapline.functions.text import strip
 
-# Accepted spellings of a time, tried in this order, and the written one.
-TIME_FORMATS = (
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd",
-    "yyyy/MM/dd HH:mm:ss",
-    "yyyy/MM/dd HH:mm",
-    "yyyy/MM/dd",
-    "yyyy-MM-dd HH:mm",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd HH:mm:ss.SSSSSS",
-)
+# The year-first spelling a time may have, and the one times are written in.
+TIME_SHAPE = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d{1,6})?)?)?$"
 OUTPUT_FORMAT = "yyyy-MM-dd HH:mm:ss"
 MICROS_PER_HOUR = 3.6e9
 MICROS_PER_DAY = 8.64e10
 
 
-def parse_time(c: Column, formats: Sequence[str] = TIME_FORMATS) -> Column:
-    """First format that fits; text that fits none becomes null instead of failing the job."""
-    text = strip(c)
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats]).cast("timestamp_ntz")
+def parse_time(c: Column, formats: Sequence[str] = ()) -> Column:
+    """Date or time text to a timestamp; text that is neither becomes null, not an error.
+
+    Year-first texts are read with `-` or `/`, with or without time, seconds and fraction.
+    Other spellings can be named in `formats`; they are tried in order afterwards. The shape
+    is tested first, because a failed parse costs an exception per value.
+    """
+    text = F.translate(strip(c), "/", "-")
+    known = F.when(text.rlike(TIME_SHAPE), text).try_cast("timestamp_ntz")
+    others = [F.try_to_timestamp(strip(c), F.lit(f)).cast("timestamp_ntz") for f in formats]
+    return F.coalesce(known, *others)
 
 
 def format_time(c: Column) -> Column:

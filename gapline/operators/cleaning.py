@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gapline.functions.text import is_missing
-from gapline.functions.times import TIME_FORMATS, parse_time
+from gapline.functions.times import parse_time
 from gapline.sources.schema import CORE_COLUMNS, DEFAULTS, PERIOD, TIME_COLUMNS
 
 # Rules in the order they are applied; a row counts under the first it breaks.
@@ -31,13 +32,20 @@ def standardize_columns(df: DataFrame, mapping: Mapping[str, str],
 def schema_drift(df: DataFrame, mapping: Mapping[str, str],
                  core: Sequence[str] = CORE_COLUMNS,
                  times: Sequence[str] = TIME_COLUMNS) -> DataFrame:
-    """Columns nobody mapped, and core or time columns that are absent: (issue, column)."""
-    names = [c.strip() for c in df.columns]
-    renamed = {mapping[c] for c in names if c in mapping}
-    rows = [("unmapped", c) for c in names if c not in mapping]
-    rows += [("missing_core", c) for c in core if c not in renamed]
-    rows += [("missing_time", c) for c in times if c not in renamed]
-    return df.sparkSession.createDataFrame(rows, "issue string, column string")
+    """Columns nobody mapped, and core or time columns that are absent: (issue, column, rows).
+
+    `rows` is what the issue costs: the values lost with an unmapped column, or all rows.
+    """
+    df = strip_column_names(df)
+    renamed = {mapping[c] for c in df.columns if c in mapping}
+    issues = [("unmapped", c, F.count(c)) for c in df.columns if c not in mapping]
+    issues += [("missing_core", c, F.count(F.lit(1))) for c in core if c not in renamed]
+    issues += [("missing_time", c, F.count(F.lit(1))) for c in times if c not in renamed]
+    found = [F.struct(F.lit(i).alias("issue"), F.lit(c).alias("column"), n.alias("rows"))
+             for i, c, n in issues]
+    if not found:
+        return df.sparkSession.createDataFrame([], "issue string, column string, rows bigint")
+    return df.agg(F.array(*found).alias("_found")).select(F.inline("_found"))
 
 
 def drop_duplicate_rows(df: DataFrame) -> DataFrame:
@@ -63,7 +71,7 @@ def fill_defaults(df: DataFrame, defaults: Mapping[str, str] = DEFAULTS) -> Data
 
 
 def parse_times(df: DataFrame, columns: Sequence[str] = TIME_COLUMNS,
-                formats: Sequence[str] = TIME_FORMATS) -> DataFrame:
+                formats: Sequence[str] = ()) -> DataFrame:
     """Text columns to timestamps; columns that already are timestamps only lose their zone."""
     kinds = {f.name: f.dataType for f in df.schema}
 
@@ -119,32 +127,59 @@ def drop_negative_repair(df: DataFrame, hours: str = "repair_duration_hours") ->
     return df.filter(~negative_repair(F.col(hours)))
 
 
-def judge_rows(df: DataFrame, *, core: Sequence[str] = CORE_COLUMNS,
-               times: Sequence[str] = TIME_COLUMNS, defaults: Mapping[str, str] = DEFAULTS,
-               fault: str = "current_faildate", end: str = "repair_end_time",
-               hours: str = "repair_duration_hours", period: tuple[str, str] = PERIOD,
-               end_inclusive_day: bool = False,
-               formats: Sequence[str] = TIME_FORMATS) -> DataFrame:
+@dataclass(frozen=True)
+class Rules:
+    """Columns and limits of the cleaning rules."""
+
+    core: Sequence[str] = CORE_COLUMNS
+    times: Sequence[str] = TIME_COLUMNS
+    defaults: Mapping[str, str] = field(default_factory=lambda: DEFAULTS)
+    fault: str = "current_faildate"
+    end: str = "repair_end_time"
+    hours: str = "repair_duration_hours"
+    period: tuple[str, str] = PERIOD
+    end_inclusive_day: bool = False
+    formats: Sequence[str] = ()
+
+    def checks(self, columns: Sequence[str]) -> dict[str, Column]:
+        """One condition per rule over parsed rows; `_blank` marks a missing core text."""
+        unparsed = F.lit(False)
+        for c in self.core:
+            unparsed = unparsed | F.col(c).isNull()
+        hours = negative_repair(F.col(self.hours)) if self.hours in columns else F.lit(False)
+        return {
+            "missing_core": F.col("_blank"),
+            "inverted_times": inverted(F.col(self.fault), F.col(self.end)),
+            "outside_period": outside_period(F.col(self.fault), self.period,
+                                             self.end_inclusive_day),
+            "unparsed_core": unparsed,
+            "negative_repair": hours,
+        }
+
+    def parsed(self, df: DataFrame) -> DataFrame:
+        blank = missing_core([c for c in self.core if c in df.columns])
+        filled = fill_defaults(df.withColumn("_blank", blank), self.defaults)
+        return parse_times(filled, self.times, self.formats)
+
+
+def clean_rows(df: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """Distinct rows that break no rule, filled and parsed."""
+    rows = rules.parsed(drop_duplicate_rows(df))
+    for broken in rules.checks(df.columns).values():
+        rows = rows.filter(~broken)
+    return rows.drop("_blank")
+
+
+def judge_rows(df: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Distinct rows, filled and parsed, with `copies` and `drop_reason` (null: the row stays).
 
     The duplicates are counted by the same aggregate that removes them, and every rule is a
     column, so one pass over the table gives both the cleaned rows and their audit.
     """
     distinct = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("copies"))
-    distinct = distinct.withColumn("_blank", missing_core([c for c in core if c in df.columns]))
-    rows = parse_times(fill_defaults(distinct, defaults), times, formats)
-    unparsed = F.lit(False)
-    for c in core:
-        unparsed = unparsed | F.col(c).isNull()
-    checks = {
-        "missing_core": F.col("_blank"),
-        "inverted_times": inverted(F.col(fault), F.col(end)),
-        "outside_period": outside_period(F.col(fault), period, end_inclusive_day),
-        "unparsed_core": unparsed,
-        "negative_repair": negative_repair(F.col(hours)) if hours in df.columns else F.lit(False),
-    }
+    checks = rules.checks(df.columns)
     reason = F.coalesce(*[F.when(checks[rule], rule) for rule in RULES])
-    return rows.withColumn("drop_reason", reason).drop("_blank")
+    return rules.parsed(distinct).withColumn("drop_reason", reason).drop("_blank")
 
 
 def kept_rows(judged: DataFrame) -> DataFrame:

@@ -1,49 +1,94 @@
-"""Category encodings. Each is fitted to a small table and applied by a lookup join.
+"""Category encodings, all fitted from one pass over the table.
 
-Fit on the training rows and apply to any rows; categories unseen in the fit come out null.
+`fit_categories` counts every wanted column at once and gives each category its code, share
+and smoothed target mean. `encode` joins them back. Fit on the training rows and apply to
+any rows; categories unseen in the fit come out null.
 """
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapline.operators.scale import HOT_ROWS, MAX_LOOKUP_ROWS, lookup_join, row_numbers, with_totals
-from gapline.operators.stats import value_shares
+from gapline.operators.scale import (HOT_ROWS, MAX_LOOKUP_ROWS, bounded_rows, cut_lineage,
+                                     lookup_join, row_numbers, with_totals)
 
 # Strength of the prior, and the text that stands for a missing category.
 PRIOR_ROWS = 10
 MISSING = "nan"
 
 
-def fit_labels(df: DataFrame, column: str, name: str = "code",
-               hot_rows: int = HOT_ROWS) -> DataFrame:
-    """(column, code): codes 0, 1, ... by ascending text, null as the text 'nan'."""
-    values = df.select(F.coalesce(F.col(column).cast("string"), F.lit(MISSING)).alias(column))
-    ranked = row_numbers(values.distinct(), [column], name="_no", hot_rows=hot_rows)
-    return ranked.select(column, (F.col("_no") - 1).cast("int").alias(name))
-
-
-def apply_labels(df: DataFrame, codes: DataFrame, column: str,
-                 max_rows: int = MAX_LOOKUP_ROWS) -> DataFrame:
-    keyed = df.withColumn("_label", F.coalesce(F.col(column).cast("string"), F.lit(MISSING)))
-    table = codes.withColumnRenamed(column, "_label")
-    return lookup_join(keyed, table, "_label", "left", max_rows).drop("_label")
+def fit_categories(df: DataFrame, columns: Sequence[str], target: str | None = None,
+                   prior: float = PRIOR_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(column, value, label, code, share, target_mean) for every category of the columns.
 
+    code         0, 1, ... by ascending text; null counts as the text 'nan'
+    share        rows of the category over the non-null rows of the column
+    target_mean  (mean·rows + global mean·prior) / (rows + prior)
 
-def fit_frequencies(df: DataFrame, column: str, name: str = "freq") -> DataFrame:
-    """(column, share of the non-null rows)."""
-    return value_shares(df, column, name)
-
-
-def fit_target_means(df: DataFrame, column: str, target: str, name: str = "target_code",
-                     prior: float = PRIOR_ROWS) -> DataFrame:
-    """(column, (mean·rows + global mean·prior) / (rows + prior))."""
-    per_value = df.filter(F.col(column).isNotNull()).groupBy(column).agg(
-        F.sum(target).alias("_sum"), F.count(target).alias("_n"))
-    overall = df.agg(F.avg(target).alias("_global"))
-    code = (F.coalesce("_sum", F.lit(0.0)) + F.col("_global") * prior) / (F.col("_n") + prior)
-    return with_totals(per_value, overall).select(column, code.alias(name))
+    Categories are counted before the shuffle, so what moves is one row per category and task.
+    """
+    goal = F.col(target).cast("double") if target else F.lit(None).cast("double")
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
+                      for c in columns])
+    counts = df.select(goal.alias("_goal"), F.inline(pairs)).groupBy("column", "value").agg(
+        F.count(F.lit(1)).alias("_rows"), F.coalesce(F.sum("_goal"), F.lit(0.0)).alias("_sum"),
+        F.count("_goal").alias("_n"))
+    counts = counts.withColumn("label", F.coalesce("value", F.lit(MISSING)))
+    labels = row_numbers(counts.select("column", "label").distinct(), ["label"], "column", "_no",
+                         hot_rows)
+    known = F.col("value").isNotNull()
+    totals = counts.groupBy("column").agg(
+        F.sum(F.when(known, F.col("_rows"))).alias("_known"),
+        (F.try_divide(F.sum("_sum"), F.sum("_n"))).alias("_mean"))
+    mean = F.try_divide(F.col("_sum") + F.col("_mean") * prior, F.col("_n") + F.lit(prior))
+    return counts.join(labels, ["column", "label"]).join(totals, "column").select(
+        "column", "value", "label", (F.col("_no") - 1).cast("int").alias("code"),
+        F.when(known, F.col("_rows") / F.col("_known")).alias("share"),
+        F.when(known, mean).alias("target_mean"))
+
+
+class Categories:
+    """A fitted category table, kept as local rows when it is small enough to broadcast."""
+
+    def __init__(self, table: DataFrame, max_rows: int = MAX_LOOKUP_ROWS):
+        small = bounded_rows(table, max_rows)
+        self.small = small is not None
+        self.table = small if self.small else cut_lineage(table)
+
+    def join(self, df: DataFrame, column: str, what: str, name: str) -> DataFrame:
+        """Add the fitted `what` (code, share or target_mean) of the column as `name`."""
+        rows = self.table.filter(F.col("column") == column)
+        text = F.col(column).cast("string")
+        if what == "code":
+            side = rows.groupBy(F.col("label").alias("_value")).agg(F.first("code").alias(name))
+            text = F.coalesce(text, F.lit(MISSING))
+        else:
+            side = rows.filter(F.col("value").isNotNull()).select(
+                F.col("value").alias("_value"), F.col(what).alias(name))
+        # Broadcast only a table counted to be small; beyond it, shuffle and let adaptive
+        # execution split a category that holds much of the rows.
+        side = F.broadcast(side) if self.small else side
+        return df.withColumn("_text", text).join(
+            side, F.col("_text") == F.col("_value"), "left").drop("_text", "_value")
+
+
+def encode(df: DataFrame, fitted: Categories, *, codes: Mapping[str, str] | None = None,
+           shares: Mapping[str, str] | None = None,
+           target_means: Mapping[str, str] | None = None) -> DataFrame:
+    """Add encoded columns; each mapping goes from category column to new name."""
+    for what, names in (("code", codes), ("share", shares), ("target_mean", target_means)):
+        for column, name in (names or {}).items():
+            df = fitted.join(df, column, what, name)
+    return df
+
+
+def fit(df: DataFrame, columns: Sequence[str], target: str | None = None,
+        prior: float = PRIOR_ROWS, max_rows: int = MAX_LOOKUP_ROWS,
+        hot_rows: int = HOT_ROWS) -> Categories:
+    return Categories(fit_categories(df, columns, target, prior, hot_rows), max_rows)
 
 
 def out_of_fold_target_means(df: DataFrame, column: str, target: str, fold: str,
@@ -53,22 +98,20 @@ def out_of_fold_target_means(df: DataFrame, column: str, target: str, fold: str,
 
     Totals minus the fold's own part, so the table is aggregated once, not once per fold.
     """
-    parts = df.groupBy(column, fold).agg(F.sum(target).alias("_s"), F.count(target).alias("_n"))
-    # Nulls form a group here; they are set aside again below.
+    parts = df.groupBy(column, fold).agg(
+        F.coalesce(F.sum(target), F.lit(0.0)).alias("_s"), F.count(target).alias("_n"))
     totals = parts.groupBy(column).agg(F.sum("_s").alias("_ts"), F.sum("_n").alias("_tn"))
     folds = parts.groupBy(fold).agg(F.sum("_s").alias("_fs"), F.sum("_n").alias("_fn"))
     overall = parts.agg(F.sum("_s").alias("_as"), F.sum("_n").alias("_an"))
     others = with_totals(parts.join(totals, column).join(folds, fold), overall)
-    zero = F.lit(0.0)
+    mean = F.try_divide(F.col("_as") - F.col("_fs"), F.col("_an") - F.col("_fn"))
     n = F.col("_tn") - F.col("_n")
-    s = F.coalesce("_ts", zero) - F.coalesce("_s", zero)
-    mean = F.try_divide(F.coalesce("_as", zero) - F.coalesce("_fs", zero),
-                        F.col("_an") - F.col("_fn"))
-    table = others.select(column, fold, ((s + mean * prior) / (n + prior)).alias(name))
-    return lookup_join(df, table, [column, fold], "left", max_rows)
+    code = (F.col("_ts") - F.col("_s") + mean * prior) / (n + F.lit(prior))
+    return lookup_join(df, others.select(column, fold, code.alias(name)), [column, fold], "left",
+                       max_rows)
 
 
 def apply_lookup(df: DataFrame, table: DataFrame, column: str,
                  max_rows: int = MAX_LOOKUP_ROWS) -> DataFrame:
-    """Add the fitted value of each row's category; a null category stays null."""
+    """Map a column through any (column, value) table; unmatched rows get null."""
     return lookup_join(df, table, column, "left", max_rows)

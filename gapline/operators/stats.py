@@ -21,8 +21,12 @@ def numeric_columns(df: DataFrame) -> list[str]:
 
 
 def type_profile(df: DataFrame) -> DataFrame:
-    rows = [(f.name, f.dataType.simpleString(), isinstance(f.dataType, NUMBERS)) for f in df.schema]
-    return df.sparkSession.createDataFrame(rows, "column string, type string, is_numeric boolean")
+    """(column, type, is_numeric, rows with a value)."""
+    return df.agg(F.array(*[
+        F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"),
+                 F.lit(isinstance(f.dataType, NUMBERS)).alias("is_numeric"),
+                 F.count(f.name).alias("rows")) for f in df.schema]).alias("_columns")).select(
+        F.inline("_columns"))
 
 
 def _unpivot(wide: DataFrame, columns: Sequence[str], **fields) -> DataFrame:

@@ -4,30 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from gapline.operators.cleaning import (cleaning_audit, cleaning_summary, judge_rows, kept_rows,
-                                        standardize_columns)
+from gapline.operators.cleaning import (Rules, clean_rows, cleaning_audit, cleaning_summary,
+                                        judge_rows, kept_rows, standardize_columns)
 from gapline.operators.scale import cut_lineage
-from gapline.sources.schema import PERIOD, STANDARD_NAMES
+from gapline.sources.schema import STANDARD_NAMES
 from gapline.sources.tables import standard_names, write_table
 
 
-def clean_work_orders(raw: DataFrame, period: tuple[str, str] = PERIOD, **rules) -> DataFrame:
+def clean_work_orders(raw: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Cleaned rows under the source names, times parsed."""
-    return kept_rows(judge_rows(_mapped(raw), period=period, **rules))
+    return clean_rows(_mapped(raw), rules)
 
 
 def _mapped(raw: DataFrame) -> DataFrame:
     return standardize_columns(raw, {c: c for c in STANDARD_NAMES})
 
 
-def run_cleaning(raw: DataFrame, path: str, fmt: str = "parquet",
-                 period: tuple[str, str] = PERIOD, rename: bool = False,
-                 **rules) -> tuple[DataFrame, DataFrame]:
+def run_cleaning(raw: DataFrame, path: str, fmt: str = "parquet", rules: Rules = Rules(),
+                 rename: bool = False) -> tuple[DataFrame, DataFrame]:
     """Write the cleaned table and return (audit, summary).
 
     The judged rows are checkpointed once, so the write and both reports share one pass.
     """
-    judged = cut_lineage(judge_rows(_mapped(raw), period=period, **rules))
+    judged = cut_lineage(judge_rows(_mapped(raw), rules))
     cleaned = kept_rows(judged)
     write_table(standard_names(cleaned) if rename else cleaned, path, fmt)
     return cleaning_audit(judged), cleaning_summary(judged)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gapline.functions.bins import MTBF_DAY_EDGES, hash_bucket, right_closed_bin
-from gapline.operators.encode import apply_labels, fit_labels
+from gapline.operators.encode import encode, fit as fit_categories
 from gapline.operators.models import (Comparison, Learner, fit, level_comparison, predict,
                                       top_features, train_and_compare)
 from gapline.operators.split import group_split, take_side
@@ -33,14 +33,12 @@ def encode_devices(devices: DataFrame, categories: Sequence[str] = ("station", "
 
     Categories the fit has not seen get -1.
     """
-    out = devices
-    for c in categories:
-        if hashed:
-            out = out.withColumn(f"{c}_enc", hash_bucket(F.col(c), CATEGORY_BUCKETS.get(c, 100)))
-        else:
-            codes = fit_labels(devices if fit_on is None else fit_on, c, f"{c}_enc")
-            out = apply_labels(out, codes, c).fillna(-1, [f"{c}_enc"])
-    return out
+    if hashed:
+        return devices.withColumns({
+            f"{c}_enc": hash_bucket(F.col(c), CATEGORY_BUCKETS.get(c, 100)) for c in categories})
+    fitted = fit_categories(devices if fit_on is None else fit_on, categories)
+    names = {c: f"{c}_enc" for c in categories}
+    return encode(devices, fitted, codes=names).fillna(-1, list(names.values()))
 
 
 @dataclass

@@ -52,7 +52,10 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     """Write in parallel, one or more files per task; nothing passes through the driver."""
     if fmt == "csv":
         df = times_as_text(df)
-        writer = df.write.option("header", True).option("escape", '"').option("quoteAll", False)
+        # Blank text is kept as it is; the empty string reads back as null, as CSV readers do.
+        writer = df.write.option("header", True).option("escape", '"')
+        writer = writer.option("ignoreLeadingWhiteSpace", False)
+        writer = writer.option("ignoreTrailingWhiteSpace", False)
     else:
         writer = df.write
     writer.option("maxRecordsPerFile", max_records_per_file).mode(mode).format(fmt).save(path)
