@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("cleaning", "history")
+MODULES = ("cleaning", "history", "stats", "encoding", "models", "reports")
 
 
 def load() -> None:

@@ -17,7 +17,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gapline.operators.scale import HOT_ROWS, row_numbers
+from gapline.operators.scale import HOT_ROWS, cut_lineage, row_numbers
 from gapline.operators.split import SEED, seeded_hash
 
 BUCKET_ROWS = 2_000    # wanted rows of one base bucket and of one query chunk
@@ -140,12 +140,15 @@ def oversample(df: DataFrame, stratum: str, features: Sequence[str], id_col: str
     """Synthetic rows that bring every stratum to the size of the largest.
 
     Each is a point between a row and one of its k nearest rows of the same stratum, on
-    features taken as they are (scale them first). Columns: stratum, features, source_id.
+    features taken as they are (scale them first). The strata are few, like the bins they come
+    from: each is a sub-plan of its own. Columns: stratum, features, source_id.
     """
-    sizes = {r[0]: r[1] for r in df.filter(F.col(stratum).isNotNull()).groupBy(stratum).count()
-             .collect()}
+    # The neighbor search reads its points several times: compute them once.
+    rows = cut_lineage(df.select(stratum, id_col, *features))
+    counts = rows.filter(F.col(stratum).isNotNull()).groupBy(stratum).count()
+    sizes = {r[0]: r[1] for r in counts.collect()}
     goal = max(sizes.values(), default=0)
-    parts = [_synthetic(df.filter(F.col(stratum) == s), stratum, features, id_col, goal - n, n, k,
+    parts = [_synthetic(rows.filter(F.col(stratum) == s), stratum, features, id_col, goal - n, n, k,
                         seed, hot_rows) for s, n in sorted(sizes.items()) if 1 < n < goal]
     if not parts:
         return df.select(stratum, *features, F.col(id_col).alias("source_id")).limit(0)
@@ -167,10 +170,11 @@ def _synthetic(rows: DataFrame, stratum: str, features: Sequence[str], id_col: s
     copies = F.lit(missing // size) + (F.col("_no") <= missing % size).cast("int")
     wanted = ranked.withColumn("_copies", copies).filter(F.col("_copies") > 0).select(
         stratum, "_id", "_vec", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))
-    draw = F.xxhash64("_id", "_copy", F.lit(seed))
+    draw = seeded_hash(["_id", "_copy"], seed)
+    digits = [F.conv(F.substring(draw, at, 8), 16, 10).cast("bigint") for at in (1, 9)]
     wanted = wanted.withColumns({
-        "_place": (F.pmod(draw, F.lit(min(k, size - 1))) + 1).cast("int"),
-        "_share": F.pmod(F.xxhash64(draw, F.lit(seed)), F.lit(1_000_000)) / 1_000_000.0})
+        "_place": (digits[0] % min(k, size - 1) + 1).cast("int"),
+        "_share": digits[1] / 4294967296.0})
     ends = points.select(F.col("_id").alias("_nid"), F.col("_vec").alias("_end"))
     joined = wanted.join(near, (F.col("_id") == F.col("query")) & (F.col("_place") == F.col("place")))
     joined = joined.join(ends, F.col("neighbor") == F.col("_nid"))
