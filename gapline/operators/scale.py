@@ -115,9 +115,9 @@ def row_numbers(df: DataFrame, order: Sequence[str], key: str | None = None,
 
 def bounded_rows(df: DataFrame, max_rows: int) -> DataFrame | None:
     """The table as a local relation when it has at most `max_rows` rows, else None."""
-    rows = df.limit(max_rows + 1).collect()
+    rows = df.limit(max_rows + 1).toArrow()
     spark: SparkSession = df.sparkSession
-    return spark.createDataFrame(rows, df.schema) if len(rows) <= max_rows else None
+    return spark.createDataFrame(rows, df.schema) if rows.num_rows <= max_rows else None
 
 
 def lookup_join(df: DataFrame, table: DataFrame, on: str | Sequence[str], how: str = "left",
@@ -132,5 +132,6 @@ def lookup_join(df: DataFrame, table: DataFrame, on: str | Sequence[str], how: s
 
 
 def with_totals(df: DataFrame, totals: DataFrame) -> DataFrame:
-    """Attach a one-row table (global totals, thresholds) to every row."""
-    return df.join(F.broadcast(totals), F.lit(True), "inner")
+    """Attach a one-row table (global totals, thresholds) to every row, as a scalar subquery."""
+    row = totals.select(F.struct(*totals.columns).alias("_totals")).scalar()
+    return df.withColumn("_totals", row).select("*", "_totals.*").drop("_totals")

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gapline.operators.scale import HOT_ROWS, lookup_join, row_numbers, with_totals
+from gapline.operators.scale import (HOT_ROWS, MAX_LOOKUP_ROWS, bounded_rows, lookup_join,
+                                     row_numbers)
 
 SEED = 42
 
@@ -27,8 +28,9 @@ def group_split(df: DataFrame, device: str, test_share: float = 0.2, seed: int =
     devices = df.groupBy(device).agg(label).withColumn("_hash", seeded_hash([device], seed))
     ranked = row_numbers(devices, ["_hash", device], "_stratum", "_no", hot_rows)
     sizes = devices.groupBy(F.col("_stratum").alias("_of")).agg(F.count(F.lit(1)).alias("_n"))
-    joined = ranked.join(sizes, F.col("_stratum").eqNullSafe(F.col("_of"))) if stratum else \
-        with_totals(ranked, sizes)
+    small = bounded_rows(sizes, MAX_LOOKUP_ROWS)
+    sizes = F.broadcast(small) if small is not None else sizes
+    joined = ranked.join(sizes, F.col("_stratum").eqNullSafe(F.col("_of")))
     return joined.select(device, (F.col("_no") <= F.ceil(F.col("_n") * test_share)).alias("is_test"))
 
 

@@ -12,6 +12,7 @@ from gapline.functions.bins import MTBF_DAY_EDGES, hash_bucket, right_closed_bin
 from gapline.operators.encode import encode, fit as fit_categories
 from gapline.operators.models import (Comparison, Learner, fit, level_comparison, predict,
                                       top_features, train_and_compare)
+from gapline.operators.scale import cut_lineage
 from gapline.operators.split import group_split, take_side
 
 # Features of the device table in order, and the bucket counts of its categories.
@@ -53,13 +54,14 @@ def device_sides(devices: DataFrame, device: str,
                  edges: Sequence[float] = MTBF_DAY_EDGES, hashed: bool = False,
                  seed: int = 42) -> Sides:
     """Stratified split by device; category codes are learned from the training devices."""
-    binned = with_stratum(devices, edges)
-    split = group_split(binned, device, seed=seed, stratum="stratum")
+    # Fitting reads its table many times, so the windows behind it are computed once.
+    binned = cut_lineage(with_stratum(devices, edges))
+    split = cut_lineage(group_split(binned, device, seed=seed, stratum="stratum"))
     train = take_side(binned, split, device, test=False)
     test = take_side(binned, split, device, test=True)
     features = [*DEVICE_FEATURES, *[f"{c}_enc" for c in categories]]
-    return Sides(encode_devices(train, categories, hashed, train),
-                 encode_devices(test, categories, hashed, train), features)
+    return Sides(cut_lineage(encode_devices(train, categories, hashed, train)),
+                 cut_lineage(encode_devices(test, categories, hashed, train)), features)
 
 
 def compare_on_devices(devices: DataFrame, device: str, learners: Mapping[str, Learner],
@@ -73,7 +75,8 @@ def event_predictions(events: DataFrame, device: str, features: Sequence[str], t
                       learner: Learner, keep: int = 10, selector: Learner | None = None,
                       seed: int = 42) -> DataFrame:
     """Event-level control: split by device, top features by a forest, fit, predict."""
-    split = group_split(events, device, seed=seed)
+    events = cut_lineage(events.select(device, *features, target))
+    split = cut_lineage(group_split(events, device, seed=seed))
     train = take_side(events, split, device, test=False)
     test = take_side(events, split, device, test=True)
     chosen = top_features(train, features, target, keep, selector)
