@@ -205,6 +205,23 @@ def _(spark, d):
     return rounded(st.target_correlations(features(spark, d), [*_FEATURES, "flat"], "gap_h"))
 
 
+_KNOWN = [c for c in _FEATURES if c != "prev_gap"]   # no nulls: the matrix path
+
+
+@query("a11_target_correlations_without_nulls", "WITH " + _FEATURE_SQL + " " + " UNION ALL ".join(
+    f"""SELECT '{n}' AS "column", round(abs(corr({n}, gap_h)), 6) AS correlation FROM f""" for n in _KNOWN)
+    + """ UNION ALL SELECT 'flat', NULL""")
+def _(spark, d):
+    return rounded(st.target_correlations(features(spark, d), [*_KNOWN, "flat"], "gap_h"))
+
+
+@query("a12_correlation_cells_without_nulls", "WITH " + _FEATURE_SQL + " " + " UNION ALL ".join(
+    f"""SELECT '{a}' AS row, '{b}' AS "column", round(corr({a}, {b}), 6) AS correlation FROM f"""
+    for i, a in enumerate(_KNOWN) for b in _KNOWN[:i + 1]))
+def _(spark, d):
+    return rounded(st.correlation_cells(features(spark, d), _KNOWN))
+
+
 _CELLS_SQL = "WITH " + _FEATURE_SQL + " " + " UNION ALL ".join(
     f"""SELECT '{a}' AS row, '{b}' AS "column", round(corr({a}, {b}), 6) AS correlation FROM f"""
     for i, a in enumerate([*_FEATURES, "gap_h"]) for b in [*_FEATURES, "gap_h"][:i + 1])

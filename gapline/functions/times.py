@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gapline.functions.text import strip
 
 # The year-first spelling a time may have, and the one times are written in.
-TIME_SHAPE = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d{1,6})?)?)?$"
+TIME_SHAPE = r"^\s*\d{4}[-/]\d{1,2}[-/]\d{1,2}([ T]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d{1,6})?)?)?\s*$"
 OUTPUT_FORMAT = "yyyy-MM-dd HH:mm:ss"
 MICROS_PER_HOUR = 3.6e9
 MICROS_PER_DAY = 8.64e10
@@ -23,8 +23,8 @@ def parse_time(c: Column, formats: Sequence[str] = ()) -> Column:
     Other spellings can be named in `formats`; they are tried in order afterwards. The shape
     is tested first, because a failed parse costs an exception per value.
     """
-    text = F.translate(strip(c), "/", "-")
-    known = F.when(text.rlike(TIME_SHAPE), text).try_cast("timestamp_ntz")
+    # The cast itself ignores whitespace at both ends.
+    known = F.when(c.rlike(TIME_SHAPE), F.translate(c, "/", "-").try_cast("timestamp_ntz"))
     others = [F.try_to_timestamp(strip(c), F.lit(f)).cast("timestamp_ntz") for f in formats]
     return F.coalesce(known, *others)
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations_with_replacement
 
 import numpy as np
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -107,20 +108,63 @@ def pearson(x: Column, y: Column) -> Column:
     return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
 
 
+def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
+    """Pearson matrix over rows where all columns are known; 0 beside a constant column.
+
+    Assembled to vectors and accumulated row by row in the JVM, so the cost of a pass is the
+    k² products, not the planning of k² aggregate expressions.
+    """
+    vectors = _vectors(df, columns)
+    matrix = Correlation.corr(vectors, "_v").first()[0].toArray()
+    matrix = np.nan_to_num(matrix, nan=0.0)
+    np.fill_diagonal(matrix, 1.0)
+    return matrix
+
+
+def _vectors(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna("any")
+    return VectorAssembler(inputCols=list(columns), outputCol="_v").transform(rows).select("_v")
+
+
+def _moments(df: DataFrame, columns: Sequence[str]) -> tuple[int, np.ndarray, np.ndarray]:
+    """Rows without nulls, means and population deviations."""
+    s = Summarizer.metrics("count", "mean", "std")
+    row = _vectors(df, columns).select(s.summary(F.col("_v")).alias("s")).first()["s"]
+    n = int(row["count"])
+    shrink = np.sqrt((n - 1) / n) if n else 1.0
+    return n, row["mean"].toArray(), row["std"].toArray() * shrink
+
+
+def _all_known(df: DataFrame, columns: Sequence[str]) -> bool:
+    row = df.agg(F.count(F.lit(1)), *[F.count(F.col(c)) for c in columns]).first()
+    return row[0] > 0 and all(n == row[0] for n in row)
+
+
+def _pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> list[float | None]:
+    """Correlation of each pair over the rows where both are known; None beside a constant."""
+    names = list(dict.fromkeys(c for pair in pairs for c in pair))
+    if _all_known(df, names):
+        flat = set(constant_columns(df, names))
+        matrix = correlation_matrix(df, names)
+        at = {c: i for i, c in enumerate(names)}
+        return [None if a in flat or b in flat else float(matrix[at[a], at[b]]) for a, b in pairs]
+    return list(df.agg(*[pearson(F.col(a), F.col(b)).alias(f"_{i}")
+                         for i, (a, b) in enumerate(pairs)]).first())
+
+
 def target_correlations(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
     """(column, correlation) by falling absolute correlation with the target; constants come last."""
-    wide = df.agg(*[F.abs(pearson(F.col(c), F.col(target))).alias(c) for c in features])
-    long = _unpivot(wide, features, correlation=lambda c: F.col(c))
-    return long.orderBy(F.desc_nulls_last("correlation"), "column")
+    values = _pairs(df, [(c, target) for c in features])
+    rows = [(c, None if v is None else abs(v)) for c, v in zip(features, values)]
+    rows.sort(key=lambda r: (r[1] is None, -(r[1] or 0.0), r[0]))
+    return df.sparkSession.createDataFrame(rows, "column string, correlation double")
 
 
 def correlation_cells(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Lower triangle with diagonal of the correlation matrix: (row, column, correlation)."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[:i + 1]]
-    wide = df.agg(*[pearson(F.col(a), F.col(b)).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
-    return wide.select(F.inline(F.array(*[
-        F.struct(F.lit(a).alias("row"), F.lit(b).alias("column"),
-                 F.col(f"_{i}").alias("correlation")) for i, (a, b) in enumerate(pairs)])))
+    rows = [(a, b, v) for (a, b), v in zip(pairs, _pairs(df, pairs))]
+    return df.sparkSession.createDataFrame(rows, "row string, column string, correlation double")
 
 
 def constant_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
@@ -135,31 +179,30 @@ def zero_deviation_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
 
 
 def gram_matrix(df: DataFrame, features: Sequence[str], centered: bool = False) -> np.ndarray:
-    """X'X over rows without nulls: one pass that returns k(k+1)/2 numbers."""
-    rows = df.select(*[F.col(c).cast("double").alias(c) for c in features]).dropna("any")
-    if centered:
-        means = rows.agg(*[F.avg(c).alias(f"_m_{c}") for c in features])
-        rows = with_totals(rows, means).select(
-            *[(F.col(c) - F.col(f"_m_{c}")).alias(c) for c in features])
-    pairs = list(combinations_with_replacement(range(len(features)), 2))
-    sums = rows.agg(*[F.sum(F.col(features[i]) * F.col(features[j])) for i, j in pairs]).first()
-    gram = np.zeros((len(features), len(features)))
-    for (i, j), s in zip(pairs, sums):
-        gram[i, j] = gram[j, i] = 0.0 if s is None else s
-    return gram
+    """X'X over rows without nulls, of the columns scaled to unit length.
+
+    Built from the correlation matrix and the means, which keeps it accurate for columns of
+    large mean and small spread. k x k numbers come to the driver.
+    """
+    n, mean, sd = _moments(df, features)
+    if n == 0:
+        return np.eye(len(features))
+    second = correlation_matrix(df, features) * np.outer(sd, sd)
+    if not centered:
+        second = second + np.outer(mean, mean)
+    length = np.sqrt(np.diag(second))
+    length[length == 0] = 1.0
+    return second / np.outer(length, length)
 
 
 def variance_inflation(df: DataFrame, features: Sequence[str],
                        centered: bool = False) -> dict[str, float]:
-    """VIF per feature: G_ii times the i-th diagonal of the inverse Gram matrix.
+    """VIF per feature: the diagonal of the inverse of the scaled Gram matrix.
 
     Without `centered` the regressions have no intercept. Features tied in an exact linear
     relation get infinity.
     """
-    gram = gram_matrix(df, features, centered)
-    scale = np.sqrt(np.diag(gram))
-    scale[scale == 0] = 1.0
-    values, vectors = np.linalg.eigh(gram / np.outer(scale, scale))
+    values, vectors = np.linalg.eigh(gram_matrix(df, features, centered))
     tiny = values < 1e-12 * max(values.max(), 1.0)
     tied = (np.abs(vectors[:, tiny]) > 1e-6).any(axis=1)
     inverse_diagonal = (vectors[:, ~tiny] ** 2 / values[~tiny]).sum(axis=1)
