@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation, Summarizer
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -114,42 +115,41 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
     Assembled to vectors and accumulated row by row in the JVM, so the cost of a pass is the
     k² products, not the planning of k² aggregate expressions.
     """
-    vectors = _vectors(df, columns)
-    matrix = Correlation.corr(vectors, "_v").first()[0].toArray()
-    matrix = np.nan_to_num(matrix, nan=0.0)
-    np.fill_diagonal(matrix, 1.0)
-    return matrix
-
+    with _kept(df.dropna("any", subset=list(columns)), columns) as rows:
+        return _matrix(rows, columns)
 
-def _vectors(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna("any")
-    return VectorAssembler(inputCols=list(columns), outputCol="_v").transform(rows).select("_v")
 
+@contextmanager
+def _kept(df: DataFrame, columns: Sequence[str]) -> Iterator[DataFrame]:
+    """The columns as doubles, cached for the passes made over them inside the block."""
+    rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).persist()
+    try:
+        yield rows
+    finally:
+        rows.unpersist()
 
-def _moments(df: DataFrame, columns: Sequence[str]) -> tuple[int, np.ndarray, np.ndarray]:
-    """Rows without nulls, means and population deviations."""
-    s = Summarizer.metrics("count", "mean", "std")
-    row = _vectors(df, columns).select(s.summary(F.col("_v")).alias("s")).first()["s"]
-    n = int(row["count"])
-    shrink = np.sqrt((n - 1) / n) if n else 1.0
-    return n, row["mean"].toArray(), row["std"].toArray() * shrink
 
-
-def _all_known(df: DataFrame, columns: Sequence[str]) -> bool:
-    row = df.agg(F.count(F.lit(1)), *[F.count(F.col(c)) for c in columns]).first()
-    return row[0] > 0 and all(n == row[0] for n in row)
+def _matrix(rows: DataFrame, columns: Sequence[str]) -> np.ndarray:
+    vectors = VectorAssembler(inputCols=list(columns), outputCol="_v").transform(rows)
+    matrix = np.nan_to_num(Correlation.corr(vectors, "_v").first()[0].toArray(), nan=0.0)
+    np.fill_diagonal(matrix, 1.0)
+    return matrix
 
 
 def _pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> list[float | None]:
     """Correlation of each pair over the rows where both are known; None beside a constant."""
     names = list(dict.fromkeys(c for pair in pairs for c in pair))
-    if _all_known(df, names):
-        flat = set(constant_columns(df, names))
-        matrix = correlation_matrix(df, names)
-        at = {c: i for i, c in enumerate(names)}
-        return [None if a in flat or b in flat else float(matrix[at[a], at[b]]) for a, b in pairs]
-    return list(df.agg(*[pearson(F.col(a), F.col(b)).alias(f"_{i}")
-                         for i, (a, b) in enumerate(pairs)]).first())
+    with _kept(df, names) as rows:
+        ends = rows.agg(F.count(F.lit(1)).alias("_rows"), *[
+            F.struct(F.count(c).alias("known"), (F.min(c) == F.max(c)).alias("flat")).alias(c)
+            for c in names]).first()
+        if ends["_rows"] > 0 and all(ends[c]["known"] == ends["_rows"] for c in names):
+            matrix = _matrix(rows, names)
+            at = {c: i for i, c in enumerate(names)}
+            return [None if ends[a]["flat"] or ends[b]["flat"] else float(matrix[at[a], at[b]])
+                    for a, b in pairs]
+        return list(rows.agg(*[pearson(F.col(a), F.col(b)).alias(f"_{i}")
+                               for i, (a, b) in enumerate(pairs)]).first())
 
 
 def target_correlations(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
@@ -184,10 +184,13 @@ def gram_matrix(df: DataFrame, features: Sequence[str], centered: bool = False)
     Built from the correlation matrix and the means, which keeps it accurate for columns of
     large mean and small spread. k x k numbers come to the driver.
     """
-    n, mean, sd = _moments(df, features)
-    if n == 0:
-        return np.eye(len(features))
-    second = correlation_matrix(df, features) * np.outer(sd, sd)
+    with _kept(df.dropna("any", subset=list(features)), features) as rows:
+        ends = rows.agg(F.count(F.lit(1)), *[F.avg(c) for c in features],
+                        *[F.stddev_pop(c) for c in features]).first()
+        if ends[0] == 0:
+            return np.eye(len(features))
+        mean, sd = np.array(ends[1:]).reshape(2, -1)
+        second = _matrix(rows, features) * np.outer(sd, sd)
     if not centered:
         second = second + np.outer(mean, mean)
     length = np.sqrt(np.diag(second))
