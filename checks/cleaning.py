@@ -6,8 +6,8 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from checks.base import (DEV, EGAPS, EPOS, EV, GAPS, JUDGE_PERIOD, JUDGED, LOG, LOG_TIME, NAMES, POS,
-                         PRED, RAW, WO, DAY_EDGES, dev, ev, log, pred, query, raw, rounded, table, wo)
+from checks.base import (DEV, EPOS, GAPS, JUDGE_PERIOD, JUDGED, NAMES, POS, PRED, RAW, WO,
+                         DAY_EDGES, dev, ev, log, pred, query, raw, rounded, table, wo)
 from gapline.functions import bins, text, times
 from gapline.operators import cleaning as c
 from gapline.operators import history as h

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.base import (DAY_EDGES, DEV, EV, LOG, MODELS, RAW, WO, dev, log, query, raw, rounded, table, wo)
-from gapline.functions.bins import flag, hash_bucket, one_hot, right_closed_bin
+from checks.base import DAY_EDGES, DEV, RAW, WO, dev, query, raw, rounded, table, wo
+from gapline.functions.bins import flag, hash_bucket, one_hot
 from gapline.functions.times import day_period
 from gapline.operators import encode as en
 from gapline.operators import split as sp

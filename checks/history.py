@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.base import (BAND, DEV, EPOS, EGAPS, EVENT_TIME, GAPS, HIST, LOG_TIME, POS, PRED, WO, days_sql, dev,
-                         ev, gaps_sql, history_sql, log, pred, query, rounded, wo)
+from checks.base import (BAND, DEV, EPOS, EGAPS, EVENT_TIME, GAPS, HIST, POS, PRED, WO, days_sql,
+                         dev, ev, gaps_sql, history_sql, log, pred, query, rounded, wo)
 from gapline.operators import devices as dv
 from gapline.operators import history as h
-from gapline.operators.select import screen
 from gapline.operators.split import thin
 from gapline.operators.stats import null_total, gaps_not_positive
 from gapline.plans import events as pe

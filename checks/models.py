@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.base import (DAY_EDGES, DEV, MODELS, PRED, dev, log, pred, query, rounded, wo)
+from checks.base import DAY_EDGES, DEV, MODELS, PRED, dev, pred, query, rounded, wo
 from checks.cleaning import folder_for
-from checks.stats import all_metrics, metrics_sql, _round_metrics
+from checks.stats import metrics_sql, _round_metrics
 from gapline.operators import metrics as m
 from gapline.operators import models as md
 from gapline.operators import split as sp

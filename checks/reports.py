@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from checks.base import (DAY_EDGES, DEV, HIST, MODELS, POS, PRED, WO, dev, log, pred, query, rounded, wo)
+from checks.base import MODELS, POS, PRED, log, pred, query, rounded
 from checks.models import FOREST, TARGET, sides
-from checks.stats import (_CELLS_SQL, _FEATURES, _FEATURE_SQL, _TRIO, _vif_sql, all_metrics, box_sql, features,
-                          gaps, histogram_sql, _round_metrics)
+from checks.stats import (_CELLS_SQL, _FEATURES, _FEATURE_SQL, _TRIO, _vif_sql, all_metrics,
+                          box_sql, features, gaps, histogram_sql, _round_metrics)
 from gapline.operators import metrics as m
 from gapline.operators import models as md
 from gapline.plans import reports as rp
-from gapline.plans import training as tr
 
 
 @query("r1_gap_histogram", "WITH " + POS + ", " + histogram_sql("pos", "ln(1 + gap_h)", 50, "min(x)", "max(x)")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.base import (DEV, EPOS, EVENT_TIME, GAPS, HIST, LOG, MODELS, POS, PRED, RAW, WO, dev, ev, log, pred,
+from checks.base import (EPOS, EVENT_TIME, HIST, LOG, MODELS, POS, PRED, RAW, WO, ev, log, pred,
                          query, raw, rounded, table, wo)
 from gapline.operators import history as h
 from gapline.operators import metrics as m
