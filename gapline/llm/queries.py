@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapline.llm import bpe, exact
+from gapline.llm import bpe, exact, lines
 from gapline.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -20,6 +20,22 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
                       ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+@query("op9_line_dedup", """
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+  k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+  f AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
+  sha256(coalesce(string_agg(CASE WHEN f.key IS NULL THEN line END, chr(10) ORDER BY pos), ''))
+    AS kept_sha256
+FROM k LEFT JOIN f ON k.key = f.key GROUP BY doc_id""")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return lines.drop_frequent_lines(table(spark, sf, "documents"), min_docs=10).select(
+        "doc_id", "n_lines", "n_dropped",
+        F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 @query("op10_exact_dedup", """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t,
     regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS norm FROM documents),
