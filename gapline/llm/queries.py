@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapline.llm import bpe, exact, lines
+from gapline.llm import bpe, exact, lines, warc
 from gapline.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -20,6 +20,21 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
                       ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+@query("op6_warc", """
+WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS payload_digest,
+    strlen(coalesce(html, '')) AS payload_bytes FROM pages),
+  f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND first_id < page_id THEN 'revisit' ELSE 'response' END
+    AS record_type,
+  CASE WHEN payload_bytes >= 100 AND first_id < page_id THEN first_id END AS refers_to FROM f""")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    folder = warc.shared_folder(spark, "warc")
+    warc.write_archives(table(spark, sf, "pages"), folder)
+    return warc.read_archives(spark, folder).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op9_line_dedup", """
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
     generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
