@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapline.llm import bpe, exact, lines, packing, warc
+from gapline.llm import bpe, exact, language, lines, packing, preference, warc
 from gapline.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -20,6 +20,34 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
                       ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+@query("op5_preference_format", """
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''),
+      coalesce(text, '')) AS i FROM conversations),
+  k AS (SELECT conv_id, coalesce(max(i) FILTER (role = 'assistant'), max(i)) AS k FROM t GROUP BY conv_id),
+  m AS (SELECT t.*, k, CASE WHEN max(CASE WHEN i = k THEN length(text) END)
+      OVER (PARTITION BY conv_id) = 0 THEN k ELSE k - 1 END AS n,
+    '<|im_start|>' || role || chr(10) AS head, '<|im_end|>' || chr(10) AS tail FROM t JOIN k USING (conv_id)),
+  c AS (SELECT *, length(head) || '-,' || length(text || tail)
+      || CASE role WHEN 'assistant' THEN '+' ELSE '-' END AS runs,
+    substr(text, 1, length(text) // 2) AS half FROM m)
+SELECT conv_id, CAST(max(n) AS INT) AS n_prompt_turns,
+  coalesce(string_agg(head || text || tail, '' ORDER BY i) FILTER (i <= n), '') AS prompt,
+  coalesce(string_agg(head || text || tail, '' ORDER BY i) FILTER (i > n), '') AS chosen,
+  coalesce(string_agg(runs, ',' ORDER BY i) FILTER (i > n), '') AS chosen_mask,
+  coalesce(string_agg(head || half || tail, '') FILTER (i = k AND k > n), '') AS rejected,
+  coalesce(string_agg(length(head) || '-,' || length(half || tail)
+    || CASE role WHEN 'assistant' THEN '+' ELSE '-' END, '') FILTER (i = k AND k > n), '') AS rejected_mask
+FROM c GROUP BY conv_id""")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    """Every conversation against itself with its last answer cut in half."""
+    chats = preference.conversations(table(spark, sf, "conversations"))
+    pairs = chats.select("conv_id", F.col("turns").alias("chosen"),
+                         preference.cut_last_answer(F.col("turns")).alias("rejected"))
+    out = preference.format_pairs(pairs)
+    return out.withColumns({c: preference.mask_text(F.col(c)) for c in ("chosen_mask", "rejected_mask")})
+
+
 @query("op6_warc", """
 WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS payload_digest,
     strlen(coalesce(html, '')) AS payload_bytes FROM pages),
@@ -41,6 +69,12 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+@query("op8_language_id")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return language.identify(docs, language.learn(docs))
+
+
 @query("op9_line_dedup", """
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
     generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
