@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapline.llm import bpe, exact, language, lines, packing, preference, warc
+from gapline.llm import bpe, exact, language, lines, minhash, packing, preference, warc
 from gapline.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -20,6 +20,25 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
                       ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+@query("op4_minhash_near_dedup", """
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'),
+      lambda x: x <> '') AS w FROM documents),
+  s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN []
+      WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+      ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s FROM w),
+  e AS (SELECT doc_id, unnest(s) AS h FROM s),
+  f AS (SELECT doc_id, h, count(*) OVER (PARTITION BY doc_id) AS n FROM e),
+  p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM f a JOIN f b ON a.h = b.h AND a.doc_id < b.doc_id
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+  l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+  r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.c = l.a)
+SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, min(c) AS component_id, min(c) = s.doc_id AS kept
+FROM s JOIN r ON r.doc_id = s.doc_id GROUP BY s.doc_id, len(s)""")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf, "documents"), percent=85)
+
+
 @query("op5_preference_format", """
 WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
     row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''),
