@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapline.llm import bpe, exact, language, lines, minhash, packing, preference, warc
+from gapline.llm import bpe, embedding, exact, language, lines, minhash, packing, preference, warc
 from gapline.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -14,6 +14,11 @@ __all__ = ["ORACLES", "QUERIES"]
 BYTE_BPE = str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query("op2_document_fingerprints")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    return embedding.edited_fingerprints(table(spark, sf, "documents"))
+
+
 @query("op3_bpe_round_trip")
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode(table(spark, sf, "documents"), BYTE_BPE,
