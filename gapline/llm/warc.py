@@ -7,7 +7,7 @@ to and read from any store that Spark reaches.
 
 Writing: payloads are known by their SHA-256. Of equal payloads of `min_revisit` bytes or more the
 one with the smallest id is a response, the others are revisits that refer to it and carry no
-payload; shorter ones are all responses. Only digests are grouped, with map-side sums.
+payload; shorter ones are all responses. A null id counts as the smallest. Only digests are grouped.
 
 Reading: the dictionary comes from the leading frame of the same file, each further frame is one
 record. Frame magic, content size, version line, required headers, lengths, and the block digest are
@@ -32,6 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gapline.llm.common import NO_ID
 from gapline.operators.scale import cut_lineage
 
 # Fixed values of the formats.
@@ -44,23 +45,23 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 
 SEPARATOR = struct.pack("<II", SKIP_FIRST, 0).decode("ascii")     # an empty skippable frame
 DICTIONARY_BYTES = 64 << 10
-SAMPLE_ROWS = 2_000               # payloads that the dictionary is trained on
+SAMPLE_ROWS = 1_000               # payloads that the dictionary is trained on, about
 SAMPLE_BYTES = 8 << 10            # of each of them
 ARCHIVE_BYTES = 32 << 20          # payload bytes of one archive, about
 LEVEL = 3
 DATE = "1970-01-01T00:00:00Z"
 
-_ROWS = "archive bigint, frame binary"
 _RECORD = ("uri string, record_id string, page_id bigint, record_type string, refers_to bigint, "
            "payload_bytes bigint, payload_digest string, payload binary")
 
 
-def train_dictionary(df: DataFrame, payload: str) -> bytes:
-    """A dictionary from at most SAMPLE_ROWS payloads, those with the smallest hashes."""
+def train_dictionary(df: DataFrame, payload: str, rows: int) -> bytes:
+    """A dictionary from about SAMPLE_ROWS of the `rows` payloads, taken by their hash."""
     head = F.substring(F.col(payload), 1, SAMPLE_BYTES)
-    rows = (df.select(head.alias("p"), F.xxhash64(payload).alias("h")).filter(F.length("p") > 0)
-            .orderBy("h").limit(SAMPLE_ROWS).collect())
-    samples = [bytes(r["p"]) for r in rows]
+    place = F.pmod(F.xxhash64(payload), F.lit(1 << 30))
+    taken = df.filter(place < float(SAMPLE_ROWS) / max(rows, SAMPLE_ROWS) * (1 << 30))
+    samples = sorted(bytes(r["p"]) for r in
+                     taken.select(head.alias("p")).filter(F.length("p") > 0).distinct().collect())
     if not samples:
         return b""
     try:
@@ -95,50 +96,38 @@ def _frames(dictionary):
         held = zstandard.ZstdCompressionDict(given) if given else None
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_checksum=True,
                                           write_content_size=True)
-        now = None
+        rows = [struct.pack("<II", DICTIONARY_MAGIC, len(given)) + given] if given else []
         for batch in batches:
-            rows: list[tuple[int, bytes]] = []
-            for archive, page, url, payload, digest, size, refers in zip(
-                    *(c.to_pylist() for c in batch.columns)):
-                if archive != now:
-                    now = archive
-                    if given:
-                        rows.append((archive, struct.pack("<II", DICTIONARY_MAGIC, len(given)) + given))
-                rows.append((archive, packer.compress(record(
-                    page, url, payload, digest, size, refers))))
+            rows += [packer.compress(record(*r)) for r in zip(*(c.to_pylist() for c in batch.columns))]
             if rows:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.binary())],
-                    names=["archive", "frame"])
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["frame"])
+            rows = []
     return run
 
 
 def write_archives(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url",
                    payload_col: str = "html", min_revisit: int = 100,
                    archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """Write one archive file per partition of about `archive_bytes` of payload."""
+    """Write archives of about `archive_bytes` of payload, one per partition. Payloads move once."""
     spark = df.sparkSession
     pages = df.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"),
                       F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
     pages = pages.withColumn("digest", F.sha2("payload", 256)).withColumn(
-        "size", F.length("payload").cast("bigint"))
-    narrow = pages.select("page_id", "digest", "size")
-    total = narrow.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    equal = (narrow.filter(F.col("size") >= min_revisit).groupBy("digest")
-             .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"),
-                  F.max(F.col("page_id").isNull()).alias("no_id")).filter("n > 1")
-             .select(F.col("digest").alias("same"), "first", "no_id"))
-    first = F.when(F.col("no_id"), F.lit(None)).otherwise(F.col("first"))
-    revisit = F.col("same").isNotNull() & ~F.col("page_id").eqNullSafe(first)
-    dictionary = spark.sparkContext.broadcast(train_dictionary(pages, "payload"))
-    dealt = F.pmod(F.xxhash64("page_id", "digest"), F.lit(total // archive_bytes + 1))
-    rows = (pages.join(equal, F.col("digest") == F.col("same"), "left")
-            .select(dealt.alias("archive"), "page_id", "url",
-                    F.when(~revisit, F.col("payload")).alias("payload"), "digest", "size",
-                    F.when(revisit, first).alias("refers_to")))
-    rows = rows.repartition(total // archive_bytes + 1, "archive").sortWithinPartitions(
-        "archive", "page_id")
-    (rows.mapInArrow(_frames(dictionary), _ROWS).select(F.col("frame").cast("string").alias("value"))
+        "size", F.length("payload").cast("bigint")).withColumn(
+        "key", F.coalesce("page_id", F.lit(NO_ID)))
+    narrow = pages.select("key", "digest", "size")
+    rows, total = narrow.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    archives = total // archive_bytes + 1
+    large = narrow.filter(F.col("size") >= min_revisit)
+    equal = large.groupBy("digest").agg(F.min("key").alias("first"), F.max("key").alias("other"))
+    revisits = (large.join(equal.filter("first < other").drop("other"), "digest")
+                .filter("first < key").select("key", "digest", "first").distinct())
+    dictionary = spark.sparkContext.broadcast(train_dictionary(pages, "payload", rows))
+    placed = pages.repartition(archives, "key", "digest").join(
+        revisits.repartition(archives, "key", "digest"), ["key", "digest"], "left")
+    (placed.select("page_id", "url", F.when(F.col("first").isNull(), F.col("payload")), "digest", "size",
+                   F.when(F.col("first") != NO_ID, F.col("first")))
+     .mapInArrow(_frames(dictionary), "frame binary").select(F.col("frame").cast("string").alias("value"))
      .write.option("lineSep", SEPARATOR).text(folder))
 
 
@@ -158,7 +147,6 @@ def frames(data: bytes, name: str) -> Iterator[tuple[int, bytes]]:
             if at + 8 + size > end:
                 raise fault(name, at, "cut off skippable frame")
             if magic == DICTIONARY_MAGIC:
-                # A further dictionary opens the next archive of the same file.
                 held = zstandard.ZstdCompressionDict(dictionary_of(data[at + 8:at + 8 + size]))
                 unpacker = None
             at += 8 + size
