@@ -1,11 +1,91 @@
-"""The corpus pipeline: stages in order, each over all rows that its predecessor kept."""
+"""The corpus pipeline: stages in order, each over all rows that its predecessor kept.
+
+language     learn languages on the rows that are not held out, reject texts without a letter and
+             texts whose language is unclear (score under MIN_SCORE)
+exact        of texts equal up to blanks the longest stays; of rows that repeat an id one stays
+near         of texts linked by 0.8 of their five-word shingles the smallest id stays
+repeats      strings of 50 bytes or more that an earlier document holds are cut out; a character cut in two
+             goes whole, n_chars follows, and a document with nothing left goes
+pack         the rest as token pieces in sequences of 1024
+
+All but the last return the columns of their input. Null texts are rejected by the first stage; a null id is
+an id like any other. An empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from gapline.llm import exact, language, minhash, packing, suffixes
+from gapline.llm.queries import BYTE_BPE
+from gapline.operators.scale import cut_lineage
+
+MIN_SCORE = 0.3
+NEAR_PERCENT = 80
+BROADCAST_ROWS = 1_000_000        # ids that may be broadcast: 16 MB
+
+
+def _with_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join on doc_id, null matching null; ids are broadcast only while few."""
+    ids = ids.select(F.col("doc_id").alias("_id")).distinct()
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    return docs.join(ids, docs["doc_id"].eqNullSafe(F.col("_id")), how)
+
+
+def _without_dropped(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """Rows of the ids that stay. Of rows that share an id, one stays, the first by its text."""
+    decided = cut_lineage(decided.select("doc_id", "kept"))
+    ids = cut_lineage(decided.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")))
+    left = _with_ids(docs, ids.filter("not kept"), "left_anti")
+    again = ids.filter("kept and n > 1")
+    if again.isEmpty():
+        return left
+    rest = F.struct(*[c for c in docs.columns if c != "doc_id"])
+    once = _with_ids(left, again, "left_semi").groupBy("doc_id").agg(
+        F.min_by(rest, F.struct("text", F.hash(rest))).alias("_rest"))
+    return _with_ids(left, again, "left_anti").unionByName(
+        once.select("doc_id", "_rest.*").select(*docs.columns))
+
+
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return language.keep_identified(docs, language.learn(docs), MIN_SCORE)
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _without_dropped(docs, exact.exact_duplicates(docs))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _without_dropped(docs, minhash.near_duplicates(docs, NEAR_PERCENT))
+
+
+def _whole_characters(kept: pd.Series) -> pd.Series:
+    return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    cut = suffixes.remove_repeats(docs).filter("n_removed > 0").select("doc_id", "kept")
+    whole = F.pandas_udf(_whole_characters, StringType())
+    changed = cut_lineage(cut.select(F.col("doc_id").alias("_id"), whole("kept").alias("_text")))
+    same = _with_ids(docs, changed.select(F.col("_id").alias("doc_id")), "left_anti")
+    new = _with_ids(docs.drop("text", "n_chars"), changed.select(F.col("_id").alias("doc_id")), "left_semi") \
+        .join(changed.filter("_text <> ''"), F.col("doc_id").eqNullSafe(F.col("_id")))
+    new = new.withColumn("text", F.col("_text")).withColumn(
+        "n_chars", F.length("_text").cast(dict(docs.dtypes).get("n_chars", "bigint")))
+    return same.unionByName(new.select(*docs.columns))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, BYTE_BPE, size=1024, end_id=2).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
 
-STAGES: list = []
-ORACLE_SQL = None      # language ID, edit-tolerant links and packing are beyond SQL
+STAGES = [("language", identify), ("exact", exact_copies), ("near", near_copies), ("repeats", repeats),
+          ("pack", pack)]
+ORACLE_SQL = None      # SQL expresses neither the learned languages nor the packing
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

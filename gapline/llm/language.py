@@ -245,3 +245,18 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return df.select(F.col(id_col).cast("bigint").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"),
                      F.coalesce(F.col(text_col), F.lit("")).alias("text")
                      ).mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double")
+
+
+def keep_identified(df: DataFrame, model: Model, min_score: float, text_col: str = "text") -> DataFrame:
+    """The rows of any table, all columns as they are, whose language is known with `min_score` or more."""
+    held = df.sparkSession.sparkContext.broadcast(model)
+    place = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, text_col, 1 << 20):
+            for at in range(0, part.num_rows, ROWS_AT_ONCE):
+                piece = part.slice(at, ROWS_AT_ONCE)
+                lang, score = held.value.predict([t or "" for t in piece.column(place).to_pylist()])
+                yield piece.filter(pa.array([x != UNKNOWN and s >= min_score for x, s in zip(lang, score)]))
+
+    return df.mapInArrow(run, df.schema)

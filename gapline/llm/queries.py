@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapline.llm import bpe, embedding, exact, language, lines, minhash, packing, preference, warc
+from gapline.llm import bpe, embedding, exact, language, lines, minhash, packing, preference, suffixes, warc
 from gapline.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -14,6 +14,30 @@ __all__ = ["ORACLES", "QUERIES"]
 BYTE_BPE = str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query("op1_suffix_dedup", """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+  g AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS g FROM (
+    SELECT doc_id, h, unnest(range(len(h) // 2 - 49)) AS p FROM d WHERE len(h) >= 100)),
+  m AS (SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY g) AS first_id FROM g)
+    WHERE first_id < doc_id),
+  s AS (SELECT doc_id, p, CASE WHEN p > lag(p, 1, -1000) OVER w + 50 THEN 1 ELSE 0 END AS opens
+    FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+  r AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM (SELECT doc_id, p, sum(opens)
+    OVER (PARTITION BY doc_id ORDER BY p) AS k FROM s) GROUP BY doc_id, k),
+  e AS (SELECT doc_id, a, b, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS next_a,
+    row_number() OVER (PARTITION BY doc_id ORDER BY a) AS i FROM r),
+  k AS (SELECT e.doc_id, count(*) AS n_spans, CAST(sum(b - a) AS BIGINT) AS n_removed,
+    max(CASE WHEN i = 1 THEN substr(h, 1, 2 * a) END)
+      || string_agg(substr(h, 2 * b + 1, 2 * (coalesce(next_a, len(h) // 2) - b)), '' ORDER BY a) AS kept
+    FROM e JOIN d ON d.doc_id = e.doc_id GROUP BY e.doc_id)
+SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed,
+  coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id""")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf, "documents"), length=50).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op2_document_fingerprints")
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     return embedding.edited_fingerprints(table(spark, sf, "documents"))
