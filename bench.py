@@ -78,7 +78,7 @@ def main() -> None:
     sides = timed("device_split_and_encode", lambda: tr.device_sides(
         dv.device_mtbf(log), "assetnum", edges=base.DAY_EDGES))
     model = timed("forest_fit", lambda: md.fit(
-        md.forest(*md.FOREST_PLAIN), sides.train, sides.features, tr.TARGET))
+        md.forest(**md.FOREST_PLAIN), sides.train, sides.features, tr.TARGET))
     row = timed("forest_score", lambda: regression_metrics(
         md.predict(model, sides.test), tr.TARGET, "predicted", 1.0).first())
     facts["devices_trained"] = sides.train.count()

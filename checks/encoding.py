@@ -10,6 +10,7 @@ from gapline.functions.times import day_period
 from gapline.operators import encode as en
 from gapline.operators import split as sp
 from gapline.operators.nearest import append_rows, oversample
+from gapline.operators.scale import with_totals
 from gapline.plans.events import PERIOD_FLAGS
 from gapline.plans.training import DEVICE_FEATURES, with_stratum
 
@@ -96,7 +97,11 @@ def _(spark, d):
     return rows.select("wonum", flag(kind, "CBM").alias("is_cbm"))
 
 
-@query("n6_hash_buckets")
+_BUCKET = "CAST(CAST('0x' || substr(md5({}), 1, 8) AS BIGINT) % {} AS INTEGER)"
+
+
+@query("n6_hash_buckets", "WITH " + WO + f""" SELECT wonum, {_BUCKET.format("coalesce(station_name, '')", 500)} AS station_enc,
+  {_BUCKET.format("coalesce(cust_brand, '')", 100)} AS brand_enc FROM wo""")
 def _(spark, d):
     return wo(spark, d).select("wonum", hash_bucket(F.col("station_name"), 500).alias("station_enc"),
                                hash_bucket(F.col("cust_brand"), 100).alias("brand_enc"))
@@ -151,12 +156,15 @@ def _(spark, d):
     return sp.group_split(table(spark, d, "customer"), "c_custkey", stratum="c_mktsegment", hot_rows=200)
 
 
-@query("v3_x2_shared_devices", "SELECT c_custkey AS assetnum FROM customer WHERE false")
+@query("v3_x2_shared_devices", f"""WITH s AS ({_STRATIFIED}) SELECT count(*) FILTER (NOT is_test) AS train_devices,
+  count(*) FILTER (is_test) AS test_devices, count(*) - count(DISTINCT assetnum) AS shared_devices FROM s""")
 def _(spark, d):
     rows = strata(spark, d)
     split = sp.group_split(rows, "assetnum", stratum="stratum")
-    return sp.shared_keys(sp.take_side(rows, split, "assetnum", False),
-                          sp.take_side(rows, split, "assetnum", True), "assetnum")
+    train, test = (sp.take_side(rows, split, "assetnum", side) for side in (False, True))
+    one = F.count_distinct("assetnum")
+    return with_totals(with_totals(train.agg(one.alias("train_devices")), test.agg(one.alias("test_devices"))),
+                       sp.shared_keys(train, test, "assetnum").agg(F.count(F.lit(1)).alias("shared_devices")))
 
 
 @query("l3_sample_rows", f"SELECT o_orderkey, o_totalprice FROM orders ORDER BY {_ORDER.format('o_orderkey', 'o_orderkey')} LIMIT 2000")
@@ -164,9 +172,11 @@ def _(spark, d):
     return sp.sample_rows(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), 2000, ["o_orderkey"])
 
 
-@query("l4_bootstrap")
+@query("l4_bootstrap", """WITH n AS (SELECT count(*) AS n FROM orders), r AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS no
+  FROM orders) SELECT o_orderkey, o_totalprice FROM n, range(1, CAST(n.n + 1 AS BIGINT)) AS k(k) JOIN r
+  ON no = 1 + CAST('0x' || substr(md5(concat(CAST(k AS VARCHAR), ':42')), 1, 15) AS BIGINT) % n.n""")
 def _(spark, d):
-    return sp.bootstrap(table(spark, d, "orders"))
+    return sp.bootstrap(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"])
 
 
 @query("l5_folds", """SELECT o_orderkey, CAST(CAST('0x' || substr(md5(concat(CAST(o_orderkey AS VARCHAR), ':42')), 1, 8)

@@ -259,7 +259,7 @@ def _six(df):
 
 @query("event_table_2_history", _V2_SQL)
 def _(spark, d):
-    return _six(pe.history_events(wo(spark, d)))
+    return _six(pe.history_events(wo(spark, d), no_history="target"))
 
 
 _V3_SQL = "WITH " + _WGAPS + """, many AS (SELECT * FROM gaps WHERE gap_h IS NOT NULL AND assetnum IN
@@ -279,12 +279,12 @@ _V3_SQL = "WITH " + _WGAPS + """, many AS (SELECT * FROM gaps WHERE gap_h IS NOT
 
 @query("event_table_3_history_raw", _V3_SQL)
 def _(spark, d):
-    return _six(pe.history_events_raw(wo(spark, d)))
+    return _six(pe.history_events_raw(wo(spark, d), no_history="target"))
 
 
 @query("event_table_3_hot_devices", _V3_SQL)
 def _(spark, d):
-    return _six(pe.history_events_raw(wo(spark, d), hot_rows=60))
+    return _six(pe.history_events_raw(wo(spark, d), no_history="target", hot_rows=60))
 
 
 _V4_SQL = "WITH " + _WPOS + ", " + _wo_history("pos") + f""",
@@ -327,4 +327,4 @@ def _(spark, d):
 
 @query("v2_no_nulls_in_modelling_table", "SELECT CAST(0 AS BIGINT) AS nulls")
 def _(spark, d):
-    return null_total(pe.history_events(wo(spark, d)))
+    return null_total(pe.history_events(wo(spark, d), no_history="target"))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from checks.base import MODELS, POS, PRED, log, pred, query, rounded
-from checks.models import FOREST, TARGET, sides
+from checks.models import IMPORTANCE, PLAIN, SIDES, TARGET, importance_facts, sides
 from checks.stats import (_CELLS_SQL, _FEATURES, _FEATURE_SQL, _TRIO, _vif_sql, all_metrics,
                           box_sql, features, gaps, histogram_sql, _round_metrics)
+from pyspark.sql import functions as F
+
 from gapline.operators import metrics as m
 from gapline.operators import models as md
 from gapline.plans import reports as rp
@@ -97,11 +99,11 @@ def _(spark, d):
     return rounded(rp.residual_scatter(pred(spark, d), ["assetnum"], "actual", "mid"))
 
 
-@query("r11_feature_importance_top")
+@query("r11_feature_importance_top", IMPORTANCE)
 def _(spark, d):
     s = sides(spark, d)
-    model = md.fit(FOREST, s.train, s.features, TARGET)
-    return rp.top_importances(md.importances(spark, model, s.features), 10)
+    model = md.fit(PLAIN, s.train, s.features, TARGET)
+    return importance_facts(rp.top_importances(md.importances(spark, model, s.features)), s.features)
 
 
 _APE = "abs((actual - mid) / actual) * 100"
@@ -123,8 +125,12 @@ def _(spark, d):
     return rp.feature_summary(log(spark, d), gaps(spark, d), "assetnum", "current_faildate", ["wonum"], 5)
 
 
-@query("r13_training_summary")
+@query("r13_training_summary", "WITH " + SIDES + """ SELECT count(*) FILTER (NOT is_test) AS train_rows,
+  count(DISTINCT assetnum) FILTER (NOT is_test) AS train_devices, count(*) FILTER (is_test) AS test_rows,
+  count(DISTINCT assetnum) FILTER (is_test) AS test_devices, true AS known FROM t""")
 def _(spark, d):
     s = sides(spark, d)
-    done = md.train_and_compare({"ridge": md.ridge(10.0), "forest": FOREST}, s.train, s.test, s.features, TARGET)
-    return rp.training_summary(done.table(1.0), s.train, s.test, "assetnum")
+    done = md.train_and_compare({"ridge": md.ridge(10.0), "forest": PLAIN}, s.train, s.test, s.features, TARGET)
+    out = rp.training_summary(done.table(1.0), s.train, s.test, "assetnum")
+    return out.select("train_rows", "train_devices", "test_rows", "test_devices",
+                      (F.col("model").isin("ridge", "forest") & (F.col("accuracy") > 0)).alias("known"))

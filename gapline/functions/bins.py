@@ -50,5 +50,9 @@ def tier(accuracy: Column, tiers: Sequence[tuple[float, str]] = ACCURACY_TIERS)
 
 
 def hash_bucket(c: Column, buckets: int) -> Column:
-    """Stable bucket of a category, the same in every process."""
-    return F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int")
+    """Bucket of a category from the leading digits of its MD5, the same in every engine.
+
+    Null is the empty text.
+    """
+    digits = F.conv(F.substring(F.md5(F.coalesce(c.cast("string"), F.lit(""))), 1, 8), 16, 10)
+    return F.pmod(digits.cast("bigint"), F.lit(buckets)).cast("int")

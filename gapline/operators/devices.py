@@ -44,7 +44,7 @@ def with_band(df: DataFrame, tl: Timeline = Timeline(), *, low: float = 10.0, pr
         hot = _gaps_in_segments(hot, tl)
         bands = quantiles(hot.select(tl.device, positive.alias("gap_h")), "gap_h",
                           {"band_high": prob}, tl.device, hot_rows)
-        # One row per hot device: bounded by MAX_HOT_KEYS.
+        # One row per hot device: at most rows / hot_rows of them.
         bands = F.broadcast(bands.withColumnRenamed(tl.device, "_device"))
         hot = hot.join(bands, F.col(tl.device).eqNullSafe(F.col("_device")), "left")
     return union_parts(cold, hot).withColumn("in_band", F.coalesce(

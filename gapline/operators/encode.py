@@ -12,13 +12,16 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapline.operators.scale import (HOT_ROWS, MAX_LOOKUP_ROWS, bounded_rows, cut_lineage,
+from gapline.operators.scale import (HOT_ROWS, MAX_LOOKUP_ROWS, cut_lineage,
                                      lookup_join, row_numbers, with_totals)
 
 # Strength of the prior, and the text that stands for a missing category.
 PRIOR_ROWS = 10
 MISSING = "nan"
 
+MAX_LOOKUP_BYTES = 16 << 20    # text of a column's categories that may be broadcast
+ROW_BYTES = 60                 # of a category row besides its text, about
+
 
 def fit_categories(df: DataFrame, columns: Sequence[str], target: str | None = None,
                    prior: float = PRIOR_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -44,19 +47,21 @@ def fit_categories(df: DataFrame, columns: Sequence[str], target: str | None = N
         F.sum(F.when(known, F.col("_rows"))).alias("_known"),
         (F.try_divide(F.sum("_sum"), F.sum("_n"))).alias("_mean"))
     mean = F.try_divide(F.col("_sum") + F.col("_mean") * prior, F.col("_n") + F.lit(prior))
-    return counts.join(labels, ["column", "label"]).join(totals, "column").select(
+    return counts.join(labels, ["column", "label"]).join(F.broadcast(totals), "column").select(
         "column", "value", "label", (F.col("_no") - 1).cast("int").alias("code"),
         F.when(known, F.col("_rows") / F.col("_known")).alias("share"),
         F.when(known, mean).alias("target_mean"))
 
 
 class Categories:
-    """A fitted category table, kept as local rows when it is small enough to broadcast."""
+    """A fitted category table. Each column's part is broadcast if its own rows and bytes allow it."""
 
-    def __init__(self, table: DataFrame, max_rows: int = MAX_LOOKUP_ROWS):
-        small = bounded_rows(table, max_rows)
-        self.small = small is not None
-        self.table = small if self.small else cut_lineage(table)
+    def __init__(self, table: DataFrame, max_rows: int = MAX_LOOKUP_ROWS,
+                 max_bytes: int = MAX_LOOKUP_BYTES):
+        self.table = cut_lineage(table)
+        text = F.coalesce(F.octet_length("value"), F.lit(0)) + F.octet_length("label") + ROW_BYTES
+        sizes = self.table.groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.sum(text).alias("b"))
+        self.small = {r["column"] for r in sizes.collect() if r["n"] <= max_rows and r["b"] <= max_bytes}
 
     def join(self, df: DataFrame, column: str, what: str, name: str) -> DataFrame:
         """Add the fitted `what` (code, share or target_mean) of the column as `name`."""
@@ -70,7 +75,7 @@ class Categories:
                 F.col("value").alias("_value"), F.col(what).alias(name))
         # Broadcast only a table counted to be small; beyond it, shuffle and let adaptive
         # execution split a category that holds much of the rows.
-        side = F.broadcast(side) if self.small else side
+        side = F.broadcast(side) if column in self.small else side
         return df.withColumn("_text", text).join(
             side, F.col("_text") == F.col("_value"), "left").drop("_text", "_value")
 
@@ -103,7 +108,7 @@ def out_of_fold_target_means(df: DataFrame, column: str, target: str, fold: str,
     totals = parts.groupBy(column).agg(F.sum("_s").alias("_ts"), F.sum("_n").alias("_tn"))
     folds = parts.groupBy(fold).agg(F.sum("_s").alias("_fs"), F.sum("_n").alias("_fn"))
     overall = parts.agg(F.sum("_s").alias("_as"), F.sum("_n").alias("_an"))
-    others = with_totals(parts.join(totals, column).join(folds, fold), overall)
+    others = with_totals(parts.join(totals, column).join(F.broadcast(folds), fold), overall)
     mean = F.try_divide(F.col("_as") - F.col("_fs"), F.col("_an") - F.col("_fn"))
     n = F.col("_tn") - F.col("_n")
     code = (F.col("_ts") - F.col("_s") + mean * prior) / (n + F.lit(prior))

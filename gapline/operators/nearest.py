@@ -148,7 +148,12 @@ def oversample(df: DataFrame, stratum: str, features: Sequence[str], id_col: str
     counts = rows.filter(F.col(stratum).isNotNull()).groupBy(stratum).count()
     sizes = {r[0]: r[1] for r in counts.collect()}
     goal = max(sizes.values(), default=0)
-    parts = [_synthetic(rows.filter(F.col(stratum) == s), stratum, features, id_col, goal - n, n, k,
+    # A stratum of one row has no neighbour: its row is repeated.
+    alone = [rows.filter(F.col(stratum) == s).select(
+        stratum, *[F.col(c).cast("double").alias(c) for c in features], F.col(id_col).alias("source_id"),
+        F.explode(F.sequence(F.lit(1), F.lit(goal - 1)))).drop("col")
+        for s, n in sorted(sizes.items()) if n == 1 < goal]
+    parts = alone + [_synthetic(rows.filter(F.col(stratum) == s), stratum, features, id_col, goal - n, n, k,
                         seed, hot_rows) for s, n in sorted(sizes.items()) if 1 < n < goal]
     if not parts:
         return df.select(stratum, *features, F.col(id_col).alias("source_id")).limit(0)

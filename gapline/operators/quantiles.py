@@ -52,7 +52,7 @@ def _narrowed(rows: DataFrame, by: str, probs: dict[str, float], accuracy: int,
                  (F.col("_min") if p <= margin else F.col("_edges")[2 * i]).alias("low"),
                  (F.col("_max") if p >= 1 - margin else F.col("_edges")[2 * i + 1]).alias("high"))
         for i, p in enumerate(probs.values())])
-    # One row per hot group, at most MAX_HOT_KEYS of them: the broadcast is bounded.
+    # One row per hot group, at most rows / hot_rows of them.
     brackets = sketch.select(F.col(by).alias("_by"), "_n", wanted.alias("_wanted"))
     tagged = rows.join(F.broadcast(brackets), F.col(by).eqNullSafe(F.col("_by")))
     below = tagged.groupBy(by).agg(*[
@@ -60,8 +60,10 @@ def _narrowed(rows: DataFrame, by: str, probs: dict[str, float], accuracy: int,
         for i in range(len(probs))])
     below = below.select(F.col(by).alias("_by2"),
                          F.array(*[F.col(f"_below{i}") for i in range(len(probs))]).alias("_below"))
+    # Only rows inside a bracket are grouped by value.
+    near = tagged.filter(F.exists("_wanted", lambda w: (F.col("_v") >= w["low"]) & (F.col("_v") <= w["high"])))
     inside = (
-        tagged.groupBy(by, "_v").agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"),
+        near.groupBy(by, "_v").agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"),
                                      F.first("_wanted").alias("_wanted"))
         .select(by, "_v", "_c", "_n", F.explode(F.filter(
             "_wanted", lambda w: (F.col("_v") >= w["low"]) & (F.col("_v") <= w["high"]))).alias("_w"))

@@ -17,8 +17,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 HOT_ROWS = 5_000_000      # rows of one key that a single task sorts without trouble
-MAX_HOT_KEYS = 10_000     # the largest keys; any other key holds under 1/10,000 of the rows
-MAX_SEGMENTS = 20_000     # segments over all hot keys
 MAX_LOOKUP_ROWS = 100_000  # rows of a lookup table that may be broadcast
 SEGMENT = "_segment"
 ONE_GROUP = "_all"
@@ -41,12 +39,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def heavy_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> list[tuple[object, int]]:
     """The largest keys above `hot_rows`, as (key, rows).
 
-    At most MAX_HOT_KEYS come back. Any key left out is no larger than the smallest of
-    them, hence below a 1/MAX_HOT_KEYS share of the table.
+    None is left out. A table of n rows has at most n / hot_rows of them, so 10^12 rows give at
+    most 200,000 at the default.
     """
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > hot_rows)
-    top = counts.orderBy(F.desc("_rows"), F.col(key)).limit(MAX_HOT_KEYS)
-    return [(r[0], r[1]) for r in top.collect()]
+    return [(r[0], r[1]) for r in counts.orderBy(F.desc("_rows"), F.col(key)).collect()]
 
 
 def is_one_of(c: Column, values: Sequence) -> Column:
@@ -67,7 +64,7 @@ def split_hot(df: DataFrame, key: str, order: Sequence[str],
     if not hot:
         return df, None
     mask = is_one_of(F.col(key), [k for k, _ in hot])
-    segments = min(MAX_SEGMENTS, sum(n for _, n in hot) // max(hot_rows, 1) + 1)
+    segments = sum(n for _, n in hot) // max(hot_rows, 1) + 1
     rows = df.filter(mask).repartitionByRange(max(segments, 2), key, *order)
     return df.filter(~mask), cut_lineage(rows.withColumn(SEGMENT, F.spark_partition_id()))
 
@@ -78,8 +75,8 @@ def carry(rows: DataFrame, key: str, summary: dict[str, Column],
 
     `summary` is aggregated per (key, segment). `carried` builds the joined columns from
     two windows over those summaries: the earlier segments, and the earlier ones plus
-    this one. The summaries number at most MAX_SEGMENTS + MAX_HOT_KEYS, so the broadcast
-    is bounded whatever the size of the table.
+    this one. There is about one summary per `hot_rows` rows: the broadcast is a few
+    millionths of the hot rows.
     """
     per_segment = rows.groupBy(key, SEGMENT).agg(*[c.alias(n) for n, c in summary.items()])
     order = Window.partitionBy(key).orderBy(SEGMENT)

@@ -51,9 +51,18 @@ def sample_rows(df: DataFrame, n: int, ids: Sequence[str], seed: int = SEED) ->
             .drop("_hash"))
 
 
-def bootstrap(df: DataFrame, seed: int = SEED) -> DataFrame:
-    """Resample with replacement, about as many rows as before."""
-    return df.sample(withReplacement=True, fraction=1.0, seed=seed)
+def bootstrap(df: DataFrame, ids: Sequence[str], seed: int = SEED,
+              hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Resample with replacement, exactly as many rows as before.
+
+    Draw k takes the row whose place in the order of `ids` its hash names.
+    """
+    rows = row_numbers(df, ids, name="_no", hot_rows=hot_rows)
+    n = df.count()
+    draws = df.sparkSession.range(1, n + 1).withColumnRenamed("id", "_draw")
+    digits = F.conv(F.substring(seeded_hash(["_draw"], seed), 1, 15), 16, 10).cast("bigint")
+    wanted = draws.select((F.pmod(digits, F.lit(max(n, 1))) + 1).alias("_no"))
+    return rows.join(wanted, "_no").drop("_no")
 
 
 def with_fold(df: DataFrame, ids: Sequence[str], folds: int = 5, seed: int = SEED,

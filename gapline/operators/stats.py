@@ -109,17 +109,6 @@ def pearson(x: Column, y: Column) -> Column:
     return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
 
 
-def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
-    """Pearson matrix over rows where all columns are known; 0 beside a constant column.
-
-    Assembled to vectors and accumulated row by row in the JVM, so the cost of a pass is the
-    k² products, not the planning of k² aggregate expressions.
-    """
-    with _kept(df.dropna("any", subset=list(columns)), columns) as rows:
-        return _matrix(rows, columns)
-
-
-@contextmanager
 def _kept(df: DataFrame, columns: Sequence[str]) -> Iterator[DataFrame]:
     """The columns as doubles, cached for the passes made over them inside the block."""
     rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).persist()

@@ -12,7 +12,7 @@ from gapline.operators.metrics import percentage_error, regression_metrics
 from gapline.operators.quantiles import quantiles
 from gapline.operators.scale import HOT_ROWS, with_totals
 from gapline.operators.split import sample_rows, thin
-from gapline.operators.stats import (box_stats, correlation_cells, group_medians, histogram,
+from gapline.operators.stats import (box_stats, correlation_cells, histogram,
                                      target_correlations, variance_inflation, vif_table)
 
 
@@ -25,7 +25,8 @@ def gap_box(events: DataFrame, gap: str = "gap_h", hot_rows: int = HOT_ROWS) ->
 
 
 def correlation_heatmap(table: DataFrame, features: Sequence[str], target: str,
-                        limit: int = 20) -> DataFrame:
+                        limit: int | None = None) -> DataFrame:
+    """All pairs of the features and the target; `limit` keeps the first features only."""
     return correlation_cells(table, [*features[:limit], target])
 
 
@@ -103,10 +104,6 @@ def error_histogram(predictions: DataFrame, actual: str, predicted: str, bins: i
                        center.select("mape", "mdape"))
 
 
-def brand_order(events: DataFrame, category: str, value: str = "gap_h") -> DataFrame:
-    return group_medians(events, category, value)
-
-
 def feature_summary(clean: DataFrame, modelled: DataFrame, device: str, time: str,
                     ties: Sequence[str], features: int) -> DataFrame:
     """Counts of the feature job: each kind of removed row on its own, all of them computed."""

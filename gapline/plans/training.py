@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gapline.functions.bins import MTBF_DAY_EDGES, hash_bucket, right_closed_bin
-from gapline.operators.encode import encode, fit as fit_categories
+from gapline.operators.encode import Categories, encode, fit as fit_categories
 from gapline.operators.models import (Comparison, Learner, fit, level_comparison, predict,
                                       top_features, train_and_compare)
+from gapline.operators.quantiles import column_quantiles
 from gapline.operators.scale import cut_lineage
 from gapline.operators.split import group_split, take_side
+from gapline.plans.events import TARGET as EVENT_TARGET, V3_HISTORY, Columns
 
 # Features of the device table in order, and the bucket counts of its categories.
 DEVICE_FEATURES = ("n_failures", "std_mtbf_h", "min_mtbf_h", "max_mtbf_h", "avg_repair_h",
@@ -29,15 +31,16 @@ def with_stratum(devices: DataFrame, edges: Sequence[float] = MTBF_DAY_EDGES,
 
 
 def encode_devices(devices: DataFrame, categories: Sequence[str] = ("station", "brand", "line"),
-                   hashed: bool = False, fit_on: DataFrame | None = None) -> DataFrame:
-    """Add <category>_enc: label codes fitted on `fit_on` (all devices by default) or hash buckets.
+                   hashed: bool = False, fitted: Categories | None = None) -> DataFrame:
+    """Add <category>_enc: label codes of `fitted` (of these devices by default) or hash buckets.
 
     Categories the fit has not seen get -1.
     """
     if hashed:
         return devices.withColumns({
             f"{c}_enc": hash_bucket(F.col(c), CATEGORY_BUCKETS.get(c, 100)) for c in categories})
-    fitted = fit_categories(devices if fit_on is None else fit_on, categories)
+    if fitted is None:
+        fitted = fit_categories(devices, categories)
     names = {c: f"{c}_enc" for c in categories}
     return encode(devices, fitted, codes=names).fillna(-1, list(names.values()))
 
@@ -60,25 +63,92 @@ def device_sides(devices: DataFrame, device: str,
     train = take_side(binned, split, device, test=False)
     test = take_side(binned, split, device, test=True)
     features = [*DEVICE_FEATURES, *[f"{c}_enc" for c in categories]]
-    return Sides(cut_lineage(encode_devices(train, categories, hashed, train)),
-                 cut_lineage(encode_devices(test, categories, hashed, train)), features)
+    fitted = None if hashed else fit_categories(train, categories)
+    return Sides(cut_lineage(encode_devices(train, categories, hashed, fitted)),
+                 cut_lineage(encode_devices(test, categories, hashed, fitted)), features)
+
+
+def _validation(train: DataFrame, device: str, share: float, seed: int) -> tuple[DataFrame, DataFrame | None]:
+    """Fit and validation rows: a share of the training devices is held back for the weights."""
+    if not share:
+        return train, None
+    split = cut_lineage(group_split(train, device, share, seed + 1))
+    return take_side(train, split, device, test=False), take_side(train, split, device, test=True)
 
 
 def compare_on_devices(devices: DataFrame, device: str, learners: Mapping[str, Learner],
-                       ensemble: Sequence[str] = (), **split) -> Comparison:
+                       ensemble: Sequence[str] = (), *, stacks: Mapping[str, Sequence[str]] | None = None,
+                       validation_share: float = 0.0, **split) -> Comparison:
+    """Models and ensembles on device rows. With a validation share the ensemble weights come from
+    training devices that the models do not see; else from the training rows."""
     sides = device_sides(devices, device, **split)
-    return train_and_compare(learners, sides.train, sides.test, sides.features, TARGET,
-                             ensemble=ensemble, keep=[device])
+    rows, held = _validation(sides.train, device, validation_share, split.get("seed", 42))
+    return train_and_compare(learners, rows, sides.test, sides.features, TARGET, ensemble=ensemble,
+                             validation=held, stacks=stacks, ids=[device], keep=[device])
+
+
+def filled(train: DataFrame, others: Sequence[DataFrame], columns: Sequence[str]) -> list[DataFrame]:
+    """The training rows and the others, unknown numbers replaced by the training median (0 if none)."""
+    medians = {r["column"]: r["median"] for r in column_quantiles(train, columns, {"median": 0.5}).collect()}
+    values = {c: float(medians[c]) if medians[c] is not None else 0.0 for c in columns}
+    return [df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(v)) for c, v in values.items()})
+            for df in (train, *others)]
+
+
+def event_sides(events: DataFrame, device: str, c: Columns = Columns(), seed: int = 42) -> Sides:
+    """Event rows with plain categories (table 3), split by device and encoded.
+
+    Rows without a target go. Label codes of brand, subsystem and fault, the shares of problem and line, and
+    the medians that stand for unknown numbers are learned from the training devices; an unseen category
+    gets code -1 and share 0.
+    """
+    codes = {c.brand: "brand_code", c.subsystem: "subsystem_code", c.fault: "fault_code"}
+    shares = {c.problem: "problem_freq", c.line: "line_freq"}
+    rows = cut_lineage(events.filter(F.col(EVENT_TARGET).isNotNull()).select(
+        device, *V3_HISTORY, *codes, *shares, EVENT_TARGET))
+    split = cut_lineage(group_split(rows, device, seed=seed))
+    sides = [take_side(rows, split, device, test=t) for t in (False, True)]
+    fitted = fit_categories(sides[0], [*codes, *shares])
+    train, test = filled(sides[0], sides[1:], V3_HISTORY)
+    features = [*V3_HISTORY, *codes.values(), *shares.values()]
+    train, test = (cut_lineage(
+        encode(side, fitted, codes=codes, shares=shares).fillna(-1, list(codes.values()))
+        .fillna(0.0, list(shares.values())).select(device, *features, EVENT_TARGET)) for side in (train, test))
+    return Sides(train, test, features)
+
+
+def compare_on_events(events: DataFrame, device: str, learners: Mapping[str, Learner],
+                      ensemble: Sequence[str] = (), *, stacks: Mapping[str, Sequence[str]] | None = None,
+                      validation_share: float = 0.2, c: Columns = Columns(), seed: int = 42) -> Comparison:
+    """The event-level training job: all learners, stacks and ensembles on table 3, one ranked table.
+
+    Folds of a stack and the validation rows are whole devices, so no model is judged on a device it has seen.
+    """
+    sides = event_sides(events, device, c, seed)
+    rows, held = _validation(sides.train, device, validation_share if ensemble else 0.0, seed)
+    return train_and_compare(learners, rows, sides.test, sides.features, EVENT_TARGET, ensemble=ensemble,
+                             validation=held, stacks=stacks, ids=[device], keep=[device])
 
 
 def event_predictions(events: DataFrame, device: str, features: Sequence[str], target: str,
                       learner: Learner, keep: int = 10, selector: Learner | None = None,
-                      seed: int = 42) -> DataFrame:
-    """Event-level control: split by device, top features by a forest, fit, predict."""
-    events = cut_lineage(events.select(device, *features, target))
+                      categories: Sequence[str] = (), seed: int = 42) -> DataFrame:
+    """Event-level control: split by device, top features by a forest, fit, predict.
+
+    Label codes <category>_enc of the categories take part in the choice. Codes and the medians that
+    stand for unknown numbers are learned from the training devices; rows without a target go.
+    """
+    events = cut_lineage(events.select(device, *features, *categories, target)
+                         .filter(F.col(target).isNotNull()))
     split = cut_lineage(group_split(events, device, seed=seed))
-    train = take_side(events, split, device, test=False)
-    test = take_side(events, split, device, test=True)
+    sides = [take_side(events, split, device, test=t) for t in (False, True)]
+    train, test = filled(sides[0], sides[1:], features)
+    if categories:
+        names = {c: f"{c}_enc" for c in categories}
+        fitted = fit_categories(sides[0], categories)
+        train, test = (cut_lineage(encode(side, fitted, codes=names).fillna(-1, list(names.values())))
+                       for side in (train, test))
+        features = [*features, *names.values()]
     chosen = top_features(train, features, target, keep, selector)
     model = fit(learner, train, chosen, target)
     return predict(model, test).select(device, F.col(target).alias("actual"), "predicted")

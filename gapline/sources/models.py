@@ -9,6 +9,8 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.feature import StandardScalerModel
 from pyspark.sql import DataFrame, SparkSession
 
+from gapline.operators.models import Stack
+
 
 def save_model(model: PipelineModel, path: str, features: Sequence[str], spark: SparkSession,
                accuracy: float | None = None, target_transform: str = "log1p") -> None:
@@ -30,5 +32,20 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(f"{path}/model")
 
 
+def save_stack(stack: Stack, path: str, features: Sequence[str], spark: SparkSession) -> None:
+    """Write the base models and the blender of a stack, and the order of the bases."""
+    for i, model in enumerate(stack.bases.values()):
+        save_model(model, f"{path}/base{i}", features, spark)
+    stack.blender.write().overwrite().save(f"{path}/blender")
+    spark.createDataFrame(list(enumerate(stack.bases)), "place int, name string").coalesce(1).write.mode(
+        "overwrite").parquet(f"{path}/bases")
+
+
+def load_stack(spark: SparkSession, path: str) -> Stack:
+    names = [r["name"] for r in spark.read.parquet(f"{path}/bases").orderBy("place").collect()]
+    return Stack({n: load_model(f"{path}/base{i}") for i, n in enumerate(names)},
+                 PipelineModel.load(f"{path}/blender"))
+
+
 def load_metadata(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/metadata")
