@@ -16,13 +16,14 @@ import pandas as pd
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from gapline.operators.scale import HOT_ROWS, cut_lineage, row_numbers
 from gapline.operators.split import SEED, seeded_hash
 
 BUCKET_ROWS = 2_000    # wanted rows of one base bucket and of one query chunk
-MAX_BUCKETS = 4_096    # so the cut points are few; beyond, buckets grow with the table
 BLOCK = 64             # queries measured at once inside a task
+BASE_BLOCK = 4_096     # base rows measured at once
 
 
 def _direction(dims: int) -> list[float]:
@@ -39,25 +40,27 @@ def nearest(queries: DataFrame, base: DataFrame, *, id_col: str, vector: str, k:
             exclude_self: bool = False, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(query, neighbor, distance, place): the k base rows of least squared distance per query.
 
-    Equal distances go by id. Both tables hold `id_col` (bigint) and `vector` (array<double>).
+    Equal distances go by id. Both tables hold `id_col` (a whole number or text) and `vector`
+    (array<double>).
     """
+    kind = "string" if isinstance(base.schema[id_col].dataType, StringType) else "bigint"
     first = base.select(F.size(vector)).first()
     if first is None:
         return queries.sparkSession.createDataFrame(
-            [], "query bigint, neighbor bigint, distance double, place int")
+            [], f"query {kind}, neighbor {kind}, distance double, place int")
     weights = _direction(first[0])
     keep = k + 1 if exclude_self else k
     # Of identical vectors only the smallest ids can be among the k; the limit is applied on
     # both sides of the shuffle, so a vector copied a million times stays cheap.
     copies = Window.partitionBy("vec").orderBy("nid")
     points = (
-        base.select(F.col(id_col).cast("bigint").alias("nid"),
+        base.select(F.col(id_col).cast(kind).alias("nid"),
                     F.col(vector).cast("array<double>").alias("vec"))
         .withColumn("_copy", F.row_number().over(copies)).filter(F.col("_copy") <= keep)
         .drop("_copy").withColumn("p", _project(F.col("vec"), weights)))
-    buckets = min(MAX_BUCKETS, max(1, points.count() // bucket_rows))
+    buckets = max(1, points.count() // bucket_rows)
     marks = [i / buckets for i in range(1, buckets)]
-    cuts = points.agg(F.percentile_approx("p", marks, 10_000)).first()[0] if marks else []
+    cuts = points.agg(F.percentile_approx("p", marks, max(10_000, 4 * buckets))).first()[0] if marks else []
     splits = [-math.inf, *sorted(set(cuts)), math.inf]
     bucketer = Bucketizer(splits=splits) if len(splits) > 2 else None
 
@@ -68,10 +71,10 @@ def nearest(queries: DataFrame, base: DataFrame, *, id_col: str, vector: str, k:
         return out.withColumn(name, F.col(name).cast("int"))
 
     points = placed(points, "p", "bucket").drop("p")
-    asked = queries.select(F.col(id_col).cast("bigint").alias("qid"),
+    asked = queries.select(F.col(id_col).cast(kind).alias("qid"),
                            F.col(vector).cast("array<double>").alias("vec"))
     asked = placed(asked.withColumn("p", _project(F.col("vec"), weights)), "p", "bucket")
-    near = _measure(asked, points, k, exclude_self, bucket_rows)
+    near = _measure(asked, points, k, exclude_self, bucket_rows, kind)
     radius = near.groupBy("qid").agg(F.max("distance").alias("_d"), F.count(F.lit(1)).alias("_k"))
     # A little slack keeps rounding from hiding a neighbor that sits exactly on the border.
     reach = F.when(F.col("_k") >= k, F.sqrt("_d") * (1 + 1e-9) + 1e-9)
@@ -83,7 +86,7 @@ def nearest(queries: DataFrame, base: DataFrame, *, id_col: str, vector: str, k:
         wide.select("qid", "vec", F.col("bucket").alias("_own"),
                     F.explode(F.sequence("_b0", "_b1")).alias("bucket"))
         .filter(F.col("bucket") != F.col("_own")).drop("_own"))
-    found = near.unionByName(_measure(more, points, k, exclude_self, bucket_rows))
+    found = near.unionByName(_measure(more, points, k, exclude_self, bucket_rows, kind))
     # At most k rows per visited bucket and query, limited before the shuffle as well.
     place = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "nid"))
     return found.withColumn("place", place).filter(F.col("place") <= k).select(
@@ -91,9 +94,9 @@ def nearest(queries: DataFrame, base: DataFrame, *, id_col: str, vector: str, k:
 
 
 def _measure(asked: DataFrame, points: DataFrame, k: int, exclude_self: bool,
-             chunk_rows: int) -> DataFrame:
+             chunk_rows: int, kind: str) -> DataFrame:
     """Best k per query among the points of its bucket."""
-    # One row per bucket, at most MAX_BUCKETS: the broadcasts are bounded.
+    # One row per bucket of `bucket_rows` points.
     load = asked.groupBy("bucket").agg(
         F.ceil(F.count(F.lit(1)) / chunk_rows).cast("int").alias("_chunks"))
     left = asked.join(F.broadcast(load), "bucket").select(
@@ -104,14 +107,12 @@ def _measure(asked: DataFrame, points: DataFrame, k: int, exclude_self: bool,
         "nid", "vec")
 
     def best(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat(list(_blocks(q, b, k, exclude_self)) or [_NOTHING])
+        nothing = pd.DataFrame({"qid": pd.Series(dtype=q["qid"].dtype), "nid": pd.Series(dtype=b["nid"].dtype),
+                                "distance": pd.Series(dtype="float64")})
+        return pd.concat(list(_blocks(q, b, k, exclude_self)) or [nothing])
 
     return left.groupBy("bucket", "chunk").cogroup(right.groupBy("bucket", "chunk")).applyInPandas(
-        best, "qid bigint, nid bigint, distance double")
-
-
-_NOTHING = pd.DataFrame({"qid": pd.Series(dtype="int64"), "nid": pd.Series(dtype="int64"),
-                         "distance": pd.Series(dtype="float64")})
+        best, f"qid {kind}, nid {kind}, distance double")
 
 
 def _blocks(q: pd.DataFrame, b: pd.DataFrame, k: int,
@@ -124,7 +125,8 @@ def _blocks(q: pd.DataFrame, b: pd.DataFrame, k: int,
     vectors, names = np.stack(q["vec"].to_numpy()), q["qid"].to_numpy()
     for start in range(0, len(names), BLOCK):
         part, part_names = vectors[start:start + BLOCK], names[start:start + BLOCK]
-        d = ((part[:, None, :] - base[None, :, :]) ** 2).sum(axis=2)
+        d = np.concatenate([((part[:, None, :] - base[None, at:at + BASE_BLOCK, :]) ** 2).sum(axis=2)
+                            for at in range(0, len(base), BASE_BLOCK)], axis=1)
         if exclude_self:
             d[part_names[:, None] == ids[None, :]] = np.inf
         # The base is in id order, so a stable sort leaves ties by id.

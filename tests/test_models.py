@@ -72,3 +72,35 @@ def test_saved_model_predicts_the_same(spark, data, tmp_path):
     info = load_metadata(spark, str(tmp_path / "m")).first()
     assert before == after
     assert (info["features"], info["accuracy"], len(info["scaler_mean"])) == (["a", "b"], 90.0, 2)
+
+
+def test_deeper_trees_than_mllib_grows_are_refused():
+    with pytest.raises(ValueError):
+        md.forest(depth=50)
+    assert max(f["depth"] for f in (md.FOREST_EVENTS, md.FOREST_DEVICES, md.FOREST_TOP_FEATURES)) <= md.MAX_DEPTH
+
+
+def test_training_rows_are_spread_up_only(spark):
+    cores = spark.sparkContext.defaultParallelism
+    many = md._spread(spark.range(1000).repartition(3 * cores))
+    one = md._spread(spark.range(1000).coalesce(1))
+    assert (many.rdd.getNumPartitions(), one.rdd.getNumPartitions()) == (3 * cores, max(cores, 2))
+
+
+def test_unknown_numbers_get_the_training_median(spark):
+    from gapline.plans.training import filled
+
+    train = spark.createDataFrame([(1.0, None), (3.0, None), (None, None)], "a double, b double")
+    one, two = filled(train, [train.filter("a is null")], ["a", "b"])
+    assert [tuple(r) for r in two.collect()] == [(2.0, 0.0)] and one.filter("a is null").count() == 0
+
+
+def test_event_control_with_unknown_durations(spark):
+    from gapline.plans import training as tr
+
+    rows = [(i % 30, float(i % 7), None if i % 5 == 0 else float(i % 11), f"s{i % 3}", 20.0 + i % 13)
+            for i in range(400)]
+    events = spark.createDataFrame(rows, "device int, a double, b double, station string, gap_h double")
+    out = tr.event_predictions(events, "device", ["a", "b"], "gap_h", md.ridge(1.0), 3, md.forest(4, 4, 1),
+                               categories=["station"])
+    assert out.count() > 50 and out.filter("predicted is null").count() == 0

@@ -121,3 +121,46 @@ def test_lookup_is_broadcast_only_when_small(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "BroadcastHashJoin" in small and "SortMergeJoin" in large
+
+
+def test_rows_outside_the_bracket_are_not_grouped(spark):
+    from pyspark.sql import functions as F
+
+    from gapline.operators.quantiles import quantiles
+
+    df = spark.range(3000).select((F.col("id") % 2).alias("g"), (F.col("id") * 1.5).alias("v"))
+    out = quantiles(df, "v", {"q": 0.5}, "g", hot_rows=100)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    grouped = next(i for i, line in enumerate(plan.splitlines()) if "Aggregate [g" in line and "_v" in line.split("]")[0])
+    assert any("exists(" in line for line in plan.splitlines()[grouped:grouped + 4])
+    assert {r.g: r.q for r in out.collect()} == {0: 2248.5, 1: 2250.0}
+
+
+def test_every_hot_key_is_found(spark):
+    from pyspark.sql import functions as F
+
+    from gapline.operators.scale import heavy_keys
+
+    df = spark.range(30_000).select((F.col("id") % 12_000).alias("k"))
+    assert len(heavy_keys(df, "k", hot_rows=1)) == 12_000
+
+
+def test_neighbours_of_text_ids_and_one_row_strata(spark):
+    from gapline.operators.nearest import oversample
+
+    rows = [(f"AFC{i:03d}", s, float(i), float(i % 4)) for i, s in enumerate([0] * 20 + [1] * 7 + [2])]
+    df = spark.createDataFrame(rows, "assetnum string, s int, a double, b double")
+    made = {r["s"]: r["count"] for r in oversample(df, "s", ["a", "b"], "assetnum").groupBy("s").count().collect()}
+    assert made == {1: 13, 2: 19}
+
+
+def test_each_column_is_broadcast_by_its_own_size(spark):
+    from pyspark.sql import functions as F
+
+    from gapline.operators.encode import encode, fit
+
+    df = spark.range(500).select((F.col("id") % 3).cast("string").alias("brand"), F.md5(F.col("id").cast("string")).alias("text"))
+    fitted = fit(df, ["brand", "text"], max_rows=100)
+    assert fitted.small == {"brand"}
+    plan = encode(df, fitted, codes={"brand": "b"})._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
