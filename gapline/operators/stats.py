@@ -109,6 +109,7 @@ def pearson(x: Column, y: Column) -> Column:
     return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
 
 
+@contextmanager
 def _kept(df: DataFrame, columns: Sequence[str]) -> Iterator[DataFrame]:
     """The columns as doubles, cached for the passes made over them inside the block."""
     rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).persist()
