@@ -34,8 +34,8 @@ from gapline.llm.common import NO_ID, id_array, mix, narrow
 
 SAMPLES = 256
 BLOCK = 256                       # steps between two looks at which walks have ended
-CHUNK_BYTES = 12 << 20            # characters walked together in a task
-BUCKET_BYTES = 16 << 20           # text of one range of ids, about
+CHUNK_BYTES = 8 << 20             # characters walked together in a task
+BUCKET_BYTES = 8 << 20            # text of one range of ids, about
 CHANCE = 1 / 16                   # of equal bits under unequal characters
 BANDS, BAND_STEPS = 12, 4
 
@@ -84,6 +84,7 @@ def embed(texts: list[str]) -> list[str]:
     lengths = np.array([len(t) for t in texts], np.int64)
     raw = np.frombuffer("\0".join(texts).encode("utf-32-le") + b"\0\0\0\0", np.uint32)
     points = _noise()[raw]
+    del raw
     ends = np.cumsum(lengths + 1) - 1
     points[ends] = 0                      # a walk stays at the end of its text
     steps = [steps_of(int(n)) for n in lengths]
