@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from gapline.llm.common import mix, narrow, powers, slices
 
-KEPT_WORDS = 400_000      # words a task remembers before it starts afresh
-SLOTS_BITS = 21           # hash slots for them
+KEPT_WORDS = 250_000      # words a task remembers before it starts afresh
+SLOTS_BITS = 20           # hash slots for them
 NO_RANK = np.int64(1 << 60)
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -305,7 +305,7 @@ def encode(df: DataFrame, path: str, wanted: Sequence[str] = ("ids", "n_tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
-        for part in slices(batches, size=1 << 20):
+        for part in slices(batches, size=1 << 19):
             texts = part.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), *_columns(vocab, texts, wanted)], names=["doc_id", *wanted])

@@ -8,7 +8,6 @@ document; null is an id like any other and sorts before the numbers.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +36,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text",
         edges = [0, *cut.tolist(), n]
         for a, b in zip(edges, edges[1:]):
             yield batch.slice(a, b - a)
+        batch = None
+        pa.default_memory_pool().release_unused()      # workers live on; their memory is shared out
 
 
 def offsets_of(column: pa.Array) -> np.ndarray:
@@ -76,14 +77,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-@lru_cache(maxsize=8)
-def powers_upto(base: int, bits: int) -> np.ndarray:
-    return _powers(base, 1 << bits)
+_POWERS: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n - 1) modulo 2**64, kept for later calls."""
-    return powers_upto(base, max(n - 1, 1).bit_length())[:n]
+    if len(_POWERS.get(base, ())) < n:
+        _POWERS[base] = _powers(base, n + n // 4)
+    return _POWERS[base][:n]
 
 
 def _powers(base: int, n: int) -> np.ndarray:
