@@ -5,16 +5,19 @@ previous factor of a position is the longest match with an earlier document; in
 larger of the common prefixes with the previous and with the next position of a smaller document.
 
 Sorting all suffixes of a corpus is not needed: only positions that share a string can match, and equal
-strings have equal minimizers (the smallest hash of their 20-byte pieces). So the suffix order is cut down in
+strings have equal minimizers (the smallest hash of their 24-byte pieces). So the suffix order is cut down in
 steps, each an exchange in which a task sends one entry per key, however many documents hold it:
 
+Texts move once: compressed, dealt by row and kept in the shared folder, where each step finds them beside the
+short lists of the step before.
+
 1. Texts equal to an earlier one are settled as a whole.
 2. Minimizers of all other texts go to the owners of their hash range, Golomb-coded. A minimizer that
    only one document has cannot match; the others make the suspects.
 3. A run of positions under one suspect minimizer is a stretch of text. Stretches equal to one of a smaller
    document are covered. If all stretches of a minimizer are equal, its first is settled too.
-4. What is left are the edges of copied passages. Their suffixes are sorted by their first `length` bytes
-   in each task, longest previous factors come from nearest smaller documents in that order, and the
+4. What is left are the edges of copied passages. Their suffixes are sorted by their first `length` bytes in
+   each task, longest previous factors come from nearest smaller documents in that order, and the
    suffixes without an earlier match go to the owners of their hash, who repeat the step among tasks.
 
 Keys are 64-bit hashes of the bytes (40 bits for minimizers, which only select). Matches never cross
@@ -26,10 +29,12 @@ remove each other. A null id is the smallest. An empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gapline.llm import golomb
@@ -37,9 +42,9 @@ from gapline.llm.common import NO_ID, flat_bytes, id_array, mix, powers, slices
 from gapline.operators.scale import cut_lineage
 
 LENGTH = 50                       # bytes of a repeat
-PIECE = 20                        # bytes of a minimizer
+PIECE = 24                        # bytes of a minimizer
 KEY_BITS = 40
-FLUSH = 1_500_000                 # entries a task gathers before it sends them
+FLUSH = 800_000                   # entries a task gathers before it sends them
 OWNER_ENTRIES = 1_000_000         # entries an owner gets, about
 BROADCAST_ROWS = 1_000_000        # keys of rows that may be broadcast: 16 MB
 BASE = 0x9E3779B97F4A7C15
@@ -47,7 +52,31 @@ INVERSE = pow(BASE, -1, 1 << 64)
 NOISE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
 
 _MESSAGE = "owner bigint, ids binary, tags binary, refs binary, keys binary, values binary, many binary"
-_REPLY = "id bigint, tag bigint, covered binary, open binary"
+_REPLY = "target bigint, flag binary, ids binary, tags binary, counts binary, values binary"
+_TOLD = "id bigint, tag bigint, covered array<binary>, open array<binary>"
+
+
+def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    packer = zstandard.ZstdCompressor(level=3)
+    for part in slices(batches, size=1 << 20):
+        blobs = [packer.compress(t) for t in part.column(2).cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(blobs, pa.binary())],
+                                         names=["id", "tag", "blob"])
+
+
+def unpacked(batches: Iterator[pa.RecordBatch], size: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """The batches with the third column decompressed, in pieces of about `size` bytes of it."""
+    reader = zstandard.ZstdDecompressor()
+    for batch in batches:
+        texts: list[bytes] = []
+        start, held = 0, 0
+        for i in range(batch.num_rows):
+            texts.append(reader.decompress(batch.column(2)[i].as_py()))
+            held += len(texts[-1])
+            if held >= size or i + 1 == batch.num_rows:
+                part = batch.slice(start, i + 1 - start)
+                yield part.set_column(2, "text", pa.array(texts, pa.large_binary()))
+                texts, start, held = [], i + 1, 0
 
 
 class Slice:
@@ -156,9 +185,9 @@ def _pack(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _send(box: Outbox, ids: np.ndarray, tags: np.ndarray, keys: np.ndarray, refs: np.ndarray,
-          values: np.ndarray | None, many: np.ndarray, coded: bool) -> Iterator[tuple]:
+          values: np.ndarray | None, many: np.ndarray) -> Iterator[tuple]:
     """Messages per owner: sorted keys with the row of each, and keys that need no answer."""
-    write = golomb.encode if coded else (lambda x: x.tobytes())
+    write = golomb.encode
     own, own_many = box.owner_of(keys), box.owner_of(many)
     for o in np.union1d(own, own_many).tolist():
         a, b = np.searchsorted(own, [o, o + 1])
@@ -173,41 +202,75 @@ def _told(box: Outbox, ids, tags, refs, covered, open_, rng) -> Iterator[tuple]:
     """What a task knows by itself, passed on through owners in turn: `covered` or open values of rows."""
     for flag, (ref, value) in ((b"c", (refs[0], covered)), (b"o", (refs[1], open_))):
         if len(ref):
-            yield (int(rng.integers(box.owners)), ids[ref].tobytes(), tags[ref].tobytes(), None, None,
-                   value.tobytes(), flag)
+            used, counts = np.unique(ref, return_counts=True)
+            yield (int(rng.integers(box.owners)), ids[used].tobytes(), tags[used].tobytes(),
+                   counts.astype("<u4").tobytes(), None, value[np.argsort(ref, kind="stable")].tobytes(), flag)
+
+
+def _bundles(ids, tags, values, flag: bytes, targets: int) -> Iterator[tuple]:
+    """What documents are told, packed into one row per target: a target gets all rows of its documents."""
+    target = (mix(ids.view(np.uint64) ^ mix(tags.view(np.uint64))) % np.uint64(targets)).astype(np.int64)
+    order = np.lexsort((tags, ids, target))
+    target, ids, tags, values = target[order], ids[order], tags[order], values[order]
+    for own in np.split(np.arange(len(ids)), np.flatnonzero(np.diff(target)) + 1):
+        if len(own):
+            yield (int(target[own[0]]), flag, *_by_row(ids[own], tags[own]), values[own].tobytes())
+
+
+def _by_row(ids: np.ndarray, tags: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Ids, tags and lengths of the runs of equal (id, tag)."""
+    first = np.append(True, (np.diff(ids) != 0) | (np.diff(tags) != 0))
+    counts = np.diff(np.append(np.flatnonzero(first), len(ids)))
+    return ids[first].tobytes(), tags[first].tobytes(), counts.astype("<u4").tobytes()
+
+
+def _unbundle(wide):
+    """One row per document from the bundles of a target."""
+    def run(group: pa.Table) -> pa.Table:
+        lists: dict[tuple[int, int], tuple[list, list]] = {}
+        for flag, ids, tags, counts, values in zip(*(group.column(c).to_pylist() for c in (
+                "flag", "ids", "tags", "counts", "values"))):
+            ends = np.cumsum(np.frombuffer(counts, "<u4").astype(np.int64)) * np.dtype(wide).itemsize
+            for i, t, a, b in zip(np.frombuffer(ids, np.int64).tolist(), np.frombuffer(tags, np.int64).tolist(),
+                                  np.append(0, ends[:-1]).tolist(), ends.tolist()):
+                lists.setdefault((i, t), ([], []))[flag == b"o"].append(values[a:b])
+        blobs = pa.list_(pa.binary())
+        return pa.table({
+            "id": pa.array([k[0] for k in lists], pa.int64()), "tag": pa.array([k[1] for k in lists], pa.int64()),
+            "covered": pa.array([[b"".join(v[0])] if v[0] else [] for v in lists.values()], blobs),
+            "open": pa.array([[b"".join(v[1])] if v[1] else [] for v in lists.values()], blobs)})
+    return run
 
 
-def _replies(ids, tags, values, flag) -> Iterator[tuple]:
-    """One row per document: its values packed."""
-    order = np.lexsort((tags, ids))
-    ids, tags, values = ids[order], tags[order], values[order]
-    cut = np.flatnonzero((np.diff(ids) != 0) | (np.diff(tags) != 0)) + 1
-    for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(ids)]):
-        if b > a:
-            packed = values[a:b].tobytes()
-            yield (int(ids[a]), int(tags[a]), packed if flag == b"c" else None,
-                   packed if flag == b"o" else None)
+def _wide(kind: str):
+    """What a value is: a place in a text, or a hash."""
+    return "<u4" if kind == "suffixes" else np.uint64
 
 
-def _answers(kind: str):
+def _narrowest(values: bytes, n: int, wide) -> np.ndarray:
+    return np.frombuffer(values, "<u2").astype(wide) if len(values) == 2 * n else np.frombuffer(values, wide)
+
+
+def _answers(kind: str, targets: int):
     """An owner's work on the messages it got."""
     def run(group: pa.Table) -> pa.Table:
         rows: list[tuple] = []
         told: dict[bytes, list] = {b"c": [], b"o": []}
         got: list[tuple] = []
         many: list[np.ndarray] = []
-        coded = kind != "suffixes"
-        read = golomb.decode if coded else (lambda x: np.frombuffer(x, np.uint64))
+        read = golomb.decode
+        wide = _wide(kind)
         for ids, tags, refs, keys, values, flag in zip(*(group.column(c).to_pylist() for c in (
                 "ids", "tags", "refs", "keys", "values", "many"))):
             ids, tags = np.frombuffer(ids, np.int64), np.frombuffer(tags, np.int64)
             if keys is None:
-                told[flag].append((ids, tags, np.frombuffer(values, np.uint64)))
+                counts = np.frombuffer(refs, "<u4")
+                told[flag].append((np.repeat(ids, counts), np.repeat(tags, counts), np.frombuffer(values, wide)))
                 continue
             ref = np.frombuffer(refs, "<u2" if len(ids) < 1 << 16 else "<u4").astype(np.int64)
             keys = read(keys)
             got.append((keys, ids[ref], tags[ref],
-                        np.frombuffer(values, np.uint64) if values else keys))
+                        _narrowest(values, len(keys), wide) if values else keys))
             many.append(read(flag))
         if got:
             key, ids, tags, value = (np.concatenate(c) for c in zip(*got))
@@ -239,9 +302,9 @@ def _answers(kind: str):
                 told[b"c"].append((ids[late], tags[late], value[late]))
         for flag, parts in told.items():
             if parts:
-                rows += _replies(*(np.concatenate(c) for c in zip(*parts)), flag)
-        types = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-        columns = list(zip(*rows)) or [[]] * 4
+                rows += _bundles(*(np.concatenate(c) for c in zip(*parts)), flag, targets)
+        types = [pa.int64()] + [pa.binary()] * 5
+        columns = list(zip(*rows)) or [[]] * 6
         return pa.table({c.split()[0]: pa.array(v, t)
                          for c, v, t in zip(_REPLY.split(", "), columns, types)})
     return run
@@ -259,13 +322,13 @@ def _send_minimizers(owners: int, length: int):
         number = np.cumsum(first) - 1
         shared = np.bincount(number)[number] > 1
         alone = ~shared
-        rows = list(_send(box, ids, tags, key[alone], ref[alone], None, key[first & shared], True))
+        rows = list(_send(box, ids, tags, key[alone], ref[alone], None, key[first & shared]))
         rows += _told(box, ids, tags, (ref[shared], ref[:0]), key[shared], key[:0], rng)
         return _pack(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         box, rng = Outbox(owners, KEY_BITS), np.random.default_rng(1)
-        for batch in slices(batches, size=1 << 20):
+        for batch in unpacked(batches):
             part = Slice(batch, length)
             row, _, _, key = part.runs()
             if len(row):
@@ -287,6 +350,14 @@ def _suspect_runs(batch: pa.RecordBatch, length: int):
     return part, row, first, last, key, part.hashes(first, last + length)
 
 
+def _open_strings(batch: pa.RecordBatch, length: int) -> tuple[Slice, np.ndarray, np.ndarray]:
+    """Row and place of every string that starts in an open stretch."""
+    part, row, first, last, _, value = _suspect_runs(batch, length)
+    keep = _in_lists(value, row, batch.column(4))
+    at, which = _positions(first[keep], last[keep])
+    return part, row[keep][which], at
+
+
 def _send_stretches(owners: int, length: int):
     def flush(box: Outbox, rng) -> pa.RecordBatch:
         ids, tags = box.all_rows()
@@ -308,16 +379,16 @@ def _send_stretches(owners: int, length: int):
         for k in np.unique(layer).tolist():
             own = asked[layer == k]
             rows += _send(box, ids, tags, key[own], ref[own], value[own],
-                          key[new_key & mixed] if k == 0 else key[:0], True)
+                          key[new_key & mixed] if k == 0 else key[:0])
         if not len(asked):
-            rows += _send(box, ids, tags, key[:0], ref[:0], value[:0], key[new_key & mixed], True)
+            rows += _send(box, ids, tags, key[:0], ref[:0], value[:0], key[new_key & mixed])
         open_ = ~late & mixed
         rows += _told(box, ids, tags, (ref[late], ref[open_]), value[late], value[open_], rng)
         return _pack(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         box, rng = Outbox(owners, KEY_BITS), np.random.default_rng(2)
-        for batch in slices(batches, size=1 << 20):
+        for batch in unpacked(batches):
             part, row, _, _, key, value = _suspect_runs(batch, length)
             if len(row):
                 box.add(part, row, key, value)
@@ -378,22 +449,20 @@ def _send_suffixes(owners: int, length: int):
         late = longest_previous(ids[ref], lcp, length) >= length
         ask = np.flatnonzero(~late)
         ask = ask[np.argsort(key[ask], kind="stable")]
-        rows = list(_send(box, ids, tags, key[ask], ref[ask], place[ask], key[:0], False))
+        short = place[ask].astype("<u2") if len(ask) and int(place[ask].max()) < 1 << 16 else place[ask]
+        rows = list(_send(box, ids, tags, key[ask], ref[ask], short, key[:0]))
         rows += _told(box, ids, tags, (ref[late], ref[:0]), place[late], place[:0], rng)
         return _pack(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         box, rng = Outbox(owners, 64), np.random.default_rng(3)
-        for batch in slices(batches, size=1 << 20):
-            part, row, first, last, _, value = _suspect_runs(batch, length)
-            keep = _in_lists(value, row, batch.column(4))
-            row, first, last = row[keep], first[keep], last[keep]
-            at, which = _positions(first, last)
+        for batch in unpacked(batches):
+            part, row, at = _open_strings(batch, length)
+            key = part.hashes(at, at + length)
             if len(at):
                 windows = np.lib.stride_tricks.sliding_window_view(part.data, length)[at]
-                place = (at - part.edges[row[which]]).astype(np.uint64)
-                box.add(part, row[which], part.hashes(at, at + length), place, windows)
-            if box.count > FLUSH // 6:
+                box.add(part, row, key, (at - part.edges[row]).astype("<u4"), windows)
+            if box.count > FLUSH // 3:
                 yield flush(box, rng)
                 box.clear()
         if box.count:
@@ -405,7 +474,7 @@ def _remove(length: int):
     names = ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, size=1 << 20):
+        for batch in unpacked(batches):
             part, row, first, last, _, value = _suspect_runs(batch, length)
             keep = _in_lists(value, row, batch.column(4))
             n = len(part.data)
@@ -414,7 +483,7 @@ def _remove(length: int):
             np.add.at(change, last[keep] + length, -1)
             for i, blobs in enumerate(batch.column(5).to_pylist()):
                 for b in blobs or ():
-                    at = np.frombuffer(b, np.uint64).astype(np.int64) + part.edges[i]
+                    at = np.frombuffer(b, "<u4").astype(np.int64) + part.edges[i]
                     np.add.at(change, at, 1)
                     np.add.at(change, at + length, -1)
             gone = np.cumsum(change[:-1]) > 0
@@ -430,15 +499,10 @@ def _remove(length: int):
     return run
 
 
-def _exchange(rows: DataFrame, send, kind: str) -> DataFrame:
+def _exchange(rows: DataFrame, send, kind: str, owners: int) -> DataFrame:
     """(id, tag, covered, open): packed lists per document."""
-    return (rows.mapInArrow(send, _MESSAGE).groupBy("owner").applyInArrow(_answers(kind), _REPLY)
-            .groupBy("id", "tag").agg(F.collect_list("covered").alias("covered"),
-                                      F.collect_list("open").alias("open")))
-
-
-def _same(a: DataFrame, b: DataFrame) -> Column:
-    return (a["id"] == b["id"]) & (a["tag"] == b["tag"])
+    return (rows.mapInArrow(send(owners), _MESSAGE).groupBy("owner").applyInArrow(_answers(kind, owners), _REPLY)
+            .groupBy("target").applyInArrow(_unbundle(_wide(kind)), _TOLD))
 
 
 def _pick(docs: DataFrame, chosen: DataFrame, how: str, broadcast_rows: int) -> DataFrame:
@@ -447,51 +511,58 @@ def _pick(docs: DataFrame, chosen: DataFrame, how: str, broadcast_rows: int) ->
     return docs.join(F.broadcast(chosen) if few else chosen, ["id", "tag"], how)
 
 
+def _kept_in_place(rows: DataFrame, parts: int) -> DataFrame:
+    """Rows dealt by (id, tag) and checkpointed so that later joins find them dealt and sorted.
+
+    A checkpoint hands on the partitioning of a static plan; an adaptive plan does not tell its own.
+    """
+    conf = rows.sparkSession.conf
+    before = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut_lineage(rows.repartition(parts, "id", "tag").sortWithinPartitions("id", "tag"))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", before)
+
+
 def remove_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text",
                    owner_entries: int = OWNER_ENTRIES,
                    broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     if length < PIECE:
         raise ValueError(f"repeats under {PIECE} bytes are not searched")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = df.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id"),
-                     F.xxhash64(text).alias("tag"), text.alias("text"))
-    prints = cut_lineage(docs.select("id", "tag", F.xxhash64(F.lit(1), "text").alias("other"),
+    docs = df.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id"), text.alias("text"))
+    prints = cut_lineage(docs.select("id", F.xxhash64("text").alias("one"), F.xxhash64(F.lit(1), "text").alias("two"),
                                      F.octet_length("text").cast("bigint").alias("n")))
     total = prints.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     owners = int(total // 16 // owner_entries) + 1
-    firsts = prints.filter(F.col("n") >= length).groupBy("tag", "other", "n").agg(
+    # Rows are told apart by id alone, or by id and text where an id repeats.
+    unique = prints.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").isEmpty()
+    tag = F.lit(0).cast("bigint") if unique else F.xxhash64("text")
+    docs = docs.select("id", tag.alias("tag"), "text")
+    firsts = prints.filter(F.col("n") >= length).groupBy("one", "two", "n").agg(
         F.min("id").alias("first"), F.max("id").alias("most")).filter("first < most").drop("most")
-    copies = cut_lineage(prints.join(firsts, ["tag", "other", "n"]).filter("first < id")
-                         .select("id", "tag").distinct())
+    copies = cut_lineage(prints.join(firsts, ["one", "two", "n"]).filter("first < id").select(
+        "id", (F.lit(0).cast("bigint") if unique else F.col("one")).alias("tag")).distinct())
     fresh = _pick(docs, copies, "left_anti", broadcast_rows)
 
-    suspects = cut_lineage(_exchange(fresh, _send_minimizers(owners, length), "minimizers")
-                           .select("id", "tag", F.col("covered").alias("keys")))
-    texts = _pick(docs, suspects.select("id", "tag"), "left_semi", broadcast_rows) \
-        .join(suspects, ["id", "tag"])
-    stretches = cut_lineage(_exchange(texts.select("id", "tag", "text", "keys"),
-                                      _send_stretches(owners, length), "stretches"))
+    # Lists are dealt like the texts, so joining them leaves the texts where they are.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = _kept_in_place(fresh.mapInArrow(_compress, "id bigint, tag bigint, blob binary"), parts)
+    suspects = _kept_in_place(_exchange(texts, partial(_send_minimizers, length=length), "minimizers", owners)
+                              .select("id", "tag", F.col("covered").alias("keys")), parts)
+    told = texts.join(suspects, ["id", "tag"])
+    stretches = _kept_in_place(_exchange(told, partial(_send_stretches, length=length), "stretches", owners), parts)
     edges = stretches.filter(F.size("open") > 0).select("id", "tag", "open")
-    open_texts = _pick(docs, edges.select("id", "tag"), "left_semi", broadcast_rows) \
-        .join(suspects, ["id", "tag"]).join(edges, ["id", "tag"])
-    places = _exchange(open_texts.select("id", "tag", "text", "keys", "open"),
-                       _send_suffixes(owners, length), "suffixes") \
-        .select("id", "tag", F.col("covered").alias("places"))
-    found = cut_lineage(stretches.select("id", "tag", "covered").join(places, ["id", "tag"], "full")
-                        .filter((F.size(F.coalesce("covered", F.array())) > 0) | (F.size("places") > 0)))
-
-    hit = _pick(docs, found.select("id", "tag"), "left_semi", broadcast_rows) \
-        .join(found, ["id", "tag"]).join(suspects, ["id", "tag"]) \
-        .select("id", "tag", "text", "keys", "covered", "places")
+    places = cut_lineage(_exchange(told.join(edges, ["id", "tag"]), partial(_send_suffixes, length=length), "suffixes", owners)
+                         .select("id", "tag", F.col("covered").alias("places")))
+    found = texts.join(suspects, ["id", "tag"], "left").join(
+        stretches.select("id", "tag", "covered"), ["id", "tag"], "left").join(places, ["id", "tag"], "left")
+
     schema = "doc_id bigint, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint"
-    cut = hit.mapInArrow(_remove(length), schema)
-    plain = _pick(docs, found.select("id", "tag").unionByName(copies), "left_anti", broadcast_rows)
+    cut = found.select("id", "tag", "blob", "keys", "covered", "places").mapInArrow(_remove(length), schema)
     n = F.octet_length("text").cast("bigint")
-    shown = F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id")
-    zero = F.lit(0).cast("bigint")
-    plain = plain.select(shown, F.col("text").cast("binary").alias("kept"), n.alias("n_bytes"),
-                         zero.alias("n_removed"), zero.alias("n_spans"))
     gone = _pick(docs, copies, "left_semi", broadcast_rows).select(
-        shown, F.lit(b"").alias("kept"), n.alias("n_bytes"), n.alias("n_removed"),
-        F.lit(1).cast("bigint").alias("n_spans"))
-    return cut.unionByName(plain).unionByName(gone)
+        F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), F.lit(b"").alias("kept"),
+        n.alias("n_bytes"), n.alias("n_removed"), F.lit(1).cast("bigint").alias("n_spans"))
+    return cut.unionByName(gone)
