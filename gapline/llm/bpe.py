@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from gapline.llm.common import mix, narrow, powers, slices
 
 KEPT_WORDS = 250_000      # words a task remembers before it starts afresh
-SLOTS_BITS = 20           # hash slots for them
+SLOTS_BITS = 20           # hash slots at the start; they double when words fill half of them
 NO_RANK = np.int64(1 << 60)
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -86,12 +86,35 @@ class Vocabulary:
         self.forget()
 
     def forget(self) -> None:
-        self.slots = np.zeros(1 << SLOTS_BITS, np.uint64)       # word hashes, 0 when free
-        self.number = np.zeros(1 << SLOTS_BITS, np.int32)
         self.known = 0
+        self.empty_slots(SLOTS_BITS)
         self.store = np.zeros(0, np.int64)      # ids of all known words, one after the other
         self.sizes = np.zeros(0, np.int64)
 
+    def empty_slots(self, bits: int) -> None:
+        self.bits = bits
+        self.slots = np.zeros(1 << bits, np.uint64)             # word hashes, 0 when free
+        self.number = np.zeros(1 << bits, np.int32)
+
+    def make_room(self, more: int) -> None:
+        """Slots for `more` words beside the known ones, at most half of them taken."""
+        bits = max(self.bits, (2 * (self.known + more) - 1).bit_length())
+        if bits > self.bits:
+            taken = self.slots != 0
+            hashes, numbers = self.slots[taken], self.number[taken]
+            self.empty_slots(bits)
+            self.insert(hashes, numbers)
+
+    def insert(self, hashes: np.ndarray, numbers: np.ndarray) -> None:
+        """Put words that are not there yet into free slots."""
+        mask, slots = (1 << self.bits) - 1, self.slots
+        _, slot = self.find(hashes)
+        for h, at, number in zip(hashes.tolist(), slot.tolist(), numbers.tolist()):
+            while slots[at]:
+                at = (at + 1) & mask
+            slots[at] = h
+            self.number[at] = number
+
     def word_starts(self, points: np.ndarray, breaks: np.ndarray,
                     special: list[tuple[int, int]]) -> np.ndarray:
         """Positions where words start. `breaks` are the starts of texts, without empty ones."""
@@ -170,8 +193,8 @@ class Vocabulary:
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Word numbers, -1 where unknown, and the slot where each search ended."""
-        mask = np.int64((1 << SLOTS_BITS) - 1)
-        slot = (hashes >> np.uint64(64 - SLOTS_BITS)).astype(np.int64)
+        mask = np.int64((1 << self.bits) - 1)
+        slot = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
         number = np.full(len(hashes), -1, np.int64)
         left = np.arange(len(hashes))
         while len(left):
@@ -184,7 +207,6 @@ class Vocabulary:
 
     def learn(self, words: list[str], hashes: np.ndarray) -> None:
         """Encode words, each given once, and keep them."""
-        mask = (1 << SLOTS_BITS) - 1
         plain = [i for i, w in enumerate(words) if w not in self.special]
         ids, sizes = self.merge_words([words[i].encode() for i in plain])
         if len(plain) < len(words):
@@ -192,13 +214,8 @@ class Vocabulary:
             spans = [spans[i] if i in spans else np.array([self.special[w]])
                      for i, w in enumerate(words)]
             ids, sizes = np.concatenate(spans), np.array([len(x) for x in spans])
-        _, slot = self.find(hashes)
-        slots = self.slots
-        for i, (h, at) in enumerate(zip(hashes.tolist(), slot.tolist())):
-            while slots[at]:
-                at = (at + 1) & mask
-            slots[at] = h
-            self.number[at] = self.known + i
+        self.make_room(len(words))
+        self.insert(hashes, np.arange(self.known, self.known + len(words)))
         self.known += len(words)
         self.store = np.concatenate([self.store, ids])
         self.sizes = np.append(self.sizes, sizes)

@@ -43,6 +43,18 @@ def test_forgetting_words_changes_nothing(monkeypatch):
         same(["one two three four five six", "two six"])
 
 
+def test_one_text_with_more_words_than_slots(monkeypatch):
+    monkeypatch.setattr(bpe, "SLOTS_BITS", 4)
+    vocab = bpe.vocabulary(PATH)
+    vocab.forget()
+    try:
+        same(["one two", " ".join(f"w{i} {i * i}" for i in range(300)), "two w299"])
+        assert vocab.bits > 4 and 2 * vocab.known <= len(vocab.slots)
+    finally:
+        monkeypatch.undo()
+        vocab.forget()
+
+
 def test_query_columns(spark):
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(99, None), (None, "x y"), (0, "again")]
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id bigint, text string, ids int").repartition(3)
