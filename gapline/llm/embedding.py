@@ -10,8 +10,12 @@ with the smallest random priority below 3n, the same for all texts of one length
 longer text's steps below the shorter's end are also the shorter's. So any two fingerprints can be compared
 step by step; equal texts have equal ones.
 
-`near_links` bands the sampled steps, ties the ids of a bucket to the smallest (no pairs inside a bucket) and
-verifies each tie on the fingerprints.
+Near texts have a likeness of at least `least`. Texts of equal fingerprints are one class. Classes meet in
+buckets of equal characters at 8 sampled steps, BANDS times over, at the power of two below a walk's length and
+at the one below where a near text may be that much shorter. All members of a bucket are verified against each
+other, in the order of ids until the first that is near; buckets above BLOCK_ROWS are dealt as pairs of blocks.
+So within a bucket nothing is lost; a pair of likeness 0.85 shares no bucket with a probability of about 0.004 if
+steps were independent, one of 0.9 with 6e-5.
 
 Null and empty texts have the fingerprint of length 0. Rows with one id count one after the other, in
 order of their texts; a null id comes first. An empty table gives no rows.
@@ -28,7 +32,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType
 
 from gapline.llm.common import NO_ID, id_array, mix, narrow
 
@@ -37,8 +41,12 @@ BLOCK = 256                       # steps between two looks at which walks have
 CHUNK_BYTES = 8 << 20             # characters walked together in a task
 BUCKET_BYTES = 8 << 20            # text of one range of ids, about
 CHANCE = 1 / 16                   # of equal bits under unequal characters
-BANDS, BAND_STEPS = 12, 4
+BANDS, BAND_STEPS = 16, 8         # a key is the 8 bytes of its steps
+KEY_STEPS = 48                    # steps of one level that keys are drawn from
+BLOCK_ROWS = 1024                 # half of the members verified together
+NEAR = 0.85
 
+# near_id is there where a least likeness is given.
 _ROW = ("doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, "
         "edited_fingerprint string, near_edited double, near_next double")
 DIGITS = np.frombuffer(b"0123456789abcdef-", np.uint8)
@@ -146,7 +154,8 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     def done():
         return pa.RecordBatch.from_arrays(
             [pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()),
-             pa.array(embed(texts), pa.string())], names=["doc_id", "n_chars", "fingerprint"])
+             pa.array(prints := embed(texts), pa.string()), pa.array(map(name_of, prints), pa.int64())],
+            names=["doc_id", "n_chars", "fingerprint", "name"])
 
     size = 0
     for batch in batches:
@@ -154,7 +163,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             ids.append(i)
             texts.append(t)
             size += len(t)
-            if size > CHUNK_BYTES:
+            if size > CHUNK_BYTES // 2:
                 yield done()
                 ids, texts, size = [], [], 0
     if ids:
@@ -162,100 +171,181 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_chars, fingerprint) of every row, in one pass without a shuffle."""
+    """(doc_id, n_chars, fingerprint, name) of every row, in one pass without a shuffle; name is the class."""
     return narrow(df, id_col, text_col).mapInArrow(
-        _fingerprints, "doc_id bigint, n_chars bigint, fingerprint string")
+        _fingerprints, "doc_id bigint, n_chars bigint, fingerprint string, name bigint")
 
 
-def band_keys(fingerprint: str) -> list[str]:
-    """Keys of BANDS groups of sampled steps, at the text's power of two and the one below."""
-    n, shown = int(fingerprint[:8], 16), fingerprint[9:]
-    place = {int(s): c for s, c in zip(steps_of(n), shown)}
+def name_of(fingerprint: str) -> int:
+    """The 64-bit name of a class of equal fingerprints."""
+    return int.from_bytes(hashlib.blake2b(fingerprint.encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def _level(n: int) -> int:
+    """The largest power of two that a walk over n characters surely reaches."""
+    return max(1, int(1.9 * n)).bit_length() - 1
+
+
+@lru_cache(maxsize=64)
+def _bands(steps: int) -> np.ndarray:
+    """Places of the steps of each band among the first `steps` of a level; one band of all if they are few."""
+    if steps <= BAND_STEPS:
+        return np.append(np.arange(steps), np.full(BAND_STEPS - steps, KEY_STEPS))[None]
+    drawn = np.random.default_rng(steps)
+    return np.array([np.sort(drawn.permutation(steps)[:BAND_STEPS]) for _ in range(BANDS)])
+
+
+@lru_cache(maxsize=20_000)
+def _places(n: int, bits: int) -> np.ndarray:
+    return np.flatnonzero(steps_of(n) < 1 << bits)[:KEY_STEPS]
+
+
+def band_keys(fingerprint: str, least: float = NEAR) -> list[int]:
+    """Bucket keys of one fingerprint, at every level it may share with a text of likeness `least`."""
+    n, shown = int(fingerprint[:8], 16), np.frombuffer(fingerprint[9:].encode("ascii"), np.uint8)
     out = []
-    top = (3 * n).bit_length() - 1
-    for bits in {max(top - 1, 1), max(top, 1)} if n else ():
-        ranked = _ranked(bits)[:BANDS * BAND_STEPS].tolist()
-        for b in range(BANDS):
-            own = ranked[b * BAND_STEPS:(b + 1) * BAND_STEPS]
-            if own and all(s in place for s in own):
-                out.append(f"{bits}.{b}." + "".join(place[s] for s in own))
+    for bits in range(_level(int(max(0.0, least - 0.12) * n)), _level(n) + 1) if n else ():
+        steps, places = min(KEY_STEPS, 1 << bits), _places(n, bits)
+        read = np.full(KEY_STEPS + 1, ord("."), np.uint8)
+        read[:len(places)] = shown[places]
+        bands = _bands(steps)
+        whole = ((bands < len(places)) | (bands == KEY_STEPS)).all(1)
+        seeds = mix(np.arange(len(bands), dtype=np.uint64) + np.uint64(1 + (bits << 8)))
+        keys = mix(np.ascontiguousarray(read[bands]).view(np.uint64)[:, 0] ^ seeds)
+        out += keys[whole].view(np.int64).tolist()
     return out
 
 
-def near_links(prints: DataFrame, least: float) -> DataFrame:
-    """(doc_id, near_id, likeness): ties to the smallest id of a bucket that reach `least`.
-
-    `prints` has doc_id and fingerprint. Equal fingerprints are one class; its members are tied to its
-    smallest id.
+def _units(names: list[int], block: int) -> list[list[int]]:
+    """Sets of members so that any two of the bucket are together in one: pairs of blocks."""
+    names = sorted(names)
+    if len(names) <= 2 * block:
+        return [names]
+    blocks = [names[k:k + block] for k in range(0, len(names), block)]
+    return [x + y for k, x in enumerate(blocks) for y in blocks[k + 1:]]
+
+
+def _verify(least: float):
+    """Per unit, the smallest id that each member is near to, where there is a smaller one."""
+    def run(unit: pd.DataFrame) -> pd.DataFrame:
+        unit = unit.sort_values("id", kind="stable")
+        ids, names, prints = (unit[c].tolist() for c in ("id", "name", "fingerprint"))
+        found, left = [], list(range(1, len(ids)))
+        for k in range(len(ids)):
+            still = []
+            for i in left:
+                if i > k:
+                    close = likeness(prints[i], prints[k])
+                    if close >= least:
+                        found.append((names[i], ids[k], close))
+                    else:
+                        still.append(i)
+            left = still
+            if not left:
+                break
+        return pd.DataFrame(found, columns=["linked", "near_id", "likeness"])
+    return run
+
+
+def near_links(prints: DataFrame, least: float = NEAR) -> DataFrame:
+    """(doc_id, near_id, likeness, name): the smallest id near to a text, where it is smaller than its own.
+
+    `prints` has doc_id, fingerprint and name.
     """
-    keys = F.pandas_udf(lambda s: s.map(band_keys), ArrayType(StringType()))
-    score = F.pandas_udf(lambda a, b: pd.Series([likeness(x, y) for x, y in zip(a, b)]), DoubleType())
-    classes = prints.filter(F.length("fingerprint") > 9).groupBy("fingerprint").agg(
-        F.min("doc_id").alias("id"))
-    banded = classes.select("id", "fingerprint", F.explode(keys("fingerprint")).alias("key"))
-    pivots = banded.groupBy("key").agg(F.min_by("fingerprint", "id").alias("other"), F.min("id").alias("near_id"))
-    ties = banded.join(pivots, "key").filter("id <> near_id").select(
-        "id", "fingerprint", "near_id", "other").distinct()
-    found = ties.select(F.col("id").alias("doc_id"), "near_id",
-                        score("fingerprint", "other").alias("likeness")).filter(F.col("likeness") >= least)
-    equal = prints.join(classes, "fingerprint").filter("doc_id <> id").select(
-        "doc_id", F.col("id").alias("near_id"), F.lit(1.0).alias("likeness"))
-    return found.unionByName(equal)
-
-
-def _rows(ids: list[int], texts: list[str], real: int) -> pa.RecordBatch:
+    block = BLOCK_ROWS
+    keys = F.pandas_udf(lambda s: s.map(lambda f: band_keys(f, least)), ArrayType(LongType()))
+    units = F.pandas_udf(lambda s: s.map(lambda names: _units(names, block)), ArrayType(ArrayType(LongType())))
+    prints = prints.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
+    # One column beside the class, so that all uses need the same columns and share one exchange.
+    classes = prints.groupBy(F.col("name").alias("class")).agg(
+        F.min(F.struct("doc_id", "fingerprint")).alias("first"))
+    buckets = classes.select("class", F.explode(keys("first.fingerprint")).alias("key")).groupBy("key").agg(
+        F.collect_list("class").alias("names")).filter(F.size("names") > 1)
+    buckets = buckets.select(F.array_sort("names").alias("names")).distinct()     # bands often agree
+    members = buckets.select(F.explode(units("names")).alias("unit")).select(
+        F.xxhash64("unit").alias("unit"), F.explode("unit").alias("member"))
+    found = members.join(classes, F.col("member") == F.col("class")).select(
+        "unit", F.col("first.doc_id").alias("id"), F.col("member").alias("name"), "first.fingerprint"
+    ).groupBy("unit").applyInPandas(_verify(least), "linked bigint, near_id bigint, likeness double")
+    best = found.groupBy("linked").agg(F.min_by("likeness", "near_id").alias("likeness"),
+                                       F.min("near_id").alias("near_id"))
+    told = classes.join(best, F.col("class") == F.col("linked"), "left")
+    own, least_id = F.col("first.doc_id"), F.least("first.doc_id", "near_id")
+    return prints.select("doc_id", "name").join(told, F.col("name") == F.col("class")).filter(
+        least_id < F.col("doc_id")).select(
+        "doc_id", F.nullif(least_id, F.lit(NO_ID)).alias("near_id"),
+        F.when(F.col("near_id") < own, F.col("likeness")).otherwise(1.0).alias("likeness"), "name")
+
+
+def _rows(ids: list[int], texts: list[str], real: int, near: dict | None) -> pa.RecordBatch:
     """Result rows of the first `real` texts; each is followed by its next document."""
     n = [len(t) for t in texts]
     edited = [t[:len(t) - len(t) // 4] + u[:len(t) // 4] for t, u in zip(texts[:real], texts[1:])]
     prints = embed(texts + edited)
     own, other = prints[:len(texts)], prints[len(texts):]
-    return pa.RecordBatch.from_arrays([
+    names = [c.split()[0] for c in _ROW.split(", ")]
+    columns = [
         id_array(ids[:real]), pa.array(n[:real], pa.int64()),
         pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()),
         pa.array(own[:real], pa.string()), pa.array(other, pa.string()),
         pa.array([likeness(a, b) for a, b in zip(own, other)], pa.float64()),
-        pa.array([likeness(a, b) for a, b in zip(own[:real], own[1:])], pa.float64())],
-        names=[c.split()[0] for c in _ROW.split(", ")])
+        pa.array([likeness(a, b) for a, b in zip(own[:real], own[1:])], pa.float64())]
+    if near is not None:
+        names.append("near_id")
+        columns.append(id_array([near.get((i, name_of(f)), i) for i, f in zip(ids[:real], own)]))
+    return pa.RecordBatch.from_arrays(columns, names=names)
+
 
+def _walk_ranges(batches: Iterator[pa.RecordBatch], linked: bool = False) -> Iterator[pa.RecordBatch]:
+    """Rows arrive by (bucket, tail, id, text); tails are the first documents of the next range.
 
-def _walk_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows arrive by (bucket, tail, id, text); tails are the first documents of the next range."""
+    Where `linked`, rows without a text come before the texts of their id, with a class and its near id.
+    """
     ids: list[int] = []
     texts: list[str] = []
-    now, size, tail = None, 0, False
+    now, size, tail, near = None, 0, False, {} if linked else None
     for batch in batches:
-        for bucket, is_tail, i, t in zip(*(c.to_pylist() for c in batch.columns)):
+        more = [c.to_pylist() for c in batch.columns[4:]] or [[None] * batch.num_rows] * 2
+        for bucket, is_tail, i, t, name, near_id in zip(*(c.to_pylist() for c in batch.columns[:4]), *more):
             if bucket != now:
                 if now is not None and not tail and ids:
-                    yield _rows(ids, texts + texts[:1], len(ids))
+                    yield _rows(ids, texts + texts[:1], len(ids), near)
                 ids, texts, now, size, tail = [], [], bucket, 0, False
+                near = {} if linked else None
             if tail:
                 continue
+            if t is None:
+                near[i, name] = near_id
+                continue
             if is_tail:
                 tail = True
                 if ids:
-                    yield _rows(ids, [*texts, t], len(ids))
+                    yield _rows(ids, [*texts, t], len(ids), near)
                 continue
             ids.append(i)
             texts.append(t)
             size += len(t)
             if size > CHUNK_BYTES and len(ids) > 1:           # the last row waits for its next
-                yield _rows(ids[:-1], texts, len(ids) - 1)
+                yield _rows(ids[:-1], texts, len(ids) - 1, near)
                 ids, texts, size = ids[-1:], texts[-1:], len(t)
+                if linked:
+                    near = {k: v for k, v in near.items() if k[0] == i}
     if not tail and ids:
-        yield _rows(ids, texts + texts[:1], len(ids))
+        yield _rows(ids, texts + texts[:1], len(ids), near)
 
 
 def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                        bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+                        bucket_bytes: int = BUCKET_BYTES, least: float | None = None) -> DataFrame:
     """Fingerprints of every text, of its edited form, and their likeness; see the module's rows.
 
+    With `least` a row also has near_id: the smallest id among its own and those of near texts.
+
     Edited: the last quarter of the characters replaced by the start of the next document in order of ids
     (after the last comes the first). Texts move once, into ranges of ids; the first document of a range
     is copied to the end of the range before it. The driver holds one id per range.
     """
     docs = narrow(df, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    rows, size, least = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length("text").cast("bigint")),
+    rows, size, smallest = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length("text").cast("bigint")),
                                  F.min("doc_id")).first()
     buckets = int((size or 0) // bucket_bytes) + 1
     cuts = np.zeros(0, np.int64)
@@ -263,7 +353,7 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
         shares = [k / buckets for k in range(1, buckets)]
         cuts = np.unique(np.array(docs.agg(F.percentile_approx(
             "doc_id", shares, 20 * buckets)).first()[0], np.int64))
-        cuts = cuts[cuts > least]
+        cuts = cuts[cuts > smallest]
     last = len(cuts)
 
     def place(ids: pd.Series) -> pd.Series:
@@ -271,12 +361,21 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
         own = np.searchsorted(cuts, x, "right")
         first = (own > 0) & (x == (cuts[np.maximum(own, 1) - 1] if last else x))
         # Own range as it is, a range that gets the row as its tail as -1 - range.
-        return pd.Series([[o, *([-o] if f else []), *([-1 - last] if i == least else [])]
+        return pd.Series([[o, *([-o] if f else []), *([-1 - last] if i == smallest else [])]
                           for o, f, i in zip(own.tolist(), first.tolist(), x.tolist())])
 
     spots = F.pandas_udf(place, ArrayType(IntegerType()))
     dealt = docs.select("*", F.explode(spots("doc_id")).alias("spot")).select(
         F.when(F.col("spot") < 0, -1 - F.col("spot")).otherwise(F.col("spot")).alias("bucket"),
         (F.col("spot") < 0).alias("tail"), "doc_id", "text")
+    if least is not None:
+        links = near_links(fingerprints(docs), least)
+        told = links.select(F.element_at(spots("doc_id"), 1).alias("bucket"), F.lit(False).alias("tail"), "doc_id",
+                            F.lit(None).cast("string").alias("text"), "name",
+                            F.coalesce("near_id", F.lit(NO_ID)).alias("near_id")).distinct()
+        none = F.lit(None).cast("bigint")
+        dealt = dealt.withColumns({"name": none, "near_id": none}).unionByName(told)
     return (dealt.repartition(max(1, buckets), "bucket")
-            .sortWithinPartitions("bucket", "tail", "doc_id", "text").mapInArrow(_walk_ranges, _ROW))
+            .sortWithinPartitions("bucket", "tail", "doc_id", "text")
+            .mapInArrow(lambda rows: _walk_ranges(rows, least is not None),
+                        _ROW if least is None else _ROW + ", near_id bigint"))

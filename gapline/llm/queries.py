@@ -40,7 +40,7 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op2_document_fingerprints")
 def op2(spark: SparkSession, sf: str) -> DataFrame:
-    return embedding.edited_fingerprints(table(spark, sf, "documents"))
+    return embedding.edited_fingerprints(table(spark, sf, "documents"), least=embedding.NEAR)
 
 
 @query("op3_bpe_round_trip")

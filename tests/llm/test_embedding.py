@@ -82,3 +82,40 @@ def test_near_links(spark):
     got = {(r.doc_id, r.near_id) for r in e.near_links(prints, 0.6).collect()}
     assert got == {(100 + k, k) for k in range(8)} | {(200, 0)}
     assert np.unique([len(f) for f in e.embed(base)]).tolist() == [9 + e.SAMPLES]
+
+
+def brute_near(rows, least):
+    """near_id of every row: the smallest id among its own and those of all texts that are near."""
+    prints = e.embed([t for _, t in rows])
+    return sorted((i, min([i] + [j for (j, _), g in zip(rows, prints) if j < i and e.likeness(f, g) >= least]))
+                  for (i, _), f in zip(rows, prints))
+
+
+@pytest.mark.parametrize("block", [2, 1024])
+def test_near_ids_where_the_smallest_of_a_bucket_is_unrelated(spark, monkeypatch, block):
+    """All texts share every bucket; an unrelated text is the smallest of each."""
+    monkeypatch.setattr(e, "band_keys", lambda f, least: [7] if int(f[:8], 16) else [])
+    monkeypatch.setattr(e, "BLOCK_ROWS", block)
+    rnd = random.Random(3)
+    base = ["".join(rnd.choice("abcdefghij ") for _ in range(400 + 50 * k)) for k in range(5)]
+    rows = [(1, "unrelated " * 60)] + [(10 + k, t) for k, t in enumerate(base)]
+    rows += [(20 + 10 * c + k, t[:99 + c] + "#" + t[99 + c:]) for c in range(2) for k, t in enumerate(base)]
+    rows += [(50, base[1]), (60, ""), (61, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    want = brute_near(rows, 0.7)
+    assert sum(j < i for i, j in want) > 8
+    got = e.edited_fingerprints(df, bucket_bytes=2_000, least=0.7)
+    assert sorted((r.doc_id, r.near_id) for r in got.collect()) == want
+    links = {(r.doc_id, r.near_id) for r in e.near_links(e.fingerprints(df), 0.7).collect()}
+    assert links == {x for x in want if x[0] != x[1]}
+
+
+def test_near_ids_through_the_keys(spark):
+    rnd = random.Random(4)
+    base = ["".join(rnd.choice("abcdefghij ") for _ in range(300 + 37 * k)) for k in range(40)]
+    rows = [(100 + k, t) for k, t in enumerate(base)]
+    rows += [(200 + k, t[:90] + "#" + t[90:]) for k, t in enumerate(base)]
+    df = spark.createDataFrame([*rows, (None, base[3])], "doc_id bigint, text string").repartition(3)
+    got = {(r.doc_id, r.near_id) for r in e.edited_fingerprints(df, least=e.NEAR).collect()}
+    want = set(brute_near(rows, e.NEAR)) - {(103, 103), (203, 103)} | {(103, None), (203, None), (None, None)}
+    assert got == want
