@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapline.llm import bpe, embedding, exact, language, lines, minhash, packing, preference, suffixes, warc
+from gapline.llm import (
+    bpe, embedding, exact, forest, language, lexical, lines, minhash, negatives, packing, preference, suffixes, warc,
+)
 from gapline.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -149,3 +151,50 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept",
         F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+@query("op11_hard_negatives", """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  s AS (SELECT a.vec_id AS a, v.vec_id AS b, a.label = v.label AS same,
+      CAST(list_dot_product(a.e, v.e) AS BIGINT) AS s
+    FROM v a JOIN v ON a.vec_id % 50 = 0 AND a.vec_id <> v.vec_id),
+  p AS (SELECT a, b, s FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r
+    FROM s WHERE same) WHERE r <= 5),
+  n AS (SELECT p.a, p.b AS p, p.s AS ps, s.b AS n, s.s AS ns,
+      row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.s DESC, s.b) AS r
+    FROM p JOIN s ON p.a = s.a AND NOT s.same AND 50 * p.s <= 100 * s.s AND 100 * s.s <= 95 * p.s)
+SELECT a AS anchor_id, p AS positive_id, CAST(r AS INTEGER) AS rank, n AS negative_id,
+  ps AS positive_score, ns AS negative_score FROM n WHERE r <= 3""")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf, "embeddings").withColumn("label", moved)
+    return negatives.hard_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
+@query("op12_ranked_lexical_search", """
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS t FROM documents),
+  i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark),
+  c AS (SELECT count(*) FILTER (len(t) > 0) AS docs, CAST(sum(len(t)) AS BIGINT) AS terms FROM d),
+  e AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM d)
+    GROUP BY doc_id, n, term),
+  w AS (SELECT term, CAST(floor(1000 * ln((2.0 * docs + 2) / (2.0 * count(*) + 1))) AS BIGINT) AS w
+    FROM e, c GROUP BY term, docs),
+  s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf)
+      // (1000 * tf + 20 * (100 - 50 + ((50 * n * docs) // terms))))) AS BIGINT) AS score
+    FROM i JOIN e USING (term) JOIN w USING (term), c GROUP BY item_id, doc_id),
+  r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
+    FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 50""")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical.search(table(spark, sf, "benchmark"), table(spark, sf, "documents"), top=50)
+
+
+@query("op13_hash_prefix_forest")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return forest.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
