@@ -5,7 +5,7 @@
    folder. Partial sums of it give the corpus numbers: documents, terms, and documents per vocabulary term.
 2. A document's score depends on its counts and its length class m only. Documents of equal (counts, m) are a class:
    dealt by a hash of both and told apart by their bytes. A window keeps the `top` smallest ids of a class, in the map
-   side first, so a class that holds a third of all rows moves `top` rows from each task.
+   side first, so a task sends at most `top` rows of a class. Classes above HOT_ROWS are merged in HOT_PARTS parts first.
 3. Each class is scored once against all items. A task expands the members of a class by ascending doc_id and keeps its
    best `top` documents of each item; windows over parts of the tasks, then over all, keep the best of all.
 
@@ -36,6 +36,8 @@ from gapline.operators.scale import cut_lineage
 ITEM_BYTES = 32 << 20      # text of the items of one pass
 PIECE = 1 << 20            # bytes of a text that are split at once
 CELLS = 1 << 22            # scores that a task makes at once
+HOT_ROWS = 1_000_000       # documents of a class that one window merges
+HOT_PARTS = 256
 MERGE_PARTS = 64           # parts in which an item's best rows are merged first
 DOCS, TERMS = -1, -2       # places of N and L among the term numbers
 
@@ -207,16 +209,25 @@ def _scored(items: _Items, weights: np.ndarray, top: int):
     return run
 
 
-def _classes(counted: DataFrame, docs: int, count: int, top: int) -> DataFrame:
+def _classes(counted: DataFrame, docs: int, count: int, top: int, hot_rows: int) -> DataFrame:
     """(m, bag, members): one row per class with its `top` smallest ids, ascending."""
     m = F.expr(f"50 + ((50L * n * {docs}L) div {max(count, 1)}L)")
     keyed = counted.filter(F.length("bag") > 0).select("doc_id", m.alias("m"), "bag").withColumn(
         "mark", F.xxhash64("bag", "m"))
     key = ["mark", "m", "bag"]
-    place = F.row_number().over(Window.partitionBy(*key).orderBy(F.col("doc_id").asc_nulls_first()))
-    first = keyed.withColumn("place", place).filter(F.col("place") <= top)
+
+    def first(df: DataFrame, *by: str) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy(F.col("doc_id").asc_nulls_first())
+        return df.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= top)
+
+    hot = [r.mark for r in keyed.groupBy("mark").count().filter(F.col("count") > hot_rows).select("mark").collect()]
+    kept = first(keyed.filter(~F.col("mark").isin(hot)) if hot else keyed, *key)
+    if hot:
+        parted = keyed.filter(F.col("mark").isin(hot)).withColumn(
+            "part", F.pmod(F.spark_partition_id(), F.lit(HOT_PARTS)))
+        kept = kept.unionByName(first(first(parted, *key, "part").drop("part", "place"), *key))
     pair = F.struct("place", "doc_id")
-    return first.groupBy(*key).agg(F.sort_array(F.collect_list(pair)).alias("members")).select(
+    return kept.groupBy(*key).agg(F.sort_array(F.collect_list(pair)).alias("members")).select(
         "m", "bag", F.col("members.doc_id").alias("members"))
 
 
@@ -230,7 +241,8 @@ def _ranked(found: DataFrame, top: int) -> DataFrame:
         "item_id", "rank", "doc_id", "score")
 
 
-def search(items: DataFrame, docs: DataFrame, top: int = 50, item_bytes: int = ITEM_BYTES) -> DataFrame:
+def search(items: DataFrame, docs: DataFrame, top: int = 50, item_bytes: int = ITEM_BYTES,
+           hot_rows: int = HOT_ROWS) -> DataFrame:
     """item_id, rank, doc_id, score of the `top` best documents of each item."""
     asked = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = asked.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -238,12 +250,12 @@ def search(items: DataFrame, docs: DataFrame, top: int = 50, item_bytes: int = I
     texts, out = narrow(docs), None
     for k in range(passes):
         chosen = _Items(asked.filter(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k).collect())
-        found = _ranked(_one_pass(chosen, texts, top), top)
+        found = _ranked(_one_pass(chosen, texts, top, hot_rows), top)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _one_pass(items: _Items, texts: DataFrame, top: int) -> DataFrame:
+def _one_pass(items: _Items, texts: DataFrame, top: int, hot_rows: int) -> DataFrame:
     size = len(items.vocabulary)
     counted = cut_lineage(texts.mapInArrow(_counted(items.vocabulary), "doc_id bigint, n bigint, bag binary"))
     sums = counted.select("n", "bag").mapInArrow(_totals(size), "place bigint, count bigint").groupBy("place").agg(
@@ -255,5 +267,5 @@ def _one_pass(items: _Items, texts: DataFrame, top: int) -> DataFrame:
         if place >= 0:
             held[place] = n
     weights = np.floor(1000 * np.log((2.0 * docs + 2) / (2.0 * held + 1))).astype(np.int64)
-    classes = _classes(counted, docs, total.get(TERMS, 0), top)
+    classes = _classes(counted, docs, total.get(TERMS, 0), top, hot_rows)
     return classes.mapInArrow(_scored(items, weights, top), "item_id bigint, score bigint, doc_id bigint")
