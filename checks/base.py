@@ -116,6 +116,13 @@ def raw(spark: SparkSession, folder: str) -> DataFrame:
     k, fault = F.col("k"), F.col("current_faildate")
     spelled = (
         F.when(k % 23 == 0, "bad")
+        .when(k % 29 == 1, F.date_format(fault, "yyyyMMdd"))
+        .when(k % 29 == 2, F.concat(F.date_format(fault, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")))
+        .when(k % 29 == 3, F.concat(F.date_format(F.timestamp_add("HOUR", F.lit(8), fault), "yyyy-MM-dd'T'HH:mm:ss"),
+                                    F.lit("+08:00")))
+        .when(k % 29 == 4, F.concat(F.date_format(fault, "yyyy-MM-dd HH:mm:ss"), F.lit(".2500009")))
+        .when(k % 29 == 5, F.date_format(fault, "MM/dd/yyyy hh:mm a"))
+        .when(k % 29 == 6, F.date_format(fault, "MM/dd/yyyy HH:mm"))
         .when(k % 3 == 0, F.date_format(fault, "yyyy-MM-dd HH:mm:ss"))
         .when(k % 3 == 1, F.concat(F.lit("\t "), F.date_format(fault, "yyyy/MM/dd HH:mm"), F.lit(" ")))
         .otherwise(F.date_format(fault, "yyyy-MM-dd")))
@@ -150,6 +157,12 @@ RAW = WO + f""", one AS (SELECT
     ELSE CAST(assetnum AS VARCHAR) END AS assetnum,
   wonum, CAST(s AS VARCHAR) AS location, station_name, cust_linenum,
   CASE WHEN k % 23 = 0 THEN 'bad'
+    WHEN k % 29 = 1 THEN strftime(current_faildate, '%Y%m%d')
+    WHEN k % 29 = 2 THEN strftime(current_faildate, '%Y-%m-%dT%H:%M:%SZ')
+    WHEN k % 29 = 3 THEN strftime(current_faildate + to_hours(8), '%Y-%m-%dT%H:%M:%S+08:00')
+    WHEN k % 29 = 4 THEN strftime(current_faildate, '%Y-%m-%d %H:%M:%S') || '.2500009'
+    WHEN k % 29 = 5 THEN strftime(current_faildate, '%m/%d/%Y %I:%M %p')
+    WHEN k % 29 = 6 THEN strftime(current_faildate, '%m/%d/%Y %H:%M')
     WHEN k % 3 = 0 THEN strftime(current_faildate, '%Y-%m-%d %H:%M:%S')
     WHEN k % 3 = 1 THEN chr(9) || ' ' || strftime(current_faildate, '%Y/%m/%d %H:%M') || ' '
     ELSE strftime(current_faildate, '%Y-%m-%d') END AS current_faildate,
@@ -174,8 +187,13 @@ JUDGE_PERIOD = ("1996-01-01", "2000-12-31")
 
 def _sql_time(c: str) -> str:
     stripped = f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+    zoned = f"CASE WHEN {stripped} LIKE '%+08:00' THEN left({stripped}, 19) END"
     return (f"coalesce(try_strptime({stripped}, '%Y-%m-%d %H:%M:%S'), "
-            f"try_strptime({stripped}, '%Y-%m-%d'), try_strptime({stripped}, '%Y/%m/%d %H:%M'))")
+            f"try_strptime({stripped}, '%Y-%m-%d'), try_strptime({stripped}, '%Y/%m/%d %H:%M'), "
+            f"try_strptime({stripped}, '%Y%m%d'), try_strptime({stripped}, '%Y-%m-%dT%H:%M:%SZ'), "
+            f"try_strptime({zoned}, '%Y-%m-%dT%H:%M:%S') - to_hours(8), "
+            f"try_strptime(regexp_extract({stripped}, '^(.*[.][0-9]{{6}})[0-9]$', 1), '%Y-%m-%d %H:%M:%S.%f'), "
+            f"try_strptime({stripped}, '%m/%d/%Y %I:%M %p'), try_strptime({stripped}, '%m/%d/%Y %H:%M'))")
 
 
 def _sql_column(c: str) -> str:

@@ -18,9 +18,9 @@ from gapline.plans.cleaning import clean_work_orders, run_cleaning
 from gapline.plans.events import with_history_only
 from gapline.plans.reports import gap_repair_scatter
 from gapline.sources.logs import count_lines, read_result_lines, result_lines, split_lines
-from gapline.sources.schema import DEFAULTS, STANDARD_NAMES
-from gapline.sources.tables import (read_clean_work_orders, read_csv, read_raw_work_orders,
-                                    standard_names, times_as_text, write_table)
+from gapline.sources.schema import DEFAULTS, STANDARD_NAMES, TIME_COLUMNS
+from gapline.sources.tables import (raw_work_order_drift, read_clean_work_orders, read_csv,
+                                    read_raw_work_orders, standard_names, times_as_text, write_table)
 
 OWN = {n: n for n in STANDARD_NAMES}
 RULES = c.Rules(period=JUDGE_PERIOD)
@@ -46,27 +46,42 @@ def _(spark, d):
     return read_raw_work_orders(spark, path)
 
 
-@query("s2_csv_multiline", """SELECT doc_id, lang, source, replace(text, chr(13), '') AS text,
-  n_chars FROM documents""")
+@query("s2_csv_multiline", """SELECT doc_id, lang, source, CASE WHEN doc_id % 3 = 0
+  THEN replace(text, chr(10), chr(13) || chr(10)) ELSE text || chr(13) END AS text, n_chars FROM documents""")
 def _(spark, d):
     path = folder_for(spark, "csv")
-    docs = table(spark, d, "documents").withColumn("text", F.regexp_replace("text", "\r", ""))
+    spelled = F.when(F.col("doc_id") % 3 == 0, F.replace("text", F.lit("\n"), F.lit("\r\n"))).otherwise(
+        F.concat("text", F.lit("\r")))
+    docs = table(spark, d, "documents").withColumn("text", spelled)
     docs = docs.select("doc_id", "lang", "source", "text", "n_chars")
     write_table(docs, path, "csv")
     return read_csv(spark, path, docs.schema)
 
 
 @query("s3_csv_sink_clean", "WITH " + JUDGED + f""" SELECT
-  {", ".join(f"strftime({n}, '%Y-%m-%d %H:%M:%S') AS {n}" if n in
-   ("current_faildate", "repair_start_time", "repair_end_time", "start_of_operation")
-   else "nullif(cause_desc, '') AS cause_desc" if n == "cause_desc" else n
-   for n in STANDARD_NAMES if n not in ("prev_faildate", "cust_fixby", "responsible_person"))}
+  {", ".join(f"strftime({n}, '%Y-%m-%d %H:%M:%S') AS {n}" if n in TIME_COLUMNS
+   else "nullif(cause_desc, '') AS cause_desc" if n == "cause_desc" else n for n in STANDARD_NAMES)}
   FROM judged WHERE drop_reason IS NULL""")
 def _(spark, d):
     path = folder_for(spark, "clean")
     write_table(clean_work_orders(raw(spark, d), RULES), path, "csv")
-    rows = times_as_text(read_clean_work_orders(spark, path, "csv"))
-    return rows.drop("prev_faildate", "cust_fixby", "responsible_person")
+    return times_as_text(read_clean_work_orders(spark, path, "csv"))
+
+
+@query("s1_drifting_files", "WITH " + RAW + f""" SELECT
+  {", ".join(f"CASE WHEN total_failure_count > 3 THEN {n} END AS {n}" if n in ("repair_end_time", "location")
+   else "nullif(cause_desc, '') AS cause_desc" if n == "cause_desc" else n for n in STANDARD_NAMES)} FROM raw""")
+def _(spark, d):
+    return read_raw_work_orders(spark, _drifting(spark, d, "csv"), "csv")
+
+
+def _drifting(spark, d, fmt):
+    """Two sets of files: some lack two columns and bring one, the others are complete in another order."""
+    path, rows = folder_for(spark, "drift"), raw(spark, d)
+    few, names = F.col("total_failure_count") <= 3, [F.col(n) for n in reversed(STANDARD_NAMES)]
+    write_table(rows.filter(few).drop("repair_end_time", "location"), path, fmt)
+    write_table(rows.filter(~few).select(*names), path, fmt, mode="append")
+    return path
 
 
 @query("s6_result_lines", """SELECT doc_id, right(regexp_replace(line, '^\\s+|\\s+$', '', 'g'), 250) AS line
@@ -121,7 +136,19 @@ def _(spark, d):
   count(unmapped) AS rows FROM raw UNION ALL SELECT 'missing_core', 'repair_end_time', count(*) FROM raw
   UNION ALL SELECT 'missing_time', 'repair_end_time', count(*) FROM raw""")
 def _(spark, d):
-    return c.schema_drift(raw(spark, d).drop("repair_end_time"), OWN)
+    path = folder_for(spark, "drift")
+    write_table(raw(spark, d).drop("repair_end_time"), path)
+    found = read_raw_work_orders(spark, path, extra=True).drop("repair_end_time")
+    return c.schema_drift(found, OWN)
+
+
+for _f in ("parquet", "csv"):
+    @query(f"p3_drift_of_{_f}_files", "WITH " + RAW + """, few AS (SELECT * FROM raw WHERE total_failure_count <= 3)
+  SELECT 'unmapped' AS issue, 'unmapped' AS "column", 1 AS layouts, count(unmapped) AS rows FROM few
+  UNION ALL SELECT 'missing_core', 'repair_end_time', 1, count(*) FROM few
+  UNION ALL SELECT 'missing_time', 'repair_end_time', 1, count(*) FROM few""")
+    def _(spark, d, fmt=_f):
+        return raw_work_order_drift(spark, _drifting(spark, d, fmt), fmt)
 
 
 @query("p4_feature_pool", "SELECT o_totalprice, o_orderpriority FROM orders")
@@ -307,6 +334,19 @@ def _(spark, d):
     return c.cleaning_audit(_judged(spark, d))
 
 
+@query("a19_unparsed_times", "WITH " + JUDGED + """, t AS (SELECT j.drop_reason, o.current_faildate AS text,
+    j.current_faildate AS parsed FROM judged j JOIN once o ON j.wonum = o.wonum
+    AND j.total_failure_count = o.total_failure_count AND j.copies = o.copies
+    AND coalesce(j.assetnum, '') = coalesce(o.assetnum, '')),
+  n AS (SELECT count(*) FILTER (parsed IS NULL AND NOT regexp_full_match(text, '\\s*')) AS n,
+    count(*) FILTER (parsed IS NULL AND NOT regexp_full_match(text, '\\s*') AND drop_reason IS NOT NULL) AS d FROM t)
+ SELECT 'current_faildate' AS "column", n AS unparsed, d AS dropped FROM n
+ UNION ALL SELECT c, 0, 0 FROM (VALUES ('prev_faildate'), ('repair_start_time'), ('repair_end_time'),
+   ('start_of_operation')) t(c)""")
+def _(spark, d):
+    return c.unparsed_times(_judged(spark, d))
+
+
 @query("a20_cleaning_summary", "WITH " + JUDGED + """ SELECT CAST(sum(copies) AS BIGINT) AS rows_in,
   count(*) FILTER (drop_reason IS NULL) AS rows_out,
   CAST(sum(copies) - count(*) FILTER (drop_reason IS NULL) AS BIGINT) AS dropped,

@@ -16,6 +16,8 @@ from gapline.sources.schema import CORE_COLUMNS, DEFAULTS, PERIOD, TIME_COLUMNS
 # Rules in the order they are applied; a row counts under the first it breaks.
 RULES = ("missing_core", "inverted_times", "outside_period", "unparsed_core", "negative_repair")
 
+JUDGEMENT = ("copies", "unparsed_times", "drop_reason")   # what `judge_rows` adds
+
 
 def strip_column_names(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.strip() for c in df.columns])
@@ -157,9 +159,15 @@ class Rules:
         }
 
     def parsed(self, df: DataFrame) -> DataFrame:
+        """Filled and parsed rows, with `_blank` and `unparsed_times`: columns whose text was no time."""
         blank = missing_core([c for c in self.core if c in df.columns])
         filled = fill_defaults(df.withColumn("_blank", blank), self.defaults)
-        return parse_times(filled, self.times, self.formats)
+        texts = [c for c in self.times if c in df.columns and isinstance(df.schema[c].dataType, T.StringType)]
+        kept = {f"_text_{i}": ~is_missing(F.col(c)) for i, c in enumerate(texts)}
+        parsed = parse_times(filled.withColumns(kept), self.times, self.formats)
+        lost = [F.when(F.col(f"_text_{i}") & F.col(c).isNull(), F.lit(c)) for i, c in enumerate(texts)]
+        names = F.array_compact(F.array(*lost)) if lost else F.array().cast("array<string>")
+        return parsed.withColumn("unparsed_times", names).drop(*kept)
 
 
 def clean_rows(df: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -167,11 +175,11 @@ def clean_rows(df: DataFrame, rules: Rules = Rules()) -> DataFrame:
     rows = rules.parsed(drop_duplicate_rows(df))
     for broken in rules.checks(df.columns).values():
         rows = rows.filter(~broken)
-    return rows.drop("_blank")
+    return rows.drop("_blank", "unparsed_times")
 
 
 def judge_rows(df: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """Distinct rows, filled and parsed, with `copies` and `drop_reason` (null: the row stays).
+    """Distinct rows, filled and parsed, with `copies`, `unparsed_times` and `drop_reason` (null: the row stays).
 
     The duplicates are counted by the same aggregate that removes them, and every rule is a
     column, so one pass over the table gives both the cleaned rows and their audit.
@@ -183,7 +191,7 @@ def judge_rows(df: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 
 def kept_rows(judged: DataFrame) -> DataFrame:
-    return judged.filter(F.col("drop_reason").isNull()).drop("copies", "drop_reason")
+    return judged.filter(F.col("drop_reason").isNull()).drop(*JUDGEMENT)
 
 
 def cleaning_audit(judged: DataFrame) -> DataFrame:
@@ -202,11 +210,24 @@ def cleaning_audit(judged: DataFrame) -> DataFrame:
     return counts.select(F.inline(F.array(*steps)))
 
 
+def unparsed_times(judged: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """(column, unparsed, dropped): texts of each time column that are no time, over rows without copies, and how
+    many of them the rules drop with their row."""
+    names = [c for c in rules.times if c in judged.columns]
+    found = F.array_contains
+    counts = judged.agg(*[F.count_if(found("unparsed_times", c)).alias(f"n{i}") for i, c in enumerate(names)],
+                        *[F.count_if(found("unparsed_times", c) & F.col("drop_reason").isNotNull()).alias(f"d{i}")
+                          for i, c in enumerate(names)])
+    rows = [F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("unparsed"), F.col(f"d{i}").alias("dropped"))
+            for i, c in enumerate(names)]
+    return counts.select(F.inline(F.array(*rows)))
+
+
 def cleaning_summary(judged: DataFrame) -> DataFrame:
     """Rows in, out and dropped, the kept share in percent (0 for an empty table), columns out."""
     rows_in = F.coalesce(F.sum("copies"), F.lit(0))
     rows_out = F.count_if(F.col("drop_reason").isNull())
-    width = len([c for c in judged.columns if c not in ("copies", "drop_reason")])
+    width = len([c for c in judged.columns if c not in JUDGEMENT])
     return judged.agg(
         rows_in.alias("rows_in"), rows_out.alias("rows_out"),
         (rows_in - rows_out).alias("dropped"),

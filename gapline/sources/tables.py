@@ -8,35 +8,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gapline.functions.times import OUTPUT_FORMAT, format_time
-from gapline.sources.schema import STANDARD_NAMES, clean_schema, raw_schema
+from gapline.functions.times import format_time
+from gapline.sources.layouts import read_files, source_drift
+from gapline.sources.schema import CORE_COLUMNS, STANDARD_NAMES, TIME_COLUMNS, clean_schema, raw_schema
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
-             multiline: bool = True) -> DataFrame:
-    """CSV with a header, UTF-8 with or without a byte-order mark.
+             extra: bool = False) -> DataFrame:
+    """CSV with a header, UTF-8 with or without a byte-order mark, by column name (see `layouts`).
 
-    `multiline` accepts quoted line breaks inside a field. It makes each file one task, so
-    write many files of moderate size; turn it off for files known to have a row per line.
-    The header is checked by name, since the schema fixes the column order.
+    Fields may hold quoted line breaks; large files are still read by several tasks. Columns that a file lacks are
+    null; those that `schema` lacks are left out unless `extra`. Without a schema all columns are text.
     """
-    reader = spark.read.option("header", True).option("multiLine", multiline).option("escape", '"')
-    reader = reader.option("encoding", "UTF-8").option("timestampNTZFormat", OUTPUT_FORMAT)
-    reader = reader.option("enforceSchema", False) if schema is not None else reader
-    return (reader.schema(schema) if schema is not None else reader).csv(path)
+    return read_files(spark, path, schema, "csv", extra)
 
 
-def read_raw_work_orders(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Raw work orders under a fixed schema; nothing is inferred."""
-    if fmt == "csv":
-        return read_csv(spark, path, raw_schema())
-    return spark.read.schema(raw_schema()).format(fmt).load(path)
+def read_raw_work_orders(spark: SparkSession, path: str, fmt: str = "parquet", extra: bool = False) -> DataFrame:
+    """Raw work orders by column name: files may lack columns, reorder them or bring others (kept where `extra`)."""
+    return read_files(spark, path, raw_schema(), fmt, extra)
+
+
+def raw_work_order_drift(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """What `read_raw_work_orders` leaves out or does not find: (issue, column, layouts, rows)."""
+    return source_drift(spark, path, raw_schema(), fmt, {"missing_core": CORE_COLUMNS, "missing_time": TIME_COLUMNS})
 
 
 def read_clean_work_orders(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    if fmt == "csv":
-        return read_csv(spark, path, clean_schema())
-    return spark.read.schema(clean_schema()).format(fmt).load(path)
+    return read_files(spark, path, clean_schema(), fmt)
 
 
 def times_as_text(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -52,8 +50,8 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     """Write in parallel, one or more files per task; nothing passes through the driver."""
     if fmt == "csv":
         df = times_as_text(df)
-        # Blank text is kept as it is; the empty string reads back as null, as CSV readers do.
-        writer = df.write.option("header", True).option("escape", '"')
+        # All fields are quoted, so carriage returns and blanks stay; the empty string reads back as null.
+        writer = df.write.option("header", True).option("escape", '"').option("quoteAll", True)
         writer = writer.option("ignoreLeadingWhiteSpace", False)
         writer = writer.option("ignoreTrailingWhiteSpace", False)
     else:

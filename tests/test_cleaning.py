@@ -3,6 +3,7 @@
 import datetime as dt
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gapline.functions import bins, times
 from gapline.functions.text import is_missing
@@ -53,14 +54,48 @@ def test_last_day_of_the_period_can_be_included(spark):
 
 def test_times_in_several_spellings(spark):
     texts = ["2024-01-05 08:03:09", "2024/01/05 08:03", "2024-1-5", " \t2024-01-05T08:03:09 ",
-             "2024-02-30", "2024-13-01", "bad", "", None, "05.01.2024 07:08"]
+             "2024-02-30", "2024-13-01", "bad", "", None, "08:03 on 05.01.2024"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r[0] for r in rows.select(times.parse_time(F.col("t"))).collect()]
     day = dt.datetime(2024, 1, 5)
     assert got == [dt.datetime(2024, 1, 5, 8, 3, 9), dt.datetime(2024, 1, 5, 8, 3), day,
                    dt.datetime(2024, 1, 5, 8, 3, 9), None, None, None, None, None, None]
-    more = [r[0] for r in rows.select(times.parse_time(F.col("t"), ["dd.MM.yyyy HH:mm"])).collect()]
-    assert more[-1] == dt.datetime(2024, 1, 5, 7, 8)
+    more = [r[0] for r in rows.select(times.parse_time(F.col("t"), ["HH:mm 'on' dd.MM.yyyy"])).collect()]
+    assert more == [*got[:-1], dt.datetime(2024, 1, 5, 8, 3)]
+
+
+SPELLINGS = [
+    "20240105", "20240105 080309", "20240105080309", "20240105T0803", "202401050803", "20240105 08:03", "20240105 8",
+    "2024-01-05T08:03:09Z", "2024-01-05 08:03:09+08:00", "2024-01-05T08:03:09.5-0530", "2024-01-05 08:03:09.1234567",
+    "  2024-01-05 08:03:09.123456789\t", "01/05/2024 08:03", "13/01/2024", "01-05-2024", "05.01.2024 07:08",
+    "2024-01-05 3:04 PM", "2024-01-05 15:04 PM", "2024-01-05 0:04 PM", "2024-01-05 12:30 am", "01/05/2024 12:00 pm",
+    "Jan 5, 2024", "5 Jan 2024 3 PM", "05-Jan-2024", "5 Sept 2024", "January 5 2024 10:11:12.5", "2024.01.05",
+    "2024-01-05 24:00", "2024-01-05 8", "2024-01-05 08:03:60", "13/13/2024", "02/30/2024", "2024-01-05|1", "99999999",
+    "12345678901234567890"]
+
+
+def test_mixed_spellings_are_read_one_by_one_as_pandas_does(spark):
+    import pandas as pd
+
+    def expected(text):
+        value = pd.to_datetime(pd.Series([text]), format="mixed", errors="coerce")[0]
+        if value is pd.NaT:
+            return None
+        value = value.tz_convert("UTC").tz_localize(None) if value.tzinfo else value
+        return value.floor("us").to_pydatetime()
+
+    rows = spark.createDataFrame(list(enumerate(SPELLINGS)), "i int, t string").orderBy("i")
+    got = [r[0] for r in rows.select(times.parse_time(F.col("t"))).collect()]
+    assert dict(zip(SPELLINGS, got)) == {t: expected(t) for t in SPELLINGS}
+
+
+def test_texts_that_are_no_time_are_counted_by_column(spark):
+    raw = raw_rows(spark, {"current_faildate": "bad"}, {"prev_faildate": "soon"}, {"prev_faildate": " "},
+                   {"prev_faildate": "20240105"}, {"repair_end_time": "x", "start_of_operation": "y"})
+    counts = {r["column"]: (r.unparsed, r.dropped) for r in c.unparsed_times(c.judge_rows(raw)).collect()}
+    assert counts == {"current_faildate": (1, 1), "prev_faildate": (1, 0), "repair_start_time": (0, 0),
+                      "repair_end_time": (1, 1), "start_of_operation": (1, 1)}
+    assert c.clean_rows(raw).columns == list(STANDARD_NAMES)
 
 
 def test_bins_are_closed_on_the_right(spark):
@@ -77,7 +112,8 @@ def test_blank_means_whitespace_of_any_kind(spark):
 
 def test_csv_with_mark_and_line_breaks(spark, tmp_path):
     (tmp_path / "in.csv").write_text('﻿id,note\n1,"two\nlines, and ""quotes"""\n2,\n', encoding="utf-8")
-    rows = read_csv(spark, str(tmp_path / "in.csv"), "id int, note string").orderBy("id").collect()
+    schema = T.StructType().add("id", "integer").add("note", "string")
+    rows = read_csv(spark, str(tmp_path / "in.csv"), schema).orderBy("id").collect()
     assert [tuple(r) for r in rows] == [(1, 'two\nlines, and "quotes"'), (2, None)]
 
 
