@@ -7,6 +7,7 @@ see `gapline.operators.scale`.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -133,9 +134,11 @@ def _state_in_segments(rows: DataFrame, tl: Timeline) -> DataFrame:
     tail = F.struct(stamp.alias("at"), F.col("gap_h").alias("gap"), F.col(tl.repair).alias("repair"))
     # Only the last three rows of a segment enter its tail, so the list stays that short.
     rows = rows.withColumn("_tail", F.when(F.lead("gap_h", FAR).over(local).isNull(), tail))
+    # Squares are summed around the mean of the key's first segment, so gaps that vary little lose no digits.
+    away = F.coalesce(F.col("_avg") - F.col("_base"), F.lit(0.0))
     rows = carry(
         rows, tl.device,
-        {"_n": F.count("gap_h"), "_sum": F.sum("gap_h"), "_avg": F.avg("gap_h"),
+        {"_n": F.count("gap_h"), "_sum": F.sum("gap_h"), "_avg": _exact_mean(lambda f: f("gap_h")),
          "_m2": F.var_pop("gap_h") * F.count("gap_h"),
          "_rn": F.count(tl.repair), "_rsum": F.sum(tl.repair),
          "_last3": F.collect_list("_tail"),
@@ -143,19 +146,21 @@ def _state_in_segments(rows: DataFrame, tl: Timeline) -> DataFrame:
         lambda before, until: {
             "_n_b": F.coalesce(F.sum("_n").over(before), F.lit(0)),
             "_sum_b": F.coalesce(F.sum("_sum").over(before), F.lit(0.0)),
-            "_sq_b": F.coalesce(F.sum(F.col("_m2") + F.col("_n") * F.col("_avg") * F.col("_avg"))
-                                .over(before), F.lit(0.0)),
+            "_sq_b": F.coalesce(F.sum(F.coalesce("_m2", F.lit(0.0)) + F.col("_n") * away * away).over(before), F.lit(0.0)),
+            "_away_b": F.coalesce(F.sum(F.col("_n") * away).over(before), F.lit(0.0)),
+            "_base_b": F.first("_base").over(until),
             "_rn_b": F.coalesce(F.sum("_rn").over(before), F.lit(0)),
             "_rsum_b": F.coalesce(F.sum("_rsum").over(before), F.lit(0.0)),
             # Each of the three segments before holds a row, so together they hold the last three.
             "_tail_b": F.slice(F.sort_array(F.flatten(F.collect_list("_last3").over(
                 before.rowsBetween(-FAR, -1))), asc=False), 1, FAR),
             "_device_head": F.min("_head").over(until),
-        })
+        },
+        lambda whole: {"_base": F.first("_avg", ignorenulls=True).over(whole)})
     before = local.rowsBetween(Window.unboundedPreceding, -1)
     n_here = F.count("gap_h").over(before)
     sum_here = F.coalesce(F.sum("gap_h").over(before), F.lit(0.0))
-    mean_here = F.coalesce(F.avg("gap_h").over(before), F.lit(0.0))
+    mean_here = F.coalesce(_exact_mean(lambda f: f("gap_h").over(before)), F.lit(0.0))
     m2_here = F.coalesce(F.var_pop("gap_h").over(before), F.lit(0.0)) * n_here
     rows = rows.withColumns({
         "hist_count": F.col("_n_b") + n_here, "_sum_h": sum_here,
@@ -170,8 +175,9 @@ def _state_in_segments(rows: DataFrame, tl: Timeline) -> DataFrame:
     n = F.col("hist_count")
     mean = F.try_divide(F.col("_sum_b") + F.col("_sum_h"), n)
     # Pool the variances of the two parts around their own means.
-    mean_b = F.coalesce(F.try_divide(F.col("_sum_b"), F.col("_n_b")), F.lit(0.0))
-    m2_b = F.greatest(F.col("_sq_b") - F.col("_n_b") * mean_b * mean_b, F.lit(0.0))
+    away_b = F.coalesce(F.try_divide(F.col("_away_b"), F.col("_n_b")), F.lit(0.0))
+    mean_b = F.coalesce(F.col("_base_b") + away_b, F.lit(0.0))
+    m2_b = F.greatest(F.col("_sq_b") - F.col("_n_b") * away_b * away_b, F.lit(0.0))
     shift = mean_b - F.col("_mean_h")
     m2 = m2_b + F.col("_m2_h") + F.coalesce(
         F.try_divide(shift * shift * F.col("_n_b") * F.col("_n_h"), n), F.lit(0.0))
@@ -188,6 +194,12 @@ def _state_in_segments(rows: DataFrame, tl: Timeline) -> DataFrame:
     })
 
 
+def _exact_mean(of: Callable[[Callable[[str], Column]], Column]) -> Column:
+    """A mean that is the value itself where all values are equal; a sum divided by a count may differ from it."""
+    low, high = of(F.min), of(F.max)
+    return F.when(low == high, low).otherwise(of(F.avg))
+
+
 def _mean_of(values: Column) -> Column:
     total = F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
     return F.try_divide(total, F.size(values))

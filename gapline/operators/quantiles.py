@@ -1,86 +1,146 @@
 """Exact quantiles with linear interpolation, without gathering a big group in one task.
 
-Groups up to HOT_ROWS use the built-in `percentile`. A larger group is narrowed first:
-a mergeable sketch gives a bracket around each wanted rank, one pass counts what lies
-below the bracket, and only the few distinct values inside it are ranked.
+Groups up to HOT_ROWS use the built-in `percentile`. In a larger group each wanted rank is selected by narrowing: a
+mergeable sketch gives GRID points of the group; the two around the rank bracket it; one pass counts what lies below
+and on the ends, so the rank within the bracket is known. Rows strictly inside the bracket, about 3 in GRID, are kept
+and narrowed again until a bracket has at most HOT_ROWS rows, which one task sorts. A value with many copies cannot stop
+this: it becomes an end of a bracket, and ranks that fall on an end are answered. `exact=False` takes the sketch alone.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gapline.operators.scale import HOT_ROWS, ONE_GROUP, heavy_keys, is_one_of, union_parts
+from gapline.operators.scale import HOT_ROWS, ONE_GROUP, cut_lineage, heavy_keys, is_one_of, union_parts
 
-SKETCH_ACCURACY = 20_000   # rank error of the bracket is 1/SKETCH_ACCURACY of the group
+SKETCH_ACCURACY = 20_000   # rank error of a sketch point is 1/SKETCH_ACCURACY of the group
+GRID = 1_000               # sketch points, and at most a tenth of the accuracy
 
 
 def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: str | None = None,
-              hot_rows: int = HOT_ROWS, accuracy: int = SKETCH_ACCURACY) -> DataFrame:
+              hot_rows: int = HOT_ROWS, accuracy: int = SKETCH_ACCURACY, exact: bool = True) -> DataFrame:
     """One row per group (one row without `by`) with a column per named probability.
 
-    Nulls are ignored; a group without values gives nulls.
+    Nulls are ignored; a group without values gives nulls. Without `exact` the values are within 1/accuracy of the wanted
+    rank, from one mergeable aggregate.
     """
     if by is None:
         keyed = df.select(F.lit(0).alias(ONE_GROUP), value)
-        out = quantiles(keyed, value, probs, ONE_GROUP, hot_rows, accuracy)
+        out = quantiles(keyed, value, probs, ONE_GROUP, hot_rows, accuracy, exact)
         # A global aggregate keeps its one row even when there is no input at all.
         return out.agg(*[F.max(n).alias(n) for n in probs])
     rows = df.select(by, F.col(value).cast("double").alias("_v"))
+    if not exact:
+        return rows.groupBy(by).agg(*[F.percentile_approx("_v", float(p), accuracy).alias(n) for n, p in probs.items()])
     hot = heavy_keys(rows.filter(F.col("_v").isNotNull()), by, hot_rows)
     mask = is_one_of(F.col(by), [k for k, _ in hot])
     cold = (rows.filter(~mask) if hot else rows).groupBy(by).agg(
         *[F.percentile("_v", F.lit(p)).alias(n) for n, p in probs.items()])
     if not hot:
         return cold
-    return union_parts(cold, _narrowed(rows.filter(mask & F.col("_v").isNotNull()),
-                                       by, probs, accuracy, hot_rows))
-
-
-def _narrowed(rows: DataFrame, by: str, probs: dict[str, float], accuracy: int,
-              group_rows: int) -> DataFrame:
-    # Room for the sketch error, and for rounding to a rank in a group of over `group_rows`.
-    margin = 2.0 / accuracy + 2.0 / group_rows
-    edges = [e for p in probs.values() for e in (max(p - margin, 0.0), min(p + margin, 1.0))]
-    sketch = rows.groupBy(by).agg(
-        F.percentile_approx("_v", [float(e) for e in edges], accuracy).alias("_edges"),
-        F.count("_v").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
-    wanted = F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"),
-                 (F.col("_min") if p <= margin else F.col("_edges")[2 * i]).alias("low"),
-                 (F.col("_max") if p >= 1 - margin else F.col("_edges")[2 * i + 1]).alias("high"))
-        for i, p in enumerate(probs.values())])
-    # One row per hot group, at most rows / hot_rows of them.
-    brackets = sketch.select(F.col(by).alias("_by"), "_n", wanted.alias("_wanted"))
-    tagged = rows.join(F.broadcast(brackets), F.col(by).eqNullSafe(F.col("_by")))
-    below = tagged.groupBy(by).agg(*[
-        F.count_if(F.col("_v") < F.col("_wanted")[i]["low"]).alias(f"_below{i}")
-        for i in range(len(probs))])
-    below = below.select(F.col(by).alias("_by2"),
-                         F.array(*[F.col(f"_below{i}") for i in range(len(probs))]).alias("_below"))
-    # Only rows inside a bracket are grouped by value.
-    near = tagged.filter(F.exists("_wanted", lambda w: (F.col("_v") >= w["low"]) & (F.col("_v") <= w["high"])))
-    inside = (
-        near.groupBy(by, "_v").agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"),
-                                     F.first("_wanted").alias("_wanted"))
-        .select(by, "_v", "_c", "_n", F.explode(F.filter(
-            "_wanted", lambda w: (F.col("_v") >= w["low"]) & (F.col("_v") <= w["high"]))).alias("_w"))
-        .join(F.broadcast(below), F.col(by).eqNullSafe(F.col("_by2")))
-        .select(by, "_v", "_c", "_n", F.col("_w.i").alias("_i"), F.col("_w.p").alias("_p"),
-                F.expr("_below[_w.i]").alias("_offset")))
-    rank = F.col("_p") * (F.col("_n") - 1)
-    upto = F.col("_offset") + F.sum("_c").over(Window.partitionBy(by, "_i").orderBy("_v"))
-    ranked = inside.withColumn("_upto", upto).groupBy(by, "_i").agg(
-        F.first(rank).alias("_rank"),
-        F.min(F.when(F.col("_upto") > F.floor(rank), F.col("_v"))).alias("_lo"),
-        F.min(F.when(F.col("_upto") > F.ceil(rank), F.col("_v"))).alias("_hi"))
-    share = F.col("_rank") - F.floor("_rank")
-    solved = ranked.withColumn("_q", F.when(share == 0, F.col("_lo")).otherwise(
-        (1 - share) * F.col("_lo") + share * F.col("_hi")))
-    return solved.groupBy(by).agg(*[
-        F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(n) for i, n in enumerate(probs)])
+    return union_parts(cold, _narrowed(rows.filter(mask & F.col("_v").isNotNull()), by, probs, accuracy, hot_rows))
+
+
+def _narrowed(rows: DataFrame, by: str, probs: dict[str, float], accuracy: int, hot_rows: int) -> DataFrame:
+    """Quantiles of hot groups, from one copy of their values."""
+    rows = cut_lineage(rows.select(F.col(by).alias("_key"), "_v"))
+    wanted, cells = [], _cells(accuracy)
+    for i, p in enumerate(probs.values()):
+        rank = F.lit(float(p)) * (F.col("_n") - 1)
+        wanted += [F.struct(F.lit(2 * i).alias("_t"), F.floor(rank).alias("_k")),
+                   F.struct(F.lit(2 * i + 1).alias("_t"), F.ceil(rank).alias("_k"))]
+    grid = _grid(rows, ["_key"], accuracy).select("_key", "_n", "_grid", F.array(*wanted).alias("_wanted"))
+    # One row per hot group, at most rows / hot_rows of them, with GRID numbers each.
+    grid = cut_lineage(grid)
+    ranks = grid.select("_key", "_n", F.inline("_wanted"))
+    tagged = rows.join(F.broadcast(grid.select(F.col("_key").alias("_same"), F.transform(
+        "_wanted", lambda w: _bracket(w["_t"], w["_k"], F.col("_n"), F.col("_grid"), cells)).alias("_brackets"))),
+        F.col("_key").eqNullSafe(F.col("_same")))
+    found, rest = _step(tagged, ranks.drop("_n"), 2 * len(probs))
+    while not rest.isEmpty():
+        rest = cut_lineage(rest)
+        sizes = cut_lineage(rest.groupBy("_key", "_t").agg(F.count("_v").alias("_n"), F.first("_k").alias("_k")))
+        large = sizes.filter(F.col("_n") > hot_rows)
+        small = rest if large.isEmpty() else _only(rest, sizes.filter(F.col("_n") <= hot_rows))
+        place = F.row_number().over(Window.partitionBy("_key", "_t").orderBy("_v"))
+        found = found.unionByName(small.withColumn("_place", place).filter(F.col("_place") == F.col("_k") + 1).select(
+            "_key", "_t", "_v"))
+        if large.isEmpty():
+            break
+        hot = _only(rest, large)
+        grid = cut_lineage(_grid(hot, ["_key", "_t"], accuracy).join(
+            F.broadcast(sizes.select(F.col("_key").alias("_same"), F.col("_t").alias("_same_t"), "_k")),
+            F.col("_key").eqNullSafe(F.col("_same")) & (F.col("_t") == F.col("_same_t"))))
+        marks = grid.select("_same", "_same_t", F.array(_bracket(
+            F.col("_t"), F.col("_k"), F.col("_n"), F.col("_grid"), cells)).alias("_brackets"))
+        tagged = hot.drop("_k").join(F.broadcast(marks), F.col("_key").eqNullSafe(F.col("_same"))
+                                     & (F.col("_t") == F.col("_same_t")))
+        more, rest = _step(tagged.drop("_t"), large.select("_key", "_t", "_k"), 1)
+        found = found.unionByName(more)
+    values = found.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("_t", "_v"))).alias("_at"))
+    sized = values.join(F.broadcast(ranks.select(F.col("_key").alias("_same"), F.col("_n").alias("_rows")).distinct()),
+                        F.col("_key").eqNullSafe(F.col("_same")))
+
+    def quantile(i: int, p: float) -> Column:
+        rank = F.lit(float(p)) * (F.col("_rows") - 1)
+        share = rank - F.floor(rank)
+        low, high = F.col("_at")[2 * i], F.col("_at")[2 * i + 1]
+        return F.when(share == 0, low).otherwise((1 - share) * low + share * high)
+
+    return sized.select(F.col("_key").alias(by), *[quantile(i, p).alias(n) for i, (n, p) in enumerate(probs.items())])
+
+
+def _grid(rows: DataFrame, key: list[str], accuracy: int) -> DataFrame:
+    points = [i / _cells(accuracy) for i in range(_cells(accuracy) + 1)]
+    return rows.groupBy(*key).agg(F.count("_v").alias("_n"), F.percentile_approx("_v", points, accuracy).alias("_grid"))
+
+
+def _cells(accuracy: int) -> int:
+    return max(1, min(GRID, accuracy // 10))
+
+
+def _bracket(target: Column, rank: Column, n: Column, grid: Column, cells: int) -> Column:
+    """Sketch points that surely hold the rank between them; null where the group's end does."""
+    cell = F.floor(F.try_divide(rank * cells, n - 1)).cast("int")
+    return F.struct(target.alias("t"), rank.alias("k"),
+                    F.when(cell > 1, F.get(grid, cell - 1)).alias("low"),
+                    F.when(cell + 2 < cells, F.get(grid, cell + 2)).alias("high"))
+
+
+def _inside(v: Column, b: Column) -> Column:
+    return F.coalesce(v > b["low"], F.lit(True)) & F.coalesce(v < b["high"], F.lit(True))
+
+
+def _step(tagged: DataFrame, ranks: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """(answers for ranks on an end of their bracket, rows strictly inside the others with the rank among them).
+
+    `tagged` are values with the `_brackets` of their group; `ranks` say (_key, _t, _k).
+    """
+    v, b = F.col("_v"), [F.col("_brackets")[i] for i in range(n)]
+    counts = tagged.groupBy("_key", "_brackets").agg(
+        F.array(*[F.struct(F.count_if(v < x["low"]).alias("below"), F.count_if(v == x["low"]).alias("on"),
+                           F.count_if(_inside(v, x)).alias("inside")) for x in b]).alias("_counts"))
+    each = counts.select("_key", F.inline(F.zip_with("_brackets", "_counts", lambda x, y: F.struct(
+        x["t"].alias("_t"), x["k"].alias("_k"), x["low"].alias("_low"), x["high"].alias("_high"),
+        (y["below"] + y["on"]).alias("_upto"), y["inside"].alias("_inside")))))
+    each = cut_lineage(each)
+    at_low = F.col("_k") < F.col("_upto")
+    at_high = F.col("_k") >= F.col("_upto") + F.col("_inside")
+    found = each.filter(at_low | at_high).select("_key", "_t", F.when(at_low, F.col("_low")).otherwise(
+        F.col("_high")).alias("_v"))
+    still = each.filter(~(at_low | at_high)).select(F.col("_key").alias("_own"), "_t", (F.col("_k") - F.col("_upto")).alias("_k"))
+    rows = tagged.select("_key", "_v", F.explode(F.filter("_brackets", lambda x: _inside(F.col("_v"), x))).alias("_in"))
+    rows = rows.withColumn("_in_t", F.col("_in.t"))
+    rest = rows.join(F.broadcast(still), F.col("_key").eqNullSafe(F.col("_own")) & (F.col("_in_t") == F.col("_t")))
+    return found, rest.select("_key", "_t", "_k", "_v")
+
+
+def _only(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    keys = keys.select(F.col("_key").alias("_same"), F.col("_t").alias("_same_t"))
+    return rows.join(F.broadcast(keys), F.col("_key").eqNullSafe(F.col("_same")) & (F.col("_t") == F.col("_same_t")), "left_semi")
 
 
 def column_quantiles(df: DataFrame, columns: Sequence[str], probs: dict[str, float],

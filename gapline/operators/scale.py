@@ -70,16 +70,21 @@ def split_hot(df: DataFrame, key: str, order: Sequence[str],
 
 
 def carry(rows: DataFrame, key: str, summary: dict[str, Column],
-          carried: Callable[[Window, Window], dict[str, Column]]) -> DataFrame:
+          carried: Callable[[Window, Window], dict[str, Column]],
+          shared: Callable[[Window], dict[str, Column]] | None = None) -> DataFrame:
     """Join to every row the state accumulated in earlier segments of its key.
 
-    `summary` is aggregated per (key, segment). `carried` builds the joined columns from
+    `summary` is aggregated per (key, segment); `shared` adds columns to it from a window over all segments of
+    the key. `carried` builds the joined columns from
     two windows over those summaries: the earlier segments, and the earlier ones plus
     this one. There is about one summary per `hot_rows` rows: the broadcast is a few
     millionths of the hot rows.
     """
     per_segment = rows.groupBy(key, SEGMENT).agg(*[c.alias(n) for n, c in summary.items()])
     order = Window.partitionBy(key).orderBy(SEGMENT)
+    if shared is not None:
+        whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        per_segment = per_segment.withColumns(shared(whole))
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     until = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     state = per_segment.select(

@@ -115,3 +115,10 @@ def test_single_record_devices_and_minimum(spark):
 def test_options_are_checked(spark):
     with pytest.raises(ValueError):
         with_history(spark_rows(spark, failures(2, 1)), TL, no_history="mean")
+
+
+def test_constant_gaps_over_segments_have_no_deviation(spark):
+    start, step = dt.datetime(2021, 1, 1), dt.timedelta(microseconds=25_333_333_333)
+    pdf = pd.DataFrame([(1, i, start + i * step, 1.0) for i in range(300)], columns=["device", "no", "at", "hours"])
+    rows = with_history(spark_rows(spark, pdf), TL, hot_rows=20).collect()
+    assert len(rows) == 299 and {r.hist_std_gap for r in rows} == {0.0}

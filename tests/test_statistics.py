@@ -123,17 +123,24 @@ def test_lookup_is_broadcast_only_when_small(spark):
     assert "BroadcastHashJoin" in small and "SortMergeJoin" in large
 
 
-def test_rows_outside_the_bracket_are_not_grouped(spark):
+def test_only_rows_inside_a_bracket_are_ranked(spark, monkeypatch):
     from pyspark.sql import functions as F
 
-    from gapline.operators.quantiles import quantiles
+    from gapline.operators import quantiles as q
 
-    df = spark.range(3000).select((F.col("id") % 2).alias("g"), (F.col("id") * 1.5).alias("v"))
-    out = quantiles(df, "v", {"q": 0.5}, "g", hot_rows=100)
-    plan = out._jdf.queryExecution().optimizedPlan().toString()
-    grouped = next(i for i, line in enumerate(plan.splitlines()) if "Aggregate [g" in line and "_v" in line.split("]")[0])
-    assert any("exists(" in line for line in plan.splitlines()[grouped:grouped + 4])
-    assert {r.g: r.q for r in out.collect()} == {0: 2248.5, 1: 2250.0}
+    left = []
+    step = q._step
+
+    def counted(*args):
+        found, rest = step(*args)
+        left.append(rest.count())
+        return found, rest
+
+    monkeypatch.setattr(q, "_step", counted)
+    df = spark.range(6000).select((F.col("id") % 2).alias("g"), (F.col("id") * 1.5).alias("v"))
+    got = q.quantiles(df, "v", {"q": 0.5}, "g", hot_rows=100).orderBy("g").collect()
+    assert [r["q"] for r in got] == [4498.5, 4500.0]
+    assert left and max(left) < 60
 
 
 def test_every_hot_key_is_found(spark):
@@ -164,3 +171,25 @@ def test_each_column_is_broadcast_by_its_own_size(spark):
     assert fitted.small == {"brand"}
     plan = encode(df, fitted, codes={"brand": "b"})._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_ranks_are_selected_through_several_narrowings(spark, monkeypatch):
+    """Brackets stay far above `hot_rows` for rounds; heavy ties, two groups and a null group."""
+    import numpy as np
+
+    from gapline.operators import quantiles as q
+
+    rng = np.random.default_rng(4)
+    groups = {"a": rng.normal(size=4000), "b": np.repeat([1.0, 2.0, 3.0], [1500, 1, 1500]), None: rng.integers(0, 40, 2000) * 1.0}
+    rows = [(k, float(v)) for k, values in groups.items() for v in values] + [("a", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(6)
+    probs = {"p0": 0.0, "p3": 0.3, "p50": 0.5, "p92": 0.92, "p100": 1.0}
+    rounds = []
+    step = q._step
+    monkeypatch.setattr(q, "_step", lambda *a: rounds.append(1) or step(*a))
+    got = {r["g"]: [r[n] for n in probs] for r in q.quantiles(df, "v", probs, "g", hot_rows=20, accuracy=100).collect()}
+    assert len(rounds) > 2
+    for k, values in groups.items():
+        assert np.allclose(got[k], np.quantile(values, list(probs.values())), rtol=0, atol=1e-12)
+    near = {r["g"]: r["p50"] for r in q.quantiles(df, "v", {"p50": 0.5}, "g", exact=False).collect()}
+    assert all(abs(near[k] - np.quantile(v, 0.5)) < 1 for k, v in groups.items())
