@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding by batched numpy merge rounds.
 
-Texts are cut into words with array operations over character classes, and a word is known by
-a 64-bit hash of its characters. The words of many documents that a task has not met before lie
+Texts are cut into words with array operations over character classes. A word is looked up by a 64-bit hash and
+compared with the known word character by character; one that differs is encoded by itself. The words of many documents that a task has not met before lie
 in one flat array of symbols. Each round looks every neighbouring pair up in the sorted pair
 keys of the vocabulary by binary search, takes the lowest rank of each word, and merges all
 places of that pair at once. A word leaves when none of its pairs has a rank. Texts then become
@@ -26,13 +26,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapline.llm.common import mix, narrow, powers, slices
+from gapline.llm.common import Wrapping, character_noise, narrow, slices
 
 KEPT_WORDS = 250_000      # words a task remembers before it starts afresh
 SLOTS_BITS = 20           # hash slots at the start; they double when words fill half of them
 NO_RANK = np.int64(1 << 60)
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
 
 # The letters that follow an apostrophe as one word in byte-level BPE.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -82,7 +80,6 @@ class Vocabulary:
         ) if self.special else None
         self.decimal = [str(i) for i in range(self.size)]
         self.classes = character_classes()
-        self.noise = mix(np.arange(1, 0x110001, dtype=np.uint64) * np.uint64(BASE))
         self.forget()
 
     def forget(self) -> None:
@@ -90,6 +87,8 @@ class Vocabulary:
         self.empty_slots(SLOTS_BITS)
         self.store = np.zeros(0, np.int64)      # ids of all known words, one after the other
         self.sizes = np.zeros(0, np.int64)
+        self.letters = np.zeros(0, np.uint32)   # characters of all known words, one after the other
+        self.spans = np.zeros(0, np.int64)
 
     def empty_slots(self, bits: int) -> None:
         self.bits = bits
@@ -205,8 +204,8 @@ class Vocabulary:
             slot[left] = (slot[left] + 1) & mask
         return number, slot
 
-    def learn(self, words: list[str], hashes: np.ndarray) -> None:
-        """Encode words, each given once, and keep them."""
+    def ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, one word after the other, and how many each has."""
         plain = [i for i, w in enumerate(words) if w not in self.special]
         ids, sizes = self.merge_words([words[i].encode() for i in plain])
         if len(plain) < len(words):
@@ -214,11 +213,34 @@ class Vocabulary:
             spans = [spans[i] if i in spans else np.array([self.special[w]])
                      for i, w in enumerate(words)]
             ids, sizes = np.concatenate(spans), np.array([len(x) for x in spans])
+        return ids, sizes
+
+    def learn(self, words: list[str], hashes: np.ndarray) -> None:
+        """Encode words, each given once, and keep them."""
+        ids, sizes = self.ids_of(words)
         self.make_room(len(words))
         self.insert(hashes, np.arange(self.known, self.known + len(words)))
         self.known += len(words)
         self.store = np.concatenate([self.store, ids])
         self.sizes = np.append(self.sizes, sizes)
+        self.letters = np.append(self.letters, np.frombuffer("".join(words).encode("utf-32-le"), np.uint32))
+        self.spans = np.append(self.spans, [len(w) for w in words])
+
+    def differing(self, points: np.ndarray, lengths: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """Places of words that only share the hash of the known word they were taken for."""
+        wrong = self.spans[number] != lengths
+        if not wrong.any():
+            at = np.cumsum(self.spans) - self.spans
+            other = gather(self.letters, at[number], lengths) != points
+            if not other.any():
+                return np.zeros(0, np.int64)
+            wrong = np.logical_or.reduceat(other, np.cumsum(lengths) - lengths)
+            return np.flatnonzero(wrong)
+        at, starts = np.cumsum(self.spans) - self.spans, np.cumsum(lengths) - lengths
+        for i in np.flatnonzero(~wrong).tolist():
+            k = number[i]
+            wrong[i] = (self.letters[at[k]:at[k] + lengths[i]] != points[starts[i]:starts[i] + lengths[i]]).any()
+        return np.flatnonzero(wrong)
 
     def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts, and the n + 1 edges of the texts in them."""
@@ -235,13 +257,7 @@ class Vocabulary:
                        for m in self.cut.finditer(t)]
         starts = self.word_starts(points, ends[:-1][np.diff(ends) > 0], special)
         lengths = np.diff(np.append(starts, len(points)))
-        scaled = self.noise[points]
-        scaled *= powers(BASE, len(points))
-        sums = np.zeros(len(points) + 1, np.uint64)
-        np.cumsum(scaled, out=sums[1:])
-        hashes = sums[starts + lengths] - sums[starts]
-        hashes *= powers(INVERSE, len(points))[starts]
-        hashes = mix(hashes + lengths.astype(np.uint64)) | np.uint64(1)
+        hashes = Wrapping(points, character_noise()).hashes(starts, starts + lengths) | np.uint64(1)
         number, _ = self.find(hashes)
         missing = np.flatnonzero(number < 0)
         if len(missing):
@@ -253,6 +269,12 @@ class Vocabulary:
         sizes = self.sizes[number]
         word_at = np.cumsum(self.sizes) - self.sizes
         ids = gather(self.store, word_at[number], sizes)
+        others = self.differing(points, lengths, number)
+        if len(others):
+            spans = np.split(ids, np.cumsum(sizes)[:-1])
+            for i in others.tolist():
+                spans[i], _ = self.ids_of([whole[starts[i]:starts[i] + lengths[i]]])
+            ids, sizes = np.concatenate(spans), np.array([len(x) for x in spans])
         done = np.append(0, np.cumsum(sizes))
         return ids, done[np.searchsorted(starts, ends)]
 
@@ -326,6 +348,7 @@ def encode(df: DataFrame, path: str, wanted: Sequence[str] = ("ids", "n_tokens")
             texts = part.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), *_columns(vocab, texts, wanted)], names=["doc_id", *wanted])
+        vocab.forget()
 
     schema = ", ".join(["doc_id bigint", *(f"{c} {COLUMNS[c]}" for c in wanted)])
     return narrow(df, id_col, text_col).mapInArrow(run, schema)

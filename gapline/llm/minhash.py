@@ -29,24 +29,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapline.llm.common import NO_ID, flat_bytes, ids_of, mix, narrow, powers, slices
+from gapline.llm.common import NO_ID, Rolling, flat_bytes, ids_of, mix, narrow, slices
 from gapline.operators.scale import cut_lineage
 
 WORDS = 5
-BANDS, ROWS = 36, 7
-PERMUTATIONS = BANDS * ROWS // 2
+MISS = 1e-6               # chance that two sets just similar enough share no band, were its rows independent
+MOST_ROWS, MOST_BANDS = 7, 48
 GROUP_SHINGLES = 2_000_000        # of a group that one task compares: 16 MB
 BROADCAST_ROWS = 1_000_000        # ids of suspects that may be broadcast: 16 MB
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
 
 _rng = np.random.default_rng(20)
-MULTIPLIERS = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-BYTE_NOISE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
+BYTE_NOISE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 BYTE_NOISE[65:91] = BYTE_NOISE[97:123]            # A-Z count as a-z
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 PLACE = _rng.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+MULTIPLIERS = _rng.integers(0, 1 << 63, MOST_ROWS * 200, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def banding(percent: int) -> tuple[int, int]:
+    """(bands, rows of each) that miss a pair of this similarity with a chance of MISS: as many rows as leave at most
+    MOST_BANDS bands. 85 gives 36 bands of 7, 80 gives 46 of 6."""
+    for rows in range(MOST_ROWS, 0, -1):
+        bands = int(np.ceil(np.log(MISS) / np.log1p(-(min(percent, 99.9) / 100) ** rows)))
+        if bands <= MOST_BANDS or rows == 1:
+            return min(bands + (bands * rows) % 2, 200), rows
+    raise AssertionError
 
 
 def shingle_sets(column: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -60,12 +68,7 @@ def shingle_sets(column: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.n
     start[1:] &= blank[:-1] | first[1:-1]
     end[:-1] &= blank[1:] | first[1:-1]
     starts, ends = np.flatnonzero(start), np.flatnonzero(end) + 1
-    scaled = BYTE_NOISE[data]
-    scaled *= powers(BASE, len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(scaled, out=sums[1:])
-    word = (sums[ends] - sums[starts]) * powers(INVERSE, len(data) + 1)[starts]
-    word = mix(word + (ends - starts).astype(np.uint64))
+    word = Rolling(data, BYTE_NOISE).hashes(starts, ends)
     of = np.searchsorted(edges, starts, "right") - 1
     count = np.bincount(of, minlength=n)
     at = np.cumsum(count) - count
@@ -90,24 +93,24 @@ def shingle_sets(column: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.n
     return h, np.append(0, np.cumsum(np.bincount(doc, minlength=n)))
 
 
-def signatures(h: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """Band keys (texts x BANDS) of texts that all have shingles."""
-    n = len(edges) - 1
-    values = np.empty((2 * PERMUTATIONS, n), np.uint64)
-    for p, a in enumerate(MULTIPLIERS):
+def signatures(h: np.ndarray, edges: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """Band keys (texts x bands) of texts that all have shingles."""
+    n, used = len(edges) - 1, -(-bands * rows // 2)
+    values = np.empty((2 * used, n), np.uint64)
+    for p, a in enumerate(MULTIPLIERS[:used]):
         product = h * a
         values[2 * p] = np.minimum.reduceat(product, edges[:-1])
         values[2 * p + 1] = np.maximum.reduceat(product, edges[:-1])
-    keys = np.empty((n, BANDS), np.uint64)
-    for b in range(BANDS):
+    keys = np.empty((n, bands), np.uint64)
+    for b in range(bands):
         key = np.full(n, b + 1, np.uint64) * PLACE[40]
-        for r in range(ROWS):
-            key += mix(values[b * ROWS + r]) * PLACE[41 + r]
+        for r in range(rows):
+            key += mix(values[b * rows + r]) * PLACE[41 + r]
         keys[:, b] = mix(key)
     return keys
 
 
-def _sketch(words: int):
+def _sketch(words: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, size=1 << 19):
             h, edges = shingle_sets(part.column(1), words)
@@ -115,12 +118,12 @@ def _sketch(words: int):
             full = np.flatnonzero(size)
             print_ = np.zeros((len(size), 2), np.uint64)
             ends = np.zeros(len(size) + 1, np.int64)
-            keys = np.zeros((0, BANDS), np.uint64)
+            keys = np.zeros((0, bands), np.uint64)
             if len(full):
-                keys = signatures(h, np.append(edges[:-1][full], edges[-1]))
+                keys = signatures(h, np.append(edges[:-1][full], edges[-1]), bands, rows)
                 for side in range(2):
                     print_[full, side] = np.add.reduceat(mix(h * PLACE[50 + side]), edges[:-1][full])
-                ends[full + 1] = BANDS
+                ends[full + 1] = bands
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids_of(part)), pa.array(size), pa.array(print_[:, 0].view(np.int64)),
                  pa.array(print_[:, 1].view(np.int64)),
@@ -250,7 +253,7 @@ def near_duplicates(df: DataFrame, percent: int = 85, words: int = WORDS, id_col
                     text_col: str = "text", group_shingles: int = GROUP_SHINGLES) -> DataFrame:
     docs = narrow(df, id_col, text_col)
     sketch = cut_lineage(docs.mapInArrow(
-        _sketch(words), "id bigint, n bigint, f1 bigint, f2 bigint, bands array<bigint>"))
+        _sketch(words, *banding(percent)), "id bigint, n bigint, f1 bigint, f2 bigint, bands array<bigint>"))
     classes = cut_lineage(sketch.filter("n > 0").groupBy("f1", "f2", "n").agg(
         F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")))
     reps = sketch.join(classes.select("rep", "f1", "f2", "n"), ["f1", "f2", "n"]).filter("id = rep") \

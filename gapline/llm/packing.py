@@ -32,7 +32,6 @@ from gapline.llm.common import narrow, slices
 from gapline.operators.scale import cut_lineage
 
 GROUP_PIECES = 100_000
-LEAST_GROUPS = 16                 # of the first round
 MERGE = 8                         # groups that meet in one group of the next round
 DFF_STEPS = 100                   # rounding functions tried besides the threshold functions
 
@@ -63,6 +62,7 @@ def pieces(df: DataFrame, path: str, size: int, end_id: int, id_col: str = "doc_
                 [part.column(0).take(pa.array(row)), pa.array(piece.astype(np.int32)),
                  pa.array(start), pa.array(length), pa.array(crc, pa.int64())],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        vocab.forget()
 
     return narrow(df, id_col, text_col).mapInArrow(run, _PIECES)
 
@@ -169,9 +169,8 @@ def _pack_group(size: int, number: int, last: bool):
     return run
 
 
-def pack(cut: DataFrame, size: int, group_pieces: int = GROUP_PIECES,
-         least_groups: int = LEAST_GROUPS) -> DataFrame:
-    """Place the rows of `pieces` into sequences of at most `size` ids."""
+def pack(cut: DataFrame, size: int, group_pieces: int = GROUP_PIECES, least_groups: int = 1) -> DataFrame:
+    """Place the rows of `pieces` into sequences of at most `size` ids. More groups than pieces need waste bins."""
     rest = cut_lineage(cut).withColumn("sequence_id", F.lit(0).cast("bigint")).withColumn(
         "offset", F.lit(0).cast("bigint"))
     groups = max(least_groups, rest.count() // group_pieces + 1)

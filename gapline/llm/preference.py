@@ -5,7 +5,7 @@ is rendered once as the prompt; what follows it on either side is a completion.
 its run-length list of (length, train): header characters and turns of other roles are not trained on,
 the text and end mark of assistant turns are.
 
-Result of `format_pairs`: the pair's other columns, then n_prompt_turns, prompt, chosen, chosen_mask,
+Result of `format_pairs`: the pair's other columns (but those named like the result's), then n_prompt_turns, prompt, chosen, chosen_mask,
 rejected, rejected_mask. Lengths count code points. Null roles and texts count as empty, a null array as
 no turns; equal conversations have empty completions. An empty table gives no rows. A conversation is one
 row of the result, as a document is.
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 # Fixed values of the chat template.
 OPEN, NEWLINE, CLOSE = "<|im_start|>", "\n", "<|im_end|>\n"
 ASSISTANT = "assistant"
+RESULT = ("n_prompt_turns", "prompt", "chosen", "chosen_mask", "rejected", "rejected_mask")
 
 
 def conversations(turns: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role",
@@ -66,15 +67,17 @@ def mask(turns: Column) -> Column:
 
 
 def format_pairs(pairs: DataFrame, chosen: str = "chosen", rejected: str = "rejected") -> DataFrame:
-    others = [F.col(c) for c in pairs.columns if c not in (chosen, rejected)]
-    filled = pairs.select(*others, _filled(F.col(chosen)).alias("_c"), _filled(F.col(rejected)).alias("_r"))
-    found = filled.withColumn("_n", common_turns(F.col("_c"), F.col("_r")))
-    rest = {s: F.slice(s, F.col("_n") + 1, F.size(s)) for s in ("_c", "_r")}
+    names = [c for c in pairs.columns if c not in (chosen, rejected, *RESULT)]
+    # Other columns travel inside one struct, so that no name of theirs meets one of ours.
+    own = [F.struct(*[F.col(f"`{c}`") for c in names]).alias("own")] if names else []
+    filled = pairs.select(*own, _filled(F.col(chosen)).alias("c"), _filled(F.col(rejected)).alias("r"))
+    found = filled.withColumn("n", common_turns(F.col("c"), F.col("r")))
+    rest = {s: F.slice(s, F.col("n") + 1, F.size(s)) for s in ("c", "r")}
     return found.select(
-        *others, F.col("_n").alias("n_prompt_turns"),
-        render(F.slice("_c", F.lit(1), F.col("_n"))).alias("prompt"),
-        render(rest["_c"]).alias("chosen"), mask(rest["_c"]).alias("chosen_mask"),
-        render(rest["_r"]).alias("rejected"), mask(rest["_r"]).alias("rejected_mask"))
+        *[F.col("own")[c].alias(c) for c in names], F.col("n").alias("n_prompt_turns"),
+        render(F.slice("c", F.lit(1), F.col("n"))).alias("prompt"),
+        render(rest["c"]).alias("chosen"), mask(rest["c"]).alias("chosen_mask"),
+        render(rest["r"]).alias("rejected"), mask(rest["r"]).alias("rejected_mask"))
 
 
 def cut_last_answer(turns: Column) -> Column:

@@ -116,7 +116,7 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
 @query("op7_best_fit_packing")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf, "documents"), BYTE_BPE, size=1024, end_id=2).select(
-        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "group_bins", "group_bound")
 
 
 @query("op8_language_id")

@@ -18,9 +18,11 @@ short lists of the step before.
    document are covered. If all stretches of a minimizer are equal, its first is settled too.
 4. What is left are the edges of copied passages. Their suffixes are sorted by their first `length` bytes in
    each task, longest previous factors come from nearest smaller documents in that order, and the
-   suffixes without an earlier match go to the owners of their hash, who repeat the step among tasks.
+   suffixes without an earlier match go to the owners of their hash, who find the smallest document of each.
 
-Keys are 64-bit hashes of the bytes (40 bits for minimizers, which only select). Matches never cross
+Owners know strings by 64-bit hashes over a prime field (`Rolling`; two of 128 bits and the length for whole
+texts), so what goes between tasks is decided by equal hashes, not by a second suffix order; minimizers only select
+(40 bits). Matches never cross
 documents. Result of `remove_repeats`, one row per input row: doc_id, kept (binary), n_bytes, n_removed,
 n_spans. Null texts are empty and stay; texts under `length` bytes stay. Rows that repeat an id do not
 remove each other. A null id is the smallest. An empty table gives no rows.
@@ -38,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gapline.llm import golomb
-from gapline.llm.common import NO_ID, flat_bytes, id_array, mix, powers, slices
+from gapline.llm.common import NO_ID, Rolling, Wrapping, flat_bytes, id_array, mix, slices
 from gapline.operators.scale import cut_lineage
 
 LENGTH = 50                       # bytes of a repeat
@@ -48,7 +50,6 @@ FLUSH = 800_000                   # entries a task gathers before it sends them
 OWNER_ENTRIES = 1_000_000         # entries an owner gets, about
 BROADCAST_ROWS = 1_000_000        # keys of rows that may be broadcast: 16 MB
 BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
 NOISE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
 
 _MESSAGE = "owner bigint, ids binary, tags binary, refs binary, keys binary, values binary, many binary"
@@ -87,23 +88,20 @@ class Slice:
         self.tags = part.column(1).to_numpy(zero_copy_only=False)
         self.data, self.edges = flat_bytes(part.column(2))
         self.length = length
-        n = len(self.data)
-        scaled = NOISE[self.data]
-        scaled *= powers(BASE, n)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(scaled, out=self.sums[1:])
+        self._rolling: Rolling | None = None
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.sums[ends] - self.sums[starts]) * powers(INVERSE, len(self.data) + 1)[starts]
-                   + (ends - starts).astype(np.uint64))
+        """Hashes that decide whether strings are equal."""
+        if self._rolling is None:
+            self._rolling = Rolling(self.data, NOISE)
+        return self._rolling.hashes(starts, ends)
 
     def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Stretches of string starts under one minimizer: row, first and last start, key."""
         n, none = len(self.data), np.zeros(0, np.int64)
         if n < self.length:
             return none, none, none, none.astype(np.uint64)
-        piece = (self.sums[PIECE:] - self.sums[:-PIECE]) * powers(INVERSE, n + 1)[:n + 1 - PIECE]
-        least = mix(piece)
+        least = Wrapping(self.data, NOISE).windows(PIECE)     # only selects
         window, done = self.length - PIECE + 1, 1
         while done * 2 <= window:
             least = np.minimum(least[:-done], least[done:])

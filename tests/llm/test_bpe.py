@@ -8,6 +8,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+import numpy as np
+
 from gapline.llm import bpe
 
 PATH = str(public_tokenizers.path("byte_bpe_50k.json"))
@@ -75,3 +77,32 @@ def test_query_columns(spark):
 def test_merge_rounds(word):
     ids, sizes = bpe.vocabulary(PATH).merge_words([word.encode()])
     assert ids.tolist() == OTHER.encode(word, add_special_tokens=False).ids and sizes.tolist() == [len(ids)]
+
+
+def thue_morse(bits=12):
+    word = [0]
+    for _ in range(bits):
+        word += [1 - x for x in word]
+    return "".join("ab"[x] for x in word), "".join("ba"[x] for x in word)
+
+
+def test_words_that_fool_a_hash_keep_their_own_ids(monkeypatch):
+    import public_tokenizers
+    import tokenizers
+
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    vocab, library = bpe.Vocabulary(path), tokenizers.Tokenizer.from_file(path)
+    one, two = thue_morse()
+    texts = [one, two, f"{one} {two}", "the quick brown fox <|endoftext|> é 中文", "the the lazy dog 123", ""]
+
+    def check():
+        ids, edges = vocab.encode(texts)
+        for t, a, b in zip(texts, edges, edges[1:]):
+            assert ids[a:b].tolist() == library.encode(t, add_special_tokens=False).ids
+
+    check()
+    honest = bpe.Wrapping.hashes
+    monkeypatch.setattr(bpe.Wrapping, "hashes", lambda self, a, b: (honest(self, a, b) % np.uint64(7)) << np.uint64(60))
+    vocab.forget()
+    check()
+    check()

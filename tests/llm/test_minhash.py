@@ -101,3 +101,19 @@ def test_links_of_counts_all_pairs():
     assert root.tolist() == want
     h, edges = m.shingle_sets(pa.array(["", "a b", "A\nB", "c"]))
     assert edges.tolist() == [0, 0, 1, 2, 3] and h[0] == h[1]
+
+
+def test_words_that_fool_a_hash_are_not_linked(spark):
+    from test_bpe import thue_morse
+
+    one, two = thue_morse()
+    rows = [(1, one), (2, two), (3, f"{one} x {two} y z"), (4, f"{two} x {one} y z")]
+    got = m.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(i, i) for i, _ in rows]
+
+
+def test_bands_follow_the_similarity():
+    assert m.banding(85) == (36, 7) and m.banding(80) == (46, 6)
+    for percent in (50, 70, 90, 100):
+        bands, rows = m.banding(percent)
+        assert (1 - min(percent / 100, 0.999) ** rows) ** bands <= 1.01e-6 or bands == 200

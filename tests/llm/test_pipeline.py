@@ -91,6 +91,25 @@ def test_rows_that_repeat_an_id(spark):
     assert rows_of(cp.near_copies(spark, again, "")) == sorted([rows[0], rows[2]], key=str)
 
 
+TEXTS = {"copy": "one two three four five six seven eight nine ten " * 4,
+         "alone": "zeta eta theta iota kappa lambda mu nu xi omicron " * 4,
+         "first": "alpha beta gamma delta epsilon digamma stigma heta san qoppa " * 4}
+
+
+@pytest.mark.parametrize("other", [2, None])
+@pytest.mark.parametrize("stage", [cp.exact_copies, cp.near_copies, cp.repeats])
+def test_different_texts_under_one_id_are_judged_by_row(spark, stage, other):
+    rows = [(1, TEXTS["copy"]), (other, TEXTS["copy"]), (other, TEXTS["alone"]), (other, TEXTS["first"]), (3, TEXTS["copy"])]
+    df = spark.createDataFrame([(i, t, 1, 2, 3, 4) for i, t in rows],
+                               "doc_id bigint, text string, _id int, _text int, _row int, _rest int").repartition(3)
+    out = stage(spark, df, "")
+    assert out.columns == df.columns
+    got = [tuple(r) for r in out.collect()]
+    assert sorted(t for _, t, *_ in got) == sorted(TEXTS.values())
+    assert all(r[2:] == (1, 2, 3, 4) for r in got)
+    assert [i for i, t, *_ in got if t == TEXTS["copy"]] == [None if other is None else 1]
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], COLUMNS)
     for name, stage in cp.STAGES:

@@ -56,3 +56,14 @@ def test_cut_answer(spark):
     got = {r.pair: [tuple(t) for t in r.t] for r in
            df.select("pair", p.cut_last_answer(df.chosen).alias("t")).collect()}
     assert got == {1: [U, ("assistant", "ab")], 2: [("user", "h")]}
+
+
+def test_other_columns_may_have_any_name(spark):
+    turns = "array<struct<role:string,text:string>>"
+    df = spark.createDataFrame(
+        [([("user", "a"), ("assistant", "b")], [("user", "a"), ("assistant", "c")], 7, 8, 9, "old", 1)],
+        f"chosen {turns}, rejected {turns}, _n int, _c int, `a.b` int, prompt string, n int")
+    out = p.format_pairs(df)
+    assert out.columns == ["_n", "_c", "a.b", "n", *p.RESULT]
+    row = out.first()
+    assert tuple(row)[:5] == (7, 8, 9, 1, 1) and row["prompt"].startswith("<|im_start|>user")
