@@ -8,9 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapline.operators.stats import (constant_columns, fill_medians, null_profile, numeric_columns,
-                                     target_correlations, variance_inflation,
-                                     zero_deviation_columns)
+from gapline.operators.stats import (fill_medians, inflation, moments, null_profile, numeric_columns, profile,
+                                     target_correlations)
 
 
 def feature_pool(df: DataFrame, exclude: Sequence[str]) -> list[str]:
@@ -66,15 +65,16 @@ def screen(df: DataFrame, target: str, exclude: Sequence[str] = (), forced: Sequ
     """
     pool = [c for c in feature_pool(df, exclude) if c != target]
     result = Screening(pool=pool)
-    result.constant = constant_columns(df, pool) if pool else []
+    seen = profile(df, pool) if pool else {}
+    result.constant = [c for c in pool if seen[c][1]]
     result.forced = [c for c in forced if c in pool and c not in result.constant]
     alive = [c for c in pool if c not in {*result.constant, *result.forced}]
-    filled = fill_missing(df, alive)
+    holes = [c for c in alive if seen[c][0]]
+    filled = fill_medians(df, holes) if holes else df
     numeric = set(numeric_columns(filled))
     tested = vif_candidates(filled, [c for c in alive if c in numeric], target, limit, keep)
-    flat = set(zero_deviation_columns(filled, tested)) if tested else set()
-    tested = [c for c in tested if c not in flat]
-    result.vif = variance_inflation(filled, tested, centered) if tested else {}
+    found = moments(filled, tested).without_flat() if tested else None
+    result.vif = inflation(found.gram(centered), found.columns) if found is not None and found.columns else {}
     result.collinear = [c for c, v in result.vif.items() if v > max_vif]
     alive = [c for c in alive if c not in result.collinear]
     result.final = whitelist(names, alive, target) if names is not None else alive

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 from contextlib import contextmanager
 
 import numpy as np
@@ -168,24 +169,59 @@ def zero_deviation_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
     return [c for c in columns if row[c]]
 
 
+def profile(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[int, bool]]:
+    """Nulls of each column, and whether it has at most one value, from one aggregate."""
+    row = df.agg(*[F.struct(F.count_if(F.col(c).isNull()).alias("nulls"),
+                            F.coalesce(F.min(c) == F.max(c), F.lit(True)).alias("flat")).alias(f"c{i}")
+                   for i, c in enumerate(columns)]).first()
+    return {c: (row[i]["nulls"], row[i]["flat"]) for i, c in enumerate(columns)}
+
+
+@dataclass
+class Moments:
+    """Rows, means, population deviations and correlations of columns without nulls."""
+
+    columns: list[str]
+    rows: int
+    mean: np.ndarray
+    deviation: np.ndarray
+    correlation: np.ndarray
+
+    def without_flat(self) -> Moments:
+        """The columns that vary; a deviation of 0 says that a column does not."""
+        at = np.flatnonzero(self.deviation > 0)
+        return Moments([self.columns[i] for i in at], self.rows, self.mean[at], self.deviation[at],
+                       self.correlation[np.ix_(at, at)])
+
+    def gram(self, centered: bool = False) -> np.ndarray:
+        """X'X of the columns scaled to unit length, accurate for columns of large mean and small spread."""
+        second = self.correlation * np.outer(self.deviation, self.deviation)
+        if not centered:
+            second = second + np.outer(self.mean, self.mean)
+        length = np.sqrt(np.diag(second))
+        length[length == 0] = 1.0
+        return second / np.outer(length, length)
+
+
+def moments(df: DataFrame, columns: Sequence[str]) -> Moments:
+    """Moments of the rows where all columns are known. k x k numbers come to the driver."""
+    columns = list(columns)
+    with _kept(df.dropna("any", subset=columns), columns) as rows:
+        ends = rows.agg(F.count(F.lit(1)), *[F.avg(c) for c in columns], *[F.stddev_pop(c) for c in columns]).first()
+        if ends[0] == 0:
+            return Moments(columns, 0, np.zeros(len(columns)), np.zeros(len(columns)), np.eye(len(columns)))
+        mean, deviation = np.array(ends[1:]).reshape(2, -1)
+        return Moments(columns, ends[0], mean, deviation, _matrix(rows, columns))
+
+
 def gram_matrix(df: DataFrame, features: Sequence[str], centered: bool = False) -> np.ndarray:
     """X'X over rows without nulls, of the columns scaled to unit length.
 
     Built from the correlation matrix and the means, which keeps it accurate for columns of
     large mean and small spread. k x k numbers come to the driver.
     """
-    with _kept(df.dropna("any", subset=list(features)), features) as rows:
-        ends = rows.agg(F.count(F.lit(1)), *[F.avg(c) for c in features],
-                        *[F.stddev_pop(c) for c in features]).first()
-        if ends[0] == 0:
-            return np.eye(len(features))
-        mean, sd = np.array(ends[1:]).reshape(2, -1)
-        second = _matrix(rows, features) * np.outer(sd, sd)
-    if not centered:
-        second = second + np.outer(mean, mean)
-    length = np.sqrt(np.diag(second))
-    length[length == 0] = 1.0
-    return second / np.outer(length, length)
+    found = moments(df, features)
+    return found.gram(centered) if found.rows else np.eye(len(features))
 
 
 def variance_inflation(df: DataFrame, features: Sequence[str],
@@ -195,7 +231,12 @@ def variance_inflation(df: DataFrame, features: Sequence[str],
     Without `centered` the regressions have no intercept. Features tied in an exact linear
     relation get infinity.
     """
-    values, vectors = np.linalg.eigh(gram_matrix(df, features, centered))
+    return inflation(gram_matrix(df, features, centered), features)
+
+
+def inflation(gram: np.ndarray, features: Sequence[str]) -> dict[str, float]:
+    """VIF of features from their scaled Gram matrix."""
+    values, vectors = np.linalg.eigh(gram)
     tiny = values < 1e-12 * max(values.max(), 1.0)
     tied = (np.abs(vectors[:, tiny]) > 1e-6).any(axis=1)
     inverse_diagonal = (vectors[:, ~tiny] ** 2 / values[~tiny]).sum(axis=1)
