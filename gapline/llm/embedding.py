@@ -13,7 +13,7 @@ step by step; equal texts have equal ones.
 Near texts have a likeness of at least `least`. Texts of equal fingerprints are one class. Classes meet in
 buckets of equal characters at 8 sampled steps, BANDS times over, at the power of two below a walk's length and
 at the one below where a near text may be that much shorter. All members of a bucket are verified against each
-other, in the order of ids until the first that is near; buckets above BLOCK_ROWS are dealt as pairs of blocks.
+other, as arrays; larger ones than two times BLOCK_ROWS are dealt as pairs of blocks by a hash of their members.
 So within a bucket nothing is lost; a pair of likeness 0.85 shares no bucket with a probability of about 0.004 if
 steps were independent, one of 0.9 with 6e-5.
 
@@ -34,7 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType
 
-from gapline.llm.common import NO_ID, id_array, mix, narrow
+from gapline.llm.common import NO_ID, character_noise, give_back, id_array, mix, narrow
+from gapline.operators.scale import cut_lineage
 
 SAMPLES = 256
 BLOCK = 256                       # steps between two looks at which walks have ended
@@ -55,7 +56,7 @@ DIGITS = np.frombuffer(b"0123456789abcdef-", np.uint8)
 @lru_cache(maxsize=1)
 def _noise() -> np.ndarray:
     """A random odd 32-bit number for every code point."""
-    return (mix(np.arange(1, 0x110001, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    return (character_noise() >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
 @lru_cache(maxsize=64)
@@ -168,6 +169,8 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 ids, texts, size = [], [], 0
     if ids:
         yield done()
+    ids, texts = [], []
+    give_back()
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -216,54 +219,130 @@ def band_keys(fingerprint: str, least: float = NEAR) -> list[int]:
     return out
 
 
-def _units(names: list[int], block: int) -> list[list[int]]:
-    """Sets of members so that any two of the bucket are together in one: pairs of blocks."""
-    names = sorted(names)
-    if len(names) <= 2 * block:
-        return [names]
-    blocks = [names[k:k + block] for k in range(0, len(names), block)]
-    return [x + y for k, x in enumerate(blocks) for y in blocks[k + 1:]]
+def _digits(prints: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths, and the read characters as rows of SAMPLES digits, 16 where nothing was read."""
+    lengths = np.array([int(f[:8], 16) for f in prints], np.int64)
+    shown = np.frombuffer("".join(f[9:].ljust(SAMPLES, "-") for f in prints).encode("ascii"), np.uint8)
+    place = np.full(256, 16, np.uint8)
+    place[DIGITS] = np.arange(17)
+    return lengths, place[shown].reshape(len(prints), SAMPLES)
+
+
+def likenesses(n: int, shown: np.ndarray, lengths: np.ndarray, others: np.ndarray, least: float) -> np.ndarray:
+    """Likeness of one fingerprint to those of texts no longer than it; 0 where it surely is below `least`."""
+    steps = steps_of(n)
+    shown, out = shown[:len(steps)], np.zeros(len(lengths))
+    read = int((shown != 16).sum())
+    if not read:
+        out[lengths == n] = 1.0
+        return out
+    ordered = np.sort(steps)
+    common = np.searchsorted(ordered, 3 * lengths)            # steps that the shorter text has too
+    maybe = np.flatnonzero((common / read - CHANCE) / (1 - CHANCE) >= least)
+    if not len(maybe):
+        return out
+    below = steps[None, :] < 3 * lengths[maybe, None]
+    place = np.cumsum(below, axis=1) - 1                      # both are in order of priority
+    near = np.where(below, np.take_along_axis(others[maybe], np.maximum(place, 0), axis=1), 16)
+    seen = (near != 16) | (shown != 16)[None, :]
+    same = ((near == shown[None, :]) & seen).sum(axis=1) / seen.sum(axis=1)
+    out[maybe] = np.clip((same - CHANCE) / (1 - CHANCE), 0.0, 1.0)
+    equal = (lengths[maybe] == n) & (others[maybe][:, :len(steps)] == shown[None, :]).all(axis=1)
+    out[maybe[equal]] = 1.0
+    return out
 
 
 def _verify(least: float):
     """Per unit, the smallest id that each member is near to, where there is a smaller one."""
     def run(unit: pd.DataFrame) -> pd.DataFrame:
-        unit = unit.sort_values("id", kind="stable")
-        ids, names, prints = (unit[c].tolist() for c in ("id", "name", "fingerprint"))
-        found, left = [], list(range(1, len(ids)))
-        for k in range(len(ids)):
-            still = []
-            for i in left:
-                if i > k:
-                    close = likeness(prints[i], prints[k])
-                    if close >= least:
-                        found.append((names[i], ids[k], close))
-                    else:
-                        still.append(i)
-            left = still
-            if not left:
-                break
-        return pd.DataFrame(found, columns=["linked", "near_id", "likeness"])
+        lengths, shown = _digits(unit["fingerprint"].tolist())
+        order = np.lexsort((unit["id"].to_numpy(), lengths))
+        ids, names = unit["id"].to_numpy()[order], unit["name"].to_numpy()[order]
+        lengths, shown = lengths[order], shown[order]
+        best, close = ids.copy(), np.ones(len(ids))
+        for i in range(1, len(ids)):                          # each as the longer one of its pairs
+            like = likenesses(int(lengths[i]), shown[i], lengths[:i], shown[:i], least)
+            for k in np.flatnonzero(like >= least).tolist():
+                late, early = (i, k) if ids[i] > ids[k] else (k, i)
+                if ids[early] < best[late]:
+                    best[late], close[late] = ids[early], like[k]
+        found = np.flatnonzero(best < ids)
+        return pd.DataFrame({"linked": names[found], "near_id": best[found], "likeness": close[found]})
     return run
 
 
+def _buckets(most: int):
+    """Rows sorted by key to one row per key of several classes: their packed names and a name for the set.
+
+    A key of more than `most` classes gives its size only; no more than `most` names are held.
+    """
+    schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("unit", pa.int64()), ("names", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, n, held = None, 0, []
+
+        def done() -> list:
+            if n < 2:
+                return []
+            if n > most:
+                return [(now, n, None, None)]
+            names = np.unique(np.concatenate(held)).tobytes()
+            unit = int.from_bytes(hashlib.blake2b(names, digest_size=8).digest(), "little", signed=True)
+            return [(now, n, unit, names)]
+
+        for batch in batches:
+            classes, keys = (batch.column(i).to_numpy() for i in range(2))
+            edges = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)] if len(keys) else [0]
+            rows = []
+            for a, b in zip(edges, edges[1:]):
+                if keys[a] != now:
+                    rows += done()
+                    now, n, held = int(keys[a]), 0, []
+                n += b - a
+                if n <= most:
+                    held.append(classes[a:b])
+                else:
+                    held = []
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(
+                zip(*rows) if rows else [[]] * 4, schema)], schema=schema)
+        last = done()
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(
+            zip(*last) if last else [[]] * 4, schema)], schema=schema)
+    return run
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        names = [np.frombuffer(b, np.int64) for b in batch.column(3).to_pylist()]
+        sizes = np.array([len(x) for x in names], np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(batch.column(2).to_numpy(), sizes)), pa.array(np.concatenate([*names, np.zeros(0, np.int64)]))],
+            names=["unit", "member"])
+
+
 def near_links(prints: DataFrame, least: float = NEAR) -> DataFrame:
     """(doc_id, near_id, likeness, name): the smallest id near to a text, where it is smaller than its own.
 
     `prints` has doc_id, fingerprint and name.
     """
-    block = BLOCK_ROWS
     keys = F.pandas_udf(lambda s: s.map(lambda f: band_keys(f, least)), ArrayType(LongType()))
-    units = F.pandas_udf(lambda s: s.map(lambda names: _units(names, block)), ArrayType(ArrayType(LongType())))
-    prints = prints.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    # One column beside the class, so that all uses need the same columns and share one exchange.
-    classes = prints.groupBy(F.col("name").alias("class")).agg(
-        F.min(F.struct("doc_id", "fingerprint")).alias("first"))
-    buckets = classes.select("class", F.explode(keys("first.fingerprint")).alias("key")).groupBy("key").agg(
-        F.collect_list("class").alias("names")).filter(F.size("names") > 1)
-    buckets = buckets.select(F.array_sort("names").alias("names")).distinct()     # bands often agree
-    members = buckets.select(F.explode(units("names")).alias("unit")).select(
-        F.xxhash64("unit").alias("unit"), F.explode("unit").alias("member"))
+    classes = cut_lineage(prints.groupBy(F.col("name").alias("class")).agg(
+        F.min(F.struct("doc_id", "fingerprint")).alias("first")))
+    spread = classes.select("class", F.explode(keys("first.fingerprint")).alias("key"))
+    buckets = cut_lineage(spread.repartition("key").sortWithinPartitions("key").mapInArrow(
+        _buckets(2 * BLOCK_ROWS), "key bigint, n bigint, unit bigint, names binary"))
+    small = buckets.filter("unit is not null").dropDuplicates(["unit"])                # bands often agree
+    members = small.mapInArrow(_members, "unit bigint, member bigint")
+    large = buckets.filter("unit is null").select("key", "n")
+    if not large.isEmpty():
+        # Of a larger bucket every pair of blocks is a unit; a block holds the members of one share of the hash range.
+        blocks = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
+        own = F.pmod(F.xxhash64("class"), blocks).cast("int")
+        pairs = spread.join(large, "key").withColumn("own", own).withColumn(
+            "other", F.explode(F.filter(F.sequence(F.lit(0), blocks - 1), lambda b: b != F.col("own"))))
+        members = members.unionByName(pairs.select(
+            F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("unit"),
+            F.col("class").alias("member")))
     found = members.join(classes, F.col("member") == F.col("class")).select(
         "unit", F.col("first.doc_id").alias("id"), F.col("member").alias("name"), "first.fingerprint"
     ).groupBy("unit").applyInPandas(_verify(least), "linked bigint, near_id bigint, likeness double")
@@ -332,6 +411,8 @@ def _walk_ranges(batches: Iterator[pa.RecordBatch], linked: bool = False) -> Ite
                     near = {k: v for k, v in near.items() if k[0] == i}
     if not tail and ids:
         yield _rows(ids, texts + texts[:1], len(ids), near)
+    ids, texts = [], []
+    give_back()
 
 
 def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -369,7 +450,7 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
         F.when(F.col("spot") < 0, -1 - F.col("spot")).otherwise(F.col("spot")).alias("bucket"),
         (F.col("spot") < 0).alias("tail"), "doc_id", "text")
     if least is not None:
-        links = near_links(fingerprints(docs), least)
+        links = near_links(cut_lineage(fingerprints(docs)), least)
         told = links.select(F.element_at(spots("doc_id"), 1).alias("bucket"), F.lit(False).alias("tail"), "doc_id",
                             F.lit(None).cast("string").alias("text"), "name",
                             F.coalesce("near_id", F.lit(NO_ID)).alias("near_id")).distinct()
