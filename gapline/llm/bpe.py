@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapline.llm.common import Wrapping, character_noise, narrow, slices
+from gapline.llm.common import Wrapping, character_noise, narrow, slices, tidy
 
 KEPT_WORDS = 250_000      # words a task remembers before it starts afresh
 SLOTS_BITS = 20           # hash slots at the start; they double when words fill half of them
@@ -351,7 +351,7 @@ def encode(df: DataFrame, path: str, wanted: Sequence[str] = ("ids", "n_tokens")
         vocab.forget()
 
     schema = ", ".join(["doc_id bigint", *(f"{c} {COLUMNS[c]}" for c in wanted)])
-    return narrow(df, id_col, text_col).mapInArrow(run, schema)
+    return narrow(df, id_col, text_col).mapInArrow(tidy(run), schema)
 
 
 def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gapline.llm.bpe import LETTER, character_classes
-from gapline.llm.common import mix, slices
+from gapline.llm.common import mix, slices, tidy
 from gapline.operators.scale import cut_lineage
 
 UNKNOWN = "und"
@@ -211,7 +211,7 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                            for v in (x, min(1.0, rows_per_language / counts[x]))])
     taken = own.filter(F.pmod("order", F.lit(1 << 30)) < share[F.col("lang")] * float(1 << 30))
     sample = cut_lineage(taken.select("text", "lang", "order").mapInArrow(
-        _sparse, "lang string, order bigint, at binary, value binary"))
+        tidy(_sparse), "lang string, order bigint, at binary, value binary"))
     families = sorted({family_of(x) for x in languages})
     machines: list[tuple[str, str, bool]] = []               # machine, language, positive
     if len(families) > 1:
@@ -244,7 +244,7 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     return df.select(F.col(id_col).cast("bigint").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"),
                      F.coalesce(F.col(text_col), F.lit("")).alias("text")
-                     ).mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double")
+                     ).mapInArrow(tidy(run), "doc_id bigint, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(df: DataFrame, model: Model, min_score: float, text_col: str = "text") -> DataFrame:
@@ -259,4 +259,4 @@ def keep_identified(df: DataFrame, model: Model, min_score: float, text_col: str
                 lang, score = held.value.predict([t or "" for t in piece.column(place).to_pylist()])
                 yield piece.filter(pa.array([x != UNKNOWN and s >= min_score for x, s in zip(lang, score)]))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tidy(run), df.schema)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapline.llm.common import NO_ID, Rolling, flat_bytes, ids_of, mix, narrow, slices
+from gapline.llm.common import NO_ID, Rolling, flat_bytes, give_back, ids_of, mix, narrow, slices, tidy
 from gapline.operators.scale import cut_lineage
 
 WORDS = 5
@@ -228,7 +228,8 @@ def _confirm(percent: int):
             moved = np.flatnonzero(root != np.arange(len(rows)))
             a.append(ids[rows[moved]])
             b.append(ids[rows[root[moved]]])
-        empty = [np.zeros(0, np.int64)]
+        empty, sets = [np.zeros(0, np.int64)], None
+        give_back()
         return pa.table({"a": np.concatenate(a or empty), "b": np.concatenate(b or empty)})
     return run
 
@@ -253,7 +254,7 @@ def near_duplicates(df: DataFrame, percent: int = 85, words: int = WORDS, id_col
                     text_col: str = "text", group_shingles: int = GROUP_SHINGLES) -> DataFrame:
     docs = narrow(df, id_col, text_col)
     sketch = cut_lineage(docs.mapInArrow(
-        _sketch(words, *banding(percent)), "id bigint, n bigint, f1 bigint, f2 bigint, bands array<bigint>"))
+        tidy(_sketch(words, *banding(percent))), "id bigint, n bigint, f1 bigint, f2 bigint, bands array<bigint>"))
     classes = cut_lineage(sketch.filter("n > 0").groupBy("f1", "f2", "n").agg(
         F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")))
     reps = sketch.join(classes.select("rep", "f1", "f2", "n"), ["f1", "f2", "n"]).filter("id = rep") \
@@ -276,7 +277,7 @@ def near_duplicates(df: DataFrame, percent: int = 85, words: int = WORDS, id_col
     few = suspects <= BROADCAST_ROWS
     sets = docs.join(F.broadcast(chosen) if few else chosen,
                      F.coalesce("doc_id", F.lit(NO_ID)) == F.col("suspect"), "left_semi").mapInArrow(
-        _sets(words), "id bigint, shingles binary")
+        tidy(_sets(words)), "id bigint, shingles binary")
     placed = dealt.select(F.pmod("unit", F.lit(tasks)).alias("task"), "unit", "side", "id")
     links = cut_lineage(sets.join(placed, "id").groupBy("task").applyInArrow(
         _confirm(percent), "a bigint, b bigint"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gapline.llm.bpe import vocabulary
-from gapline.llm.common import narrow, slices
+from gapline.llm.common import narrow, slices, tidy
 from gapline.operators.scale import cut_lineage
 
 GROUP_PIECES = 100_000
@@ -64,7 +64,7 @@ def pieces(df: DataFrame, path: str, size: int, end_id: int, id_col: str = "doc_
                 names=["doc_id", "piece", "start", "length", "ids_crc32"])
         vocab.forget()
 
-    return narrow(df, id_col, text_col).mapInArrow(run, _PIECES)
+    return narrow(df, id_col, text_col).mapInArrow(tidy(run), _PIECES)
 
 
 def lower_bound(lengths: np.ndarray, size: int) -> int:

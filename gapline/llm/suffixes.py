@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gapline.llm import golomb
-from gapline.llm.common import NO_ID, Rolling, Wrapping, flat_bytes, id_array, mix, slices
+from gapline.llm.common import NO_ID, Rolling, Wrapping, flat_bytes, give_back, id_array, mix, slices, tidy
 from gapline.operators.scale import cut_lineage
 
 LENGTH = 50                       # bytes of a repeat
@@ -78,6 +78,8 @@ def unpacked(batches: Iterator[pa.RecordBatch], size: int = 1 << 19) -> Iterator
                 part = batch.slice(start, i + 1 - start)
                 yield part.set_column(2, "text", pa.array(texts, pa.large_binary()))
                 texts, start, held = [], i + 1, 0
+        batch = part = None
+        give_back()
 
 
 class Slice:
@@ -303,6 +305,8 @@ def _answers(kind: str, targets: int):
                 rows += _bundles(*(np.concatenate(c) for c in zip(*parts)), flag, targets)
         types = [pa.int64()] + [pa.binary()] * 5
         columns = list(zip(*rows)) or [[]] * 6
+        got = many = told = rows = []
+        give_back()
         return pa.table({c.split()[0]: pa.array(v, t)
                          for c, v, t in zip(_REPLY.split(", "), columns, types)})
     return run
@@ -499,7 +503,7 @@ def _remove(length: int):
 
 def _exchange(rows: DataFrame, send, kind: str, owners: int) -> DataFrame:
     """(id, tag, covered, open): packed lists per document."""
-    return (rows.mapInArrow(send(owners), _MESSAGE).groupBy("owner").applyInArrow(_answers(kind, owners), _REPLY)
+    return (rows.mapInArrow(tidy(send(owners)), _MESSAGE).groupBy("owner").applyInArrow(_answers(kind, owners), _REPLY)
             .groupBy("target").applyInArrow(_unbundle(_wide(kind)), _TOLD))
 
 
@@ -546,7 +550,7 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
 
     # Lists are dealt like the texts, so joining them leaves the texts where they are.
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = _kept_in_place(fresh.mapInArrow(_compress, "id bigint, tag bigint, blob binary"), parts)
+    texts = _kept_in_place(fresh.mapInArrow(tidy(_compress), "id bigint, tag bigint, blob binary"), parts)
     suspects = _kept_in_place(_exchange(texts, partial(_send_minimizers, length=length), "minimizers", owners)
                               .select("id", "tag", F.col("covered").alias("keys")), parts)
     told = texts.join(suspects, ["id", "tag"])
@@ -558,7 +562,7 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
         stretches.select("id", "tag", "covered"), ["id", "tag"], "left").join(places, ["id", "tag"], "left")
 
     schema = "doc_id bigint, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint"
-    cut = found.select("id", "tag", "blob", "keys", "covered", "places").mapInArrow(_remove(length), schema)
+    cut = found.select("id", "tag", "blob", "keys", "covered", "places").mapInArrow(tidy(_remove(length)), schema)
     n = F.octet_length("text").cast("bigint")
     gone = _pick(docs, copies, "left_semi", broadcast_rows).select(
         F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), F.lit(b"").alias("kept"),
