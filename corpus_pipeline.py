@@ -2,14 +2,15 @@
 
 language     learn languages on the rows that are not held out, reject texts without a letter and
              texts whose language is unclear (score under MIN_SCORE)
-exact        of texts equal up to blanks the longest stays; of rows that repeat an id one stays
+exact        of texts equal up to blanks the longest stays
 near         of texts linked by 0.8 of their five-word shingles the smallest id stays
 repeats      strings of 50 bytes or more that an earlier document holds are cut out; a character cut in two
              goes whole, n_chars follows, and a document with nothing left goes
 pack         the rest as token pieces in sequences of 1024
 
 All but the last return the columns of their input. Null texts are rejected by the first stage; a null id is
-an id like any other. An empty table gives an empty result.
+an id like any other. Rows that share an id are documents of their own, in order of their texts. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -21,33 +22,42 @@ from pyspark.sql.types import StringType
 
 from gapline.llm import exact, language, minhash, packing, suffixes
 from gapline.llm.queries import BYTE_BPE
-from gapline.operators.scale import cut_lineage
+from gapline.operators.scale import cut_lineage, row_numbers
 
 MIN_SCORE = 0.3
 NEAR_PERCENT = 80
 BROADCAST_ROWS = 1_000_000        # ids that may be broadcast: 16 MB
 
 
-def _with_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Semi or anti join on doc_id, null matching null; ids are broadcast only while few."""
-    ids = ids.select(F.col("doc_id").alias("_id")).distinct()
+def _free(docs: DataFrame, name: str) -> str:
+    """The name, or one like it that no column has."""
+    while name in docs.columns:
+        name = f"_{name}"
+    return name
+
+
+def _with_rows(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents and a column that names each row: doc_id, or where ids repeat a number by id and text."""
+    if docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty():
+        return docs, "doc_id"
+    name = _free(docs, "_row")
+    order = ["doc_id", "text", *[c for c, t in docs.dtypes if c not in ("doc_id", "text") and "map" not in t]]
+    return cut_lineage(row_numbers(docs, order, name=name)), name
+
+
+def _pick(docs: DataFrame, row: str, ids: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join on the row's name; ids are broadcast only while few."""
+    own = _free(docs, "_id")
+    ids = cut_lineage(ids.select(F.col("doc_id").alias(own)))
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    return docs.join(ids, docs["doc_id"].eqNullSafe(F.col("_id")), how)
+    return docs.join(ids, docs[row] == F.col(own), how)
 
 
-def _without_dropped(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """Rows of the ids that stay. Of rows that share an id, one stays, the first by its text."""
-    decided = cut_lineage(decided.select("doc_id", "kept"))
-    ids = cut_lineage(decided.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")))
-    left = _with_ids(docs, ids.filter("not kept"), "left_anti")
-    again = ids.filter("kept and n > 1")
-    if again.isEmpty():
-        return left
-    rest = F.struct(*[c for c in docs.columns if c != "doc_id"])
-    once = _with_ids(left, again, "left_semi").groupBy("doc_id").agg(
-        F.min_by(rest, F.struct("text", F.hash(rest))).alias("_rest"))
-    return _with_ids(left, again, "left_anti").unionByName(
-        once.select("doc_id", "_rest.*").select(*docs.columns))
+def _kept(docs: DataFrame, decide) -> DataFrame:
+    """The rows that `decide` keeps; decisions are per row, also where rows share an id."""
+    rows, name = _with_rows(docs)
+    gone = decide(rows, name).filter("not kept")
+    return _pick(rows, name, gone, "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,11 +65,11 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without_dropped(docs, exact.exact_duplicates(docs))
+    return _kept(docs, lambda rows, name: exact.exact_duplicates(rows, name))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without_dropped(docs, minhash.near_duplicates(docs, NEAR_PERCENT))
+    return _kept(docs, lambda rows, name: minhash.near_duplicates(rows, NEAR_PERCENT, id_col=name))
 
 
 def _whole_characters(kept: pd.Series) -> pd.Series:
@@ -67,15 +77,17 @@ def _whole_characters(kept: pd.Series) -> pd.Series:
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = suffixes.remove_repeats(docs).filter("n_removed > 0").select("doc_id", "kept")
-    whole = F.pandas_udf(_whole_characters, StringType())
-    changed = cut_lineage(cut.select(F.col("doc_id").alias("_id"), whole("kept").alias("_text")))
-    same = _with_ids(docs, changed.select(F.col("_id").alias("doc_id")), "left_anti")
-    new = _with_ids(docs.drop("text", "n_chars"), changed.select(F.col("_id").alias("doc_id")), "left_semi") \
-        .join(changed.filter("_text <> ''"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    new = new.withColumn("text", F.col("_text")).withColumn(
-        "n_chars", F.length("_text").cast(dict(docs.dtypes).get("n_chars", "bigint")))
-    return same.unionByName(new.select(*docs.columns))
+    rows, name = _with_rows(docs)
+    cut = suffixes.remove_repeats(rows, id_col=name).filter("n_removed > 0").select("doc_id", "kept")
+    whole, own, text = F.pandas_udf(_whole_characters, StringType()), _free(rows, "_id"), _free(rows, "_text")
+    changed = cut_lineage(cut.select("doc_id", whole("kept").alias("left")))
+    same = _pick(rows, name, changed, "left_anti")
+    left = changed.filter("left <> ''").select(F.col("doc_id").alias(own), F.col("left").alias(text))
+    new = rows.drop("text").join(left, F.col(name) == F.col(own)).withColumn("text", F.col(text))
+    if "n_chars" in docs.columns:
+        new = new.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
+    names = [f"`{c}`" for c in docs.columns]
+    return same.select(*names).unionByName(new.select(*names))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
