@@ -194,22 +194,39 @@ def kept_rows(judged: DataFrame) -> DataFrame:
     return judged.filter(F.col("drop_reason").isNull()).drop(*JUDGEMENT)
 
 
-def cleaning_audit(judged: DataFrame) -> DataFrame:
-    """(step, rows_before, dropped, rows_after), in the order the rules apply."""
-    counts = judged.agg(
-        F.coalesce(F.sum("copies"), F.lit(0)).alias("total"),
-        (F.coalesce(F.sum("copies"), F.lit(0)) - F.count(F.lit(1))).alias("duplicate"),
-        *[F.count_if(F.col("drop_reason") == r).alias(r) for r in RULES])
+def judgement_counts() -> list[Column]:
+    """What the audit and the summary need, as aggregates over judged rows (or metrics observed of them)."""
+    return [F.coalesce(F.sum("copies"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("distinct"),
+            *[F.count_if(F.col("drop_reason") == r).alias(r) for r in RULES]]
+
+
+def audit_of(counts: DataFrame) -> DataFrame:
+    """(step, rows_before, dropped, rows_after) from one row of `judgement_counts`, in the order the rules apply."""
     steps, before = [], F.col("total")
     for i, step in enumerate(("duplicate", *RULES)):
-        after = before - F.col(step)
-        steps.append(F.struct(F.lit(i).alias("step_no"), F.lit(step).alias("step"),
-                              before.alias("rows_before"), F.col(step).alias("dropped"),
-                              after.alias("rows_after")))
+        dropped = F.col(step) if i else F.col("total") - F.col("distinct")
+        after = before - dropped
+        steps.append(F.struct(F.lit(i).alias("step_no"), F.lit(step).alias("step"), before.alias("rows_before"),
+                              dropped.alias("dropped"), after.alias("rows_after")))
         before = after
     return counts.select(F.inline(F.array(*steps)))
 
 
+def summary_of(counts: DataFrame, width: int) -> DataFrame:
+    """Rows in, out and dropped, the kept share in percent (0 for an empty table), columns out."""
+    rows_in, rows_out = F.col("total"), F.col("distinct")
+    for rule in RULES:
+        rows_out = rows_out - F.col(rule)
+    return counts.select(
+        rows_in.alias("rows_in"), rows_out.alias("rows_out"), (rows_in - rows_out).alias("dropped"),
+        F.coalesce(F.try_divide(rows_out * 100.0, rows_in), F.lit(0.0)).alias("kept_percent"),
+        F.lit(width).alias("columns_out"))
+
+
+def cleaning_audit(judged: DataFrame) -> DataFrame:
+    return audit_of(judged.agg(*judgement_counts()))
+
+
 def unparsed_times(judged: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """(column, unparsed, dropped): texts of each time column that are no time, over rows without copies, and how
     many of them the rules drop with their row."""
@@ -224,12 +241,4 @@ def unparsed_times(judged: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 
 def cleaning_summary(judged: DataFrame) -> DataFrame:
-    """Rows in, out and dropped, the kept share in percent (0 for an empty table), columns out."""
-    rows_in = F.coalesce(F.sum("copies"), F.lit(0))
-    rows_out = F.count_if(F.col("drop_reason").isNull())
-    width = len([c for c in judged.columns if c not in JUDGEMENT])
-    return judged.agg(
-        rows_in.alias("rows_in"), rows_out.alias("rows_out"),
-        (rows_in - rows_out).alias("dropped"),
-        F.coalesce(F.try_divide(rows_out * 100.0, rows_in), F.lit(0.0)).alias("kept_percent"),
-        F.lit(width).alias("columns_out"))
+    return summary_of(judged.agg(*judgement_counts()), len([c for c in judged.columns if c not in JUDGEMENT]))

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 
-from gapline.operators.cleaning import (Rules, clean_rows, cleaning_audit, cleaning_summary,
-                                        judge_rows, kept_rows, standardize_columns)
-from gapline.operators.scale import cut_lineage
+from gapline.operators.cleaning import (Rules, audit_of, clean_rows, judge_rows, judgement_counts, kept_rows,
+                                        standardize_columns, summary_of)
 from gapline.sources.schema import STANDARD_NAMES
 from gapline.sources.tables import standard_names, write_table
 
@@ -24,9 +23,10 @@ def run_cleaning(raw: DataFrame, path: str, fmt: str = "parquet", rules: Rules =
                  rename: bool = False) -> tuple[DataFrame, DataFrame]:
     """Write the cleaned table and return (audit, summary).
 
-    The judged rows are checkpointed once, so the write and both reports share one pass.
+    Both reports come from metrics observed while the table is written: one pass, nothing kept beside the result.
     """
-    judged = cut_lineage(judge_rows(_mapped(raw), rules))
-    cleaned = kept_rows(judged)
+    judged, seen = judge_rows(_mapped(raw), rules), Observation()
+    cleaned = kept_rows(judged.observe(seen, *judgement_counts()))
     write_table(standard_names(cleaned) if rename else cleaned, path, fmt)
-    return cleaning_audit(judged), cleaning_summary(judged)
+    counts = raw.sparkSession.createDataFrame([seen.get], ", ".join(f"{c} bigint" for c in seen.get))
+    return audit_of(counts), summary_of(counts, len(cleaned.columns))

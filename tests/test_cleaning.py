@@ -123,3 +123,15 @@ def test_cleaned_table_survives_csv(spark, tmp_path):
     back = read_clean_work_orders(spark, str(tmp_path / "out"), "csv")
     assert sorted(map(str, back.collect())) == sorted(map(str, cleaned.collect()))
     assert source_names(standard_names(cleaned)).columns == cleaned.columns
+
+
+def test_reports_of_the_job_are_those_of_its_rows(spark, tmp_path):
+    from gapline.plans.cleaning import run_cleaning
+
+    raw = raw_rows(spark, {}, {"wonum": "W0"}, {"assetnum": None}, {"current_faildate": "bad"}, {"repair_duration_hours": -1.0})
+    for rows in (raw, raw.limit(0)):
+        audit, summary = run_cleaning(rows, str(tmp_path / "out"))
+        judged = c.judge_rows(rows)
+        assert audit.collect() == c.cleaning_audit(judged).collect()
+        assert summary.collect() == c.cleaning_summary(judged).collect()
+        assert read_clean_work_orders(spark, str(tmp_path / "out")).count() == summary.first()["rows_out"]
