@@ -10,9 +10,10 @@ from gapline.functions.times import day_period
 from gapline.operators import encode as en
 from gapline.operators import split as sp
 from gapline.operators.nearest import append_rows, oversample
+from gapline.operators.models import scaler, z_scores
 from gapline.operators.scale import with_totals
 from gapline.plans.events import PERIOD_FLAGS
-from gapline.plans.training import DEVICE_FEATURES, with_stratum
+from gapline.plans.training import DEVICE_FEATURES, device_sides, with_stratum
 
 _LABEL_SQL = "WITH " + RAW + """ SELECT wonum, cust_brand, cust_subsys,
   CAST(dense_rank() OVER (ORDER BY coalesce(cust_brand, 'nan')) - 1 AS INTEGER) AS brand_code,
@@ -185,16 +186,36 @@ def _(spark, d):
     return sp.with_fold(table(spark, d, "orders").select("o_orderkey"), ["o_orderkey"])
 
 
-def _oversampled(spark, d):
-    return oversample(strata(spark, d), "stratum", DEVICE_FEATURES, "assetnum")
+# Training and test devices with all eleven features: codes by the training devices (-1 for others), and z-scores
+# by their means and deviations.
+ELEVEN = [*DEVICE_FEATURES, "station_enc", "brand_enc", "line_enc"]
+CODE = """CASE WHEN {0} IN (SELECT {0} FROM tr) THEN CAST((SELECT count(DISTINCT {0}) FROM tr WHERE tr.{0} < t.{0})
+  AS INTEGER) ELSE -1 END AS {1}"""
+SIDES = _STRATA + f""", sd AS ({_STRATIFIED}), t AS (SELECT dev.*, is_test FROM dev JOIN sd USING (assetnum))"""
+SCALED = SIDES + ", tr AS (SELECT * FROM t WHERE NOT is_test), c AS (SELECT t.*, " + ", ".join(
+    CODE.format(x, f"{x}_enc") for x in ("station", "brand", "line")) + " FROM t), ms AS (SELECT " + ", ".join(
+    f"avg({c}) AS m_{c}, stddev_samp({c}) AS s_{c}" for c in ELEVEN) + """ FROM c WHERE NOT is_test),
+  z AS (SELECT assetnum, is_test, avg_mtbf_h, """ + ", ".join(
+    f"CASE WHEN s_{c} > 0 THEN ({c} - m_{c}) / s_{c} ELSE 0.0 END AS {c}" for c in ELEVEN) + " FROM c, ms)"
+
+
+def sides(spark, d):
+    return device_sides(dev(spark, d), "assetnum", edges=DAY_EDGES)
+
+
+def scaled(spark, d, both=False):
+    """z-scores of the training devices, or of all of them."""
+    s = sides(spark, d)
+    fitted = scaler(s.features, s.train)
+    return z_scores(s.train.unionByName(s.test) if both else s.train, s.features, fitted)
 
 
 # Brute-force twin: all pairs of a stratum, five nearest by distance and id, the same draws.
 _HEX = "CAST('0x' || substr(h, {}, 8) AS BIGINT)"
-_GAP2 = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in DEVICE_FEATURES)
-_L6_SQL = "WITH " + _STRATA + f""", p AS (SELECT stratum, d.* FROM dev d JOIN strata USING (assetnum)),
- n AS (SELECT stratum, count(*) AS size, (SELECT max(c) FROM (SELECT count(*) AS c FROM strata GROUP BY stratum))
-   - count(*) AS missing FROM strata GROUP BY stratum),
+_GAP2 = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in ELEVEN)
+_L6_SQL = "WITH " + SCALED + f""", p AS (SELECT stratum, z.* FROM z JOIN strata USING (assetnum) WHERE NOT is_test),
+ n AS (SELECT stratum, count(*) AS size, (SELECT max(c) FROM (SELECT count(*) AS c FROM p GROUP BY stratum))
+   - count(*) AS missing FROM p GROUP BY stratum),
  near AS (SELECT * FROM (SELECT a.assetnum AS id, b.assetnum AS nid, row_number() OVER
    (PARTITION BY a.assetnum ORDER BY {_GAP2}, b.assetnum) AS place
    FROM p a JOIN p b ON a.stratum = b.stratum AND a.assetnum <> b.assetnum) WHERE place <= 5),
@@ -206,19 +227,19 @@ _L6_SQL = "WITH " + _STRATA + f""", p AS (SELECT stratum, d.* FROM dev d JOIN st
  draw AS (SELECT id, copy, size, md5(concat(CAST(id AS VARCHAR), ':', CAST(copy AS VARCHAR), ':42')) AS h FROM want),
  pick AS (SELECT id, 1 + {_HEX.format(1)} % least(5, size - 1) AS place,
    {_HEX.format(9)} / 4294967296.0 AS share FROM draw)
- SELECT a.stratum, {", ".join(f"round(a.{c} + share * (b.{c} - a.{c}), 5) AS {c}" for c in DEVICE_FEATURES)},
+ SELECT a.stratum, {", ".join(f"round(a.{c} + share * (b.{c} - a.{c}), 5) AS {c}" for c in ELEVEN)},
    id AS source_id FROM pick JOIN near USING (id, place) JOIN p a ON a.assetnum = id JOIN p b ON b.assetnum = nid"""
 
 
 @query("l6_oversampled_strata", _L6_SQL)
 def _(spark, d):
-    return rounded(_oversampled(spark, d), 5)
+    return rounded(oversample(scaled(spark, d), "stratum", ELEVEN, "assetnum"), 5)
 
 
 @query("x4_l6_balanced_strata", "WITH " + _STRATA + """, n AS (SELECT stratum, count(*) AS c FROM strata GROUP BY stratum)
   SELECT stratum, (SELECT max(c) FROM n) AS rows, (SELECT max(c) FROM n) - c AS synthetic_rows FROM n""")
 def _(spark, d):
     rows = strata(spark, d)
-    both = append_rows(rows, _oversampled(spark, d))
+    both = append_rows(rows, oversample(rows, "stratum", DEVICE_FEATURES, "assetnum"))
     return both.groupBy("stratum").agg(F.count(F.lit(1)).alias("rows"),
                                        F.count_if("synthetic").alias("synthetic_rows"))

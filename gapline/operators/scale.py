@@ -22,9 +22,8 @@ SEGMENT = "_segment"
 ONE_GROUP = "_all"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder of the session, so lost executors cost no recompute."""
-    spark = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> None:
+    """Point the session at its shared checkpoint folder; local sessions may get a temporary one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -33,6 +32,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="gapline-checkpoint-")
         context.setCheckpointDir(folder)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint to the shared folder of the session, so lost executors cost no recompute."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

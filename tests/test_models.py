@@ -80,8 +80,9 @@ def test_deeper_trees_than_mllib_grows_are_refused():
     assert max(f["depth"] for f in (md.FOREST_EVENTS, md.FOREST_DEVICES, md.FOREST_TOP_FEATURES)) <= md.MAX_DEPTH
 
 
-def test_training_rows_are_spread_up_only(spark):
+def test_training_rows_are_spread_up_only(spark, monkeypatch):
     cores = spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(md, "TASK_ROWS", 10)
     many = md._spread(spark.range(1000).repartition(3 * cores))
     one = md._spread(spark.range(1000).coalesce(1))
     assert (many.rdd.getNumPartitions(), one.rdd.getNumPartitions()) == (3 * cores, max(cores, 2))
@@ -104,3 +105,24 @@ def test_event_control_with_unknown_durations(spark):
     out = tr.event_predictions(events, "device", ["a", "b"], "gap_h", md.ridge(1.0), 3, md.forest(4, 4, 1),
                                categories=["station"])
     assert out.count() > 50 and out.filter("predicted is null").count() == 0
+
+
+def test_boosting_ends_early_and_says_when(data):
+    _, _, rows = data
+    limit = 60
+    noise = rows.withColumn("y", F.lit(2.0) + F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 4), 16, 10) / 65536)
+    early = md.fit(md.boosting(rounds=limit, depth=3, ids=["id"], held=0.25), noise, ["a", "b"], "y")
+    assert 1 <= md.rounds_used(early) < limit
+    # Nothing held back: all rounds run.
+    none = md.fit(md.boosting(rounds=4, depth=2, ids=["id"], held=0.0), rows, ["a", "b"], "y")
+    assert md.rounds_used(none) == 4
+
+
+def test_a_stack_takes_models_that_are_fitted_already(data):
+    _, _, rows = data
+    learners = {"ridge": md.ridge(1.0), "small": md.boosting(rounds=3, depth=2)}
+    ready = {"ridge": md.fit(learners["ridge"], rows, ["a", "b"], "y")}
+    fitted = md.stack(learners, rows, ["a", "b"], "y", ["id"], folds=2, bases=ready)
+    assert fitted.bases[md.BASE + "ridge"] is ready["ridge"] and md.BASE + "small" in fitted.bases
+    assert md.rounds_used(fitted) is None
+    assert fitted.predict(rows).filter("predicted is null").count() == 0
