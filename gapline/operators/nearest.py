@@ -1,93 +1,132 @@
 """Exact nearest rows by squared distance, and the oversampling built on it.
 
-Rows are projected to one unit direction. Two rows are never closer than their projections,
-so after a first look inside its own range bucket a query needs only the buckets that reach
-within its current k-th distance. Buckets are bounded, crowded query buckets are chunked, and
-a task returns k rows per query, never the pairs it looked at.
+A bounded number of rows serve as pivots. Each base row belongs to the cell of its nearest pivot, and a cell is
+cut into rings of equal size by the distance to it. A query first looks into the ring it falls in. Its k-th
+distance there then rules out whole cells (every row of a cell is nearer to that pivot than to the query's own,
+so the cell lies behind the plane between the two) and rings (distances to the pivot differ by no more than the
+distance of the rows). Rings are bounded, crowded rings get their queries in chunks, and a task returns k rows
+per query, never the pairs it looked at. Only the pivots are known to the driver.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from gapline.operators.scale import HOT_ROWS, cut_lineage, row_numbers
+from gapline.operators.scale import HOT_ROWS, cut_lineage, row_numbers, with_totals
 from gapline.operators.split import SEED, seeded_hash
 
-BUCKET_ROWS = 2_000    # wanted rows of one base bucket and of one query chunk
+BUCKET_ROWS = 2_000    # rows of one ring and of one query chunk
+MAX_PIVOTS = 256       # cells of a group; more rows make more rings
 BLOCK = 64             # queries measured at once inside a task
 BASE_BLOCK = 4_096     # base rows measured at once
+CELL = ["_g", "cell"]
+RING = [*CELL, "ring"]
 
 
-def _direction(dims: int) -> list[float]:
-    raw = np.cos(np.arange(1, dims + 1) * 1.7) + 1.1
-    return [float(v) for v in raw / np.linalg.norm(raw)]
+def _pivots(points: DataFrame, bucket_rows: int) -> np.ndarray:
+    """At most MAX_PIVOTS different vectors, chosen by hash."""
+    wanted = min(MAX_PIVOTS, points.count() // bucket_rows + 1)
+    rows = points.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(wanted).collect()
+    return np.unique(np.array([r["vec"] for r in rows], dtype="float64"), axis=0)
 
 
-def _project(vector: Column, weights: Sequence[float]) -> Column:
-    terms = F.zip_with(vector, F.array(*[F.lit(w) for w in weights]), lambda a, b: a * b)
-    return F.aggregate(terms, F.lit(0.0), lambda acc, v: acc + v)
+def _to_pivots(vectors: pd.Series, pivots: np.ndarray) -> Iterator[np.ndarray]:
+    """Distances to all pivots, a block of rows at a time."""
+    for start in range(0, len(vectors), BLOCK):
+        part = np.stack(vectors.iloc[start:start + BLOCK].to_numpy())
+        yield np.sqrt(((part[:, None, :] - pivots[None]) ** 2).sum(axis=2))
+
+
+def _own_cell(pivots: np.ndarray):
+    @F.pandas_udf("struct<cell int, d double>")
+    def own(vectors: pd.Series) -> pd.DataFrame:
+        parts = [(d.argmin(axis=1), d.min(axis=1)) for d in _to_pivots(vectors, pivots)]
+        return pd.DataFrame({"cell": np.concatenate([c for c, _ in parts] or [[]]).astype("int32"),
+                             "d": np.concatenate([d for _, d in parts] or [[]]).astype("float64")})
+    return own
+
+
+def _cells_in_reach(pivots: np.ndarray):
+    apart = np.sqrt(((pivots[:, None, :] - pivots[None]) ** 2).sum(axis=2))
+
+    @F.pandas_udf("array<struct<cell int, d double>>")
+    def cells(vectors: pd.Series, reach: pd.Series) -> pd.Series:
+        out, at = [], 0
+        for d in _to_pivots(vectors, pivots):
+            own = d.argmin(axis=1)
+            gap = d ** 2 - (d ** 2).min(axis=1, keepdims=True)
+            between = apart[own]
+            bound = np.divide(gap, 2 * between, out=np.zeros_like(gap), where=between > 0)
+            seen = bound <= reach.iloc[at:at + len(d)].to_numpy()[:, None]
+            out += [[{"cell": int(c), "d": float(row[c])} for c in np.flatnonzero(s)] for row, s in zip(d, seen)]
+            at += len(d)
+        return pd.Series(out, dtype=object)
+    return cells
 
 
 def nearest(queries: DataFrame, base: DataFrame, *, id_col: str, vector: str, k: int = 1,
-            exclude_self: bool = False, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+            exclude_self: bool = False, bucket_rows: int = BUCKET_ROWS, group: str | None = None,
+            hot_rows: int = HOT_ROWS) -> DataFrame:
     """(query, neighbor, distance, place): the k base rows of least squared distance per query.
 
     Equal distances go by id. Both tables hold `id_col` (a whole number or text) and `vector`
-    (array<double>).
+    (array<double>). With `group` a query meets the rows of its own group alone; rows with a null
+    group take no part. A query whose first ring holds fewer than k rows visits its whole group.
     """
     kind = "string" if isinstance(base.schema[id_col].dataType, StringType) else "bigint"
-    first = base.select(F.size(vector)).first()
-    if first is None:
-        return queries.sparkSession.createDataFrame(
-            [], f"query {kind}, neighbor {kind}, distance double, place int")
-    weights = _direction(first[0])
+    of = F.col(group).cast("string") if group else F.lit("")
     keep = k + 1 if exclude_self else k
     # Of identical vectors only the smallest ids can be among the k; the limit is applied on
     # both sides of the shuffle, so a vector copied a million times stays cheap.
-    copies = Window.partitionBy("vec").orderBy("nid")
-    points = (
-        base.select(F.col(id_col).cast(kind).alias("nid"),
-                    F.col(vector).cast("array<double>").alias("vec"))
-        .withColumn("_copy", F.row_number().over(copies)).filter(F.col("_copy") <= keep)
-        .drop("_copy").withColumn("p", _project(F.col("vec"), weights)))
-    buckets = max(1, points.count() // bucket_rows)
-    marks = [i / buckets for i in range(1, buckets)]
-    cuts = points.agg(F.percentile_approx("p", marks, max(10_000, 4 * buckets))).first()[0] if marks else []
-    splits = [-math.inf, *sorted(set(cuts)), math.inf]
-    bucketer = Bucketizer(splits=splits) if len(splits) > 2 else None
-
-    def placed(df: DataFrame, column: str, name: str) -> DataFrame:
-        if bucketer is None:
-            return df.withColumn(name, F.lit(0))
-        out = bucketer.copy().setInputCol(column).setOutputCol(name).transform(df)
-        return out.withColumn(name, F.col(name).cast("int"))
-
-    points = placed(points, "p", "bucket").drop("p")
-    asked = queries.select(F.col(id_col).cast(kind).alias("qid"),
-                           F.col(vector).cast("array<double>").alias("vec"))
-    asked = placed(asked.withColumn("p", _project(F.col("vec"), weights)), "p", "bucket")
-    near = _measure(asked, points, k, exclude_self, bucket_rows, kind)
+    copies = Window.partitionBy("_g", "vec").orderBy("nid")
+    points = cut_lineage(
+        base.select(of.alias("_g"), F.col(id_col).cast(kind).alias("nid"),
+                    F.col(vector).cast("array<double>").alias("vec")).filter(F.col("_g").isNotNull())
+        .withColumn("_copy", F.row_number().over(copies)).filter(F.col("_copy") <= keep).drop("_copy"))
+    pivots = _pivots(points, bucket_rows)
+    if not len(pivots):
+        return queries.sparkSession.createDataFrame(
+            [], f"query {kind}, neighbor {kind}, distance double, place int")
+    own = _own_cell(pivots)
+    key = F.concat_ws(":", F.col("cell").cast("string"), "_g")
+    placed = points.withColumn("_own", own("vec")).select("*", "_own.*").drop("_own").withColumn("_key", key)
+    numbered = row_numbers(placed, ["d", "nid"], "_key", "_no", hot_rows)
+    points = cut_lineage(numbered.select(
+        *CELL, F.floor((F.col("_no") - 1) / bucket_rows).cast("int").alias("ring"), "nid", "vec", "d"))
+    rings = points.groupBy(*RING).agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
+    edges = rings.groupBy(*CELL).agg(F.array_sort(F.collect_list("lo")).alias("_lo"),
+                                     F.array_sort(F.collect_list("hi")).alias("_hi"))
+    asked = cut_lineage(
+        queries.select(of.alias("_g"), F.col(id_col).cast(kind).alias("qid"),
+                       F.col(vector).cast("array<double>").alias("vec")).filter(F.col("_g").isNotNull())
+        .withColumn("_own", own("vec")).select("*", "_own.*").drop("_own"))
+    below = F.size(F.filter("_hi", lambda h: h < F.col("d")))
+    first = cut_lineage(asked.join(edges, CELL, "left").select(
+        *CELL, "qid", "vec", F.least(below, F.size("_hi") - 1).alias("ring")))
+    near = cut_lineage(_measure(first.filter(F.col("ring").isNotNull()), points, k, exclude_self, bucket_rows, kind))
     radius = near.groupBy("qid").agg(F.max("distance").alias("_d"), F.count(F.lit(1)).alias("_k"))
     # A little slack keeps rounding from hiding a neighbor that sits exactly on the border.
-    reach = F.when(F.col("_k") >= k, F.sqrt("_d") * (1 + 1e-9) + 1e-9)
-    wide = asked.join(radius, "qid", "left").withColumns({
-        "_from": F.coalesce(F.col("p") - reach, F.lit(-1.7e308)),
-        "_to": F.coalesce(F.col("p") + reach, F.lit(1.7e308))})
-    wide = placed(placed(wide, "_from", "_b0"), "_to", "_b1")
+    reach = F.coalesce(F.when(F.col("_k") >= k, F.sqrt("_d") * (1 + 1e-9) + 1e-9), F.lit(float("inf")))
+    wide = first.join(radius, "qid", "left").select(
+        "_g", "qid", "vec", reach.alias("_reach"), F.col("cell").alias("_cell"), F.col("ring").alias("_ring"))
+    visits = wide.select("*", F.inline(_cells_in_reach(pivots)("vec", "_reach")))
+    low, high = F.col("d") - F.col("_reach"), F.col("d") + F.col("_reach")
+    from_ring = F.size(F.filter("_hi", lambda h: h < low))
+    to_ring = F.size(F.filter("_lo", lambda v: v <= high)) - 1
     more = (
-        wide.select("qid", "vec", F.col("bucket").alias("_own"),
-                    F.explode(F.sequence("_b0", "_b1")).alias("bucket"))
-        .filter(F.col("bucket") != F.col("_own")).drop("_own"))
+        visits.join(edges, CELL).withColumns({"_from": from_ring, "_to": to_ring})
+        .filter(F.col("_from") <= F.col("_to"))
+        .select(*CELL, "qid", "vec", "_cell", "_ring", F.explode(F.sequence("_from", "_to")).alias("ring"))
+        .filter(~((F.col("cell") == F.col("_cell")) & (F.col("ring").eqNullSafe(F.col("_ring")))))
+        .drop("_cell", "_ring"))
     found = near.unionByName(_measure(more, points, k, exclude_self, bucket_rows, kind))
-    # At most k rows per visited bucket and query, limited before the shuffle as well.
+    # At most k rows per visited ring and query, limited before the shuffle as well.
     place = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "nid"))
     return found.withColumn("place", place).filter(F.col("place") <= k).select(
         F.col("qid").alias("query"), F.col("nid").alias("neighbor"), "distance", "place")
@@ -95,23 +134,21 @@ def nearest(queries: DataFrame, base: DataFrame, *, id_col: str, vector: str, k:
 
 def _measure(asked: DataFrame, points: DataFrame, k: int, exclude_self: bool,
              chunk_rows: int, kind: str) -> DataFrame:
-    """Best k per query among the points of its bucket."""
-    # One row per bucket of `bucket_rows` points.
-    load = asked.groupBy("bucket").agg(
+    """Best k per query among the points of its ring."""
+    # One row per ring that is asked for; it is broadcast only where it turns out small.
+    load = asked.groupBy(*RING).agg(
         F.ceil(F.count(F.lit(1)) / chunk_rows).cast("int").alias("_chunks"))
-    left = asked.join(F.broadcast(load), "bucket").select(
-        "bucket", F.pmod(F.xxhash64("qid"), F.col("_chunks")).cast("int").alias("chunk"),
-        "qid", "vec")
-    right = points.join(F.broadcast(load), "bucket").select(
-        "bucket", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("chunk"),
-        "nid", "vec")
+    left = asked.join(load, RING).select(
+        *RING, F.pmod(F.xxhash64("qid"), F.col("_chunks")).cast("int").alias("chunk"), "qid", "vec")
+    right = points.join(load, RING).select(
+        *RING, F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("chunk"), "nid", "vec")
 
     def best(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         nothing = pd.DataFrame({"qid": pd.Series(dtype=q["qid"].dtype), "nid": pd.Series(dtype=b["nid"].dtype),
                                 "distance": pd.Series(dtype="float64")})
         return pd.concat(list(_blocks(q, b, k, exclude_self)) or [nothing])
 
-    return left.groupBy("bucket", "chunk").cogroup(right.groupBy("bucket", "chunk")).applyInPandas(
+    return left.groupBy(*RING, "chunk").cogroup(right.groupBy(*RING, "chunk")).applyInPandas(
         best, f"qid {kind}, nid {kind}, distance double")
 
 
@@ -142,52 +179,36 @@ def oversample(df: DataFrame, stratum: str, features: Sequence[str], id_col: str
     """Synthetic rows that bring every stratum to the size of the largest.
 
     Each is a point between a row and one of its k nearest rows of the same stratum, on
-    features taken as they are (scale them first). The strata are few, like the bins they come
-    from: each is a sub-plan of its own. Columns: stratum, features, source_id.
+    features taken as they are (scale them first). All strata go through one plan. The only row of a
+    stratum is repeated; rows without a stratum take no part. Columns: stratum, features, source_id.
     """
-    # The neighbor search reads its points several times: compute them once.
-    rows = cut_lineage(df.select(stratum, id_col, *features))
-    counts = rows.filter(F.col(stratum).isNotNull()).groupBy(stratum).count()
-    sizes = {r[0]: r[1] for r in counts.collect()}
-    goal = max(sizes.values(), default=0)
-    # A stratum of one row has no neighbour: its row is repeated.
-    alone = [rows.filter(F.col(stratum) == s).select(
-        stratum, *[F.col(c).cast("double").alias(c) for c in features], F.col(id_col).alias("source_id"),
-        F.explode(F.sequence(F.lit(1), F.lit(goal - 1)))).drop("col")
-        for s, n in sorted(sizes.items()) if n == 1 < goal]
-    parts = alone + [_synthetic(rows.filter(F.col(stratum) == s), stratum, features, id_col, goal - n, n, k,
-                        seed, hot_rows) for s, n in sorted(sizes.items()) if 1 < n < goal]
-    if not parts:
-        return df.select(stratum, *features, F.col(id_col).alias("source_id")).limit(0)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _synthetic(rows: DataFrame, stratum: str, features: Sequence[str], id_col: str, missing: int,
-               size: int, k: int, seed: int, hot_rows: int) -> DataFrame:
     vec = F.array(*[F.col(c).cast("double") for c in features])
-    points = rows.select(stratum, F.col(id_col).alias("_id"), vec.alias("_vec"))
-    near = nearest(points.withColumnRenamed("_id", "id"), points.withColumnRenamed("_id", "id"),
-                   id_col="id", vector="_vec", k=k, exclude_self=True)
-    ranked = row_numbers(points.withColumn("_hash", seeded_hash(["_id"], seed)), ["_hash", "_id"],
-                         name="_no", hot_rows=hot_rows)
+    rows = df.filter(F.col(stratum).isNotNull()).select(
+        stratum, F.col(id_col).alias("_id"), vec.alias("_vec"))
+    # The neighbor search reads its points several times: compute them once.
+    rows = cut_lineage(rows)
+    sizes = rows.groupBy(stratum).agg(F.count(F.lit(1)).alias("_size"))
+    missing = with_totals(sizes, sizes.agg(F.max("_size").alias("_goal"))).select(
+        stratum, "_size", (F.col("_goal") - F.col("_size")).alias("_missing")).filter("_missing > 0")
+    ranked = row_numbers(rows.join(missing, stratum).withColumn("_hash", seeded_hash(["_id"], seed)),
+                         ["_hash", "_id"], stratum, "_no", hot_rows)
     # Every row serves equally often; the first ones in hash order fill up the remainder.
-    copies = F.lit(missing // size) + (F.col("_no") <= missing % size).cast("int")
-    wanted = ranked.withColumn("_copies", copies).filter(F.col("_copies") > 0).select(
-        stratum, "_id", "_vec", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))
+    copies = F.floor(F.col("_missing") / F.col("_size")).cast("int") + (
+        F.col("_no") <= F.col("_missing") % F.col("_size")).cast("int")
+    serving = cut_lineage(ranked.withColumn("_copies", copies).filter(F.col("_copies") > 0).select(
+        stratum, "_id", "_vec", "_size", "_copies"))
+    near = nearest(serving, rows.join(missing.select(stratum), stratum, "left_semi"), id_col="_id", vector="_vec",
+                   k=k, exclude_self=True, group=stratum, hot_rows=hot_rows)
     draw = seeded_hash(["_id", "_copy"], seed)
     digits = [F.conv(F.substring(draw, at, 8), 16, 10).cast("bigint") for at in (1, 9)]
-    wanted = wanted.withColumns({
-        "_place": (digits[0] % min(k, size - 1) + 1).cast("int"),
-        "_share": digits[1] / 4294967296.0})
-    ends = points.select(F.col("_id").alias("_nid"), F.col("_vec").alias("_end"))
-    joined = wanted.join(near, (F.col("_id") == F.col("query")) & (F.col("_place") == F.col("place")))
-    joined = joined.join(ends, F.col("neighbor") == F.col("_nid"))
-    mixed = F.zip_with("_vec", "_end", lambda a, b: b - a)
-    moved = joined.withColumn("_step", mixed)
-    return moved.select(stratum, *[
+    choices = F.greatest(F.least(F.lit(k), F.col("_size") - 1), F.lit(1))
+    wanted = serving.select("*", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).withColumns({
+        "_place": (digits[0] % choices + 1).cast("int"), "_share": digits[1] / 4294967296.0})
+    ends = rows.select(F.col("_id").alias("_nid"), F.col("_vec").alias("_end"))
+    joined = wanted.join(near, (F.col("_id") == F.col("query")) & (F.col("_place") == F.col("place")), "left")
+    joined = joined.join(ends, F.col("neighbor") == F.col("_nid"), "left").withColumn(
+        "_step", F.zip_with("_vec", F.coalesce("_end", "_vec"), lambda a, b: b - a))
+    return joined.select(stratum, *[
         (F.col("_vec")[i] + F.col("_share") * F.col("_step")[i]).alias(c)
         for i, c in enumerate(features)], F.col("_id").alias("source_id"))
 

@@ -77,6 +77,30 @@ def test_nearest_equals_brute_force(spark, bucket_rows):
     assert len(got) == 1200
 
 
+@pytest.mark.parametrize("bucket_rows", [20, 10_000])
+def test_nearest_stays_inside_its_group(spark, bucket_rows):
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(0, 1, (240, 3)), 1)        # many equal distances
+    x[:120] *= 50                                       # a far group of few rows to a cell
+    kinds = ["far" if i < 120 else None if i % 40 == 0 else "near" for i in range(240)]
+    rows = spark.createDataFrame([(i, g, [float(v) for v in p]) for i, (g, p) in enumerate(zip(kinds, x))],
+                                 "id bigint, g string, v array<double>")
+    got = nearest(rows.filter("id % 3 = 0"), rows, id_col="id", vector="v", k=3, exclude_self=True, group="g",
+                  bucket_rows=bucket_rows).collect()
+    for i in range(0, 240, 3):
+        mine = sorted((float(((x[i] - x[j]) ** 2).sum()), j) for j in range(240)
+                      if kinds[i] is not None and kinds[j] == kinds[i] and i != j)[:3]
+        assert [r["neighbor"] for r in sorted((r for r in got if r["query"] == i), key=lambda r: r["place"])] == [
+            j for _, j in mine]
+
+
+def test_nearest_of_nothing(spark):
+    rows = spark.createDataFrame([(1, [1.0])], "id bigint, v array<double>")
+    assert nearest(rows, rows.limit(0), id_col="id", vector="v").count() == 0
+    assert nearest(rows.limit(0), rows, id_col="id", vector="v").count() == 0
+    assert nearest(rows, rows, id_col="id", vector="v", exclude_self=True).count() == 0
+
+
 def test_oversampling_fills_every_stratum(spark):
     _, rows = table(spark)
     rows = rows.withColumn("id", F.monotonically_increasing_id()).withColumn(
