@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gapline.operators.scale import (HOT_ROWS, MAX_LOOKUP_ROWS, cut_lineage,
-                                     lookup_join, row_numbers, with_totals)
+                                     lookup_join, row_numbers, split_join, with_totals)
 
 # Strength of the prior, and the text that stands for a missing category.
 PRIOR_ROWS = 10
@@ -57,8 +57,9 @@ class Categories:
     """A fitted category table. Each column's part is broadcast if its own rows and bytes allow it."""
 
     def __init__(self, table: DataFrame, max_rows: int = MAX_LOOKUP_ROWS,
-                 max_bytes: int = MAX_LOOKUP_BYTES):
+                 max_bytes: int = MAX_LOOKUP_BYTES, hot_rows: int = HOT_ROWS):
         self.table = cut_lineage(table)
+        self.hot_rows = hot_rows
         text = F.coalesce(F.octet_length("value"), F.lit(0)) + F.octet_length("label") + ROW_BYTES
         sizes = self.table.groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.sum(text).alias("b"))
         self.small = {r["column"] for r in sizes.collect() if r["n"] <= max_rows and r["b"] <= max_bytes}
@@ -68,16 +69,16 @@ class Categories:
         rows = self.table.filter(F.col("column") == column)
         text = F.col(column).cast("string")
         if what == "code":
-            side = rows.groupBy(F.col("label").alias("_value")).agg(F.first("code").alias(name))
+            side = rows.groupBy(F.col("label").alias("_text")).agg(F.first("code").alias(name))
             text = F.coalesce(text, F.lit(MISSING))
         else:
             side = rows.filter(F.col("value").isNotNull()).select(
-                F.col("value").alias("_value"), F.col(what).alias(name))
-        # Broadcast only a table counted to be small; beyond it, shuffle and let adaptive
-        # execution split a category that holds much of the rows.
-        side = F.broadcast(side) if column in self.small else side
-        return df.withColumn("_text", text).join(
-            side, F.col("_text") == F.col("_value"), "left").drop("_text", "_value")
+                F.col("value").alias("_text"), F.col(what).alias(name))
+        # Broadcast only a table counted to be small; beyond it, heavy categories alone.
+        keyed = df.withColumn("_text", text)
+        joined = (keyed.join(F.broadcast(side), "_text", "left") if column in self.small else
+                  split_join(keyed, side, "_text", "left", self.hot_rows))
+        return joined.drop("_text")
 
 
 def encode(df: DataFrame, fitted: Categories, *, codes: Mapping[str, str] | None = None,
@@ -93,7 +94,7 @@ def encode(df: DataFrame, fitted: Categories, *, codes: Mapping[str, str] | None
 def fit(df: DataFrame, columns: Sequence[str], target: str | None = None,
         prior: float = PRIOR_ROWS, max_rows: int = MAX_LOOKUP_ROWS,
         hot_rows: int = HOT_ROWS) -> Categories:
-    return Categories(fit_categories(df, columns, target, prior, hot_rows), max_rows)
+    return Categories(fit_categories(df, columns, target, prior, hot_rows), max_rows, hot_rows=hot_rows)
 
 
 def out_of_fold_target_means(df: DataFrame, column: str, target: str, fold: str,

@@ -12,12 +12,15 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 HOT_ROWS = 5_000_000      # rows of one key that a single task sorts without trouble
 MAX_LOOKUP_ROWS = 100_000  # rows of a lookup table that may be broadcast
+MAX_LOOKUP_BYTES = 64 << 20  # and their bytes, about
 SEGMENT = "_segment"
 ONE_GROUP = "_all"
 
@@ -119,22 +122,65 @@ def row_numbers(df: DataFrame, order: Sequence[str], key: str | None = None,
     return union_parts(cold, hot.withColumn(name, F.col("_n_before") + F.row_number().over(w)))
 
 
-def bounded_rows(df: DataFrame, max_rows: int) -> DataFrame | None:
-    """The table as a local relation when it has at most `max_rows` rows, else None."""
-    rows = df.limit(max_rows + 1).toArrow()
-    spark: SparkSession = df.sparkSession
-    return spark.createDataFrame(rows, df.schema) if rows.num_rows <= max_rows else None
+def bounded_rows(df: DataFrame, max_rows: int, max_bytes: int = MAX_LOOKUP_BYTES) -> DataFrame | None:
+    """The table as a local relation when it has at most `max_rows` rows and about `max_bytes`, else None.
+
+    Rows and bytes are counted by the executors first, so a table of wide rows never reaches the driver.
+    """
+    wide = {"string": F.octet_length, "binary": F.octet_length, "array": _json_bytes, "map": _json_bytes,
+            "struct": _json_bytes}
+    sizes = [F.coalesce(wide[f.dataType.typeName()](F.col(f"`{f.name}`")), F.lit(0))
+             for f in df.schema if f.dataType.typeName() in wide]
+    width = sum(sizes, F.lit(16 * len(df.columns))).cast("bigint")
+    part = df.limit(max_rows + 1).persist()
+    try:
+        seen = part.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first()
+        if seen["rows"] > max_rows or seen["bytes"] > max_bytes:
+            return None
+        spark: SparkSession = df.sparkSession
+        return spark.createDataFrame(part.toArrow(), df.schema)
+    finally:
+        part.unpersist()
+
+
+def _json_bytes(c: Column) -> Column:
+    return F.octet_length(c.cast("string"))
 
 
 def lookup_join(df: DataFrame, table: DataFrame, on: str | Sequence[str], how: str = "left",
-                max_rows: int = MAX_LOOKUP_ROWS) -> DataFrame:
-    """Join to a lookup table: broadcast when its size, checked here, allows it.
+                max_rows: int = MAX_LOOKUP_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Join to a lookup table: broadcast when its size, checked here, allows it, else `split_join`.
 
-    A larger lookup table is shuffled; adaptive execution then splits skewed partitions.
     The checked rows are reused for the broadcast, so the table is computed once.
     """
     small = bounded_rows(table, max_rows)
-    return df.join(table, on, how) if small is None else df.join(F.broadcast(small), on, how)
+    return split_join(df, table, on, how, hot_rows, max_rows) if small is None else df.join(
+        F.broadcast(small), on, how)
+
+
+def split_join(df: DataFrame, table: DataFrame, on: str | Sequence[str], how: str = "left",
+               hot_rows: int = HOT_ROWS, max_rows: int = MAX_LOOKUP_ROWS) -> DataFrame:
+    """Left or inner join to a table too large to broadcast, without gathering a heavy key in one task.
+
+    Rows of keys above `hot_rows` meet the lookup rows of those keys by broadcast where they are; the others
+    are shuffled; one union. Rows with a null key match nothing and stay where they are as well. Heavy keys
+    are a broadcast table, at most one for each `hot_rows` rows. Where they or their lookup rows exceed
+    `max_rows`, the shuffle takes all and adaptive execution splits what is skewed.
+    """
+    if how not in ("left", "inner"):
+        raise ValueError(f"a split join is left or inner, not {how}")
+    keys = [on] if isinstance(on, str) else list(on)
+    known = reduce(and_, [F.col(k).isNotNull() for k in keys])
+    heavy = bounded_rows(df.filter(known).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+                         .filter(F.col("_rows") > hot_rows).select(*keys), max_rows)
+    few = None if heavy is None else bounded_rows(
+        table.join(F.broadcast(heavy), keys, "left_semi").select(*table.columns), max_rows)
+    if few is None:
+        return df.join(table, keys, how)
+    marked = df.join(F.broadcast(heavy.withColumn("_heavy", F.lit(True))), keys, "left").select(
+        *df.columns, (F.coalesce(F.col("_heavy"), F.lit(False)) | ~known).alias("_heavy"))
+    here = marked.filter("_heavy").drop("_heavy").join(F.broadcast(few), keys, how)
+    return marked.filter("not _heavy").drop("_heavy").join(table, keys, how).unionByName(here)
 
 
 def with_totals(df: DataFrame, totals: DataFrame) -> DataFrame:

@@ -217,3 +217,36 @@ def test_ranks_are_selected_through_several_narrowings(spark, monkeypatch):
         assert np.allclose(got[k], np.quantile(values, list(probs.values())), rtol=0, atol=1e-12)
     near = {r["g"]: r["p50"] for r in q.quantiles(df, "v", {"p50": 0.5}, "g", exact=False).collect()}
     assert all(abs(near[k] - np.quantile(v, 0.5)) < 1 for k, v in groups.items())
+
+
+def test_a_heavy_category_is_joined_where_it_is(spark):
+    from gapline.operators.encode import fit_categories, Categories
+    from gapline.operators.scale import split_join
+
+    rows = spark.range(4_000).select("id", F.when(F.col("id") % 2 == 0, "hot").when(F.col("id") % 10 == 1, None)
+                                     .otherwise(F.concat(F.lit("c"), F.col("id") % 97)).alias("k"))
+    table_ = spark.range(200_000).select(
+        F.when(F.col("id") == 7, "hot").otherwise(F.concat(F.lit("c"), "id")).alias("k"), (F.col("id") * 2).alias("v"))
+    for how in ("left", "inner"):
+        got = split_join(rows, table_, "k", how, hot_rows=500, max_rows=1_000)
+        want = rows.join(table_, "k", how).select("id", "k", "v")
+        assert sorted(got.select("id", "k", "v").collect(), key=lambda r: r["id"]) == sorted(
+            want.collect(), key=lambda r: r["id"])
+    # Two parts, and the lookup rows of the heavy key are a local table of one row.
+    optimized = split_join(rows, table_, "k", hot_rows=500)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in optimized and optimized.count("LocalRelation") + optimized.count("LogicalRDD") >= 2
+    # Without a heavy key, and beyond the bound, the rows are the same.
+    for limits in ({"hot_rows": 5_000}, {"hot_rows": 0, "max_rows": 3}):
+        assert split_join(rows, table_, "k", **limits).count() == 4_000
+    fitted = Categories(fit_categories(rows, ["k"]), max_rows=3, hot_rows=500)
+    wide = fitted.join(rows, "k", "share", "s")
+    assert wide.columns == ["id", "k", "s"] and wide.filter("k is null and s is not null").count() == 0
+    assert wide.filter("k = 'hot'").select("s").distinct().collect()[0][0] == pytest.approx(2000 / 3600)
+
+
+def test_a_table_of_wide_rows_is_not_broadcast(spark):
+    from gapline.operators.scale import bounded_rows
+
+    wide_rows = spark.range(50).select("id", F.repeat(F.lit("x"), 1_000).alias("t"))
+    assert bounded_rows(wide_rows, 100, 10_000) is None and bounded_rows(wide_rows, 49) is None
+    assert bounded_rows(wide_rows, 100).count() == 50
