@@ -47,7 +47,7 @@ LENGTH = 50                       # bytes of a repeat
 PIECE = 24                        # bytes of a minimizer
 KEY_BITS = 40
 FLUSH = 800_000                   # entries a task gathers before it sends them
-OWNER_ENTRIES = 1_000_000         # entries an owner gets, about
+OWNER_ENTRIES = 500_000           # entries an owner gets, about: some 100 MB while it works
 BROADCAST_ROWS = 1_000_000        # keys of rows that may be broadcast: 16 MB
 BASE = 0x9E3779B97F4A7C15
 NOISE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
@@ -169,7 +169,8 @@ class Outbox:
         self.count += len(row)
 
     def gathered(self) -> tuple[np.ndarray, ...]:
-        return tuple(np.concatenate(c) for c in zip(*self.parts))
+        parts, self.parts = self.parts, []
+        return tuple(np.concatenate(c) for c in zip(*parts))
 
     def all_rows(self) -> tuple[np.ndarray, np.ndarray]:
         return np.concatenate(self.ids), np.concatenate(self.tags)
@@ -274,10 +275,12 @@ def _answers(kind: str, targets: int):
             many.append(read(flag))
         if got:
             key, ids, tags, value = (np.concatenate(c) for c in zip(*got))
+            got = []
             # Order of keys, then of what they stand for, then of documents: suffix order.
             stands = value if kind == "stretches" else key
             order = np.lexsort((tags, ids, stands, key))
             key, ids, tags, value = key[order], ids[order], tags[order], value[order]
+            order = stands = None
             same_key = key[1:] == key[:-1]
             group_of = np.append(0, np.cumsum(~same_key)) if len(key) else np.zeros(0, np.int64)
             if kind == "minimizers":
@@ -472,7 +475,7 @@ def _send_suffixes(owners: int, length: int):
     return run
 
 
-def _remove(length: int):
+def _remove(length: int, as_text: bool):
     names = ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -492,11 +495,12 @@ def _remove(length: int):
             kept, removed, spans = [], [], []
             for a, b in zip(part.edges.tolist(), part.edges[1:].tolist()):
                 own = gone[a:b]
-                kept.append(part.data[a:b][~own].tobytes())
+                left = part.data[a:b][~own].tobytes()
+                kept.append(left.decode("utf-8", "ignore") if as_text else left)
                 removed.append(int(own.sum()))
                 spans.append(int((own[1:] & ~own[:-1]).sum() + own[0]) if b > a else 0)
             yield pa.RecordBatch.from_arrays(
-                [id_array(part.ids), pa.array(kept, pa.binary()), pa.array(np.diff(part.edges)),
+                [id_array(part.ids), pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(np.diff(part.edges)),
                  pa.array(removed, pa.int64()), pa.array(spans, pa.int64())], names=names)
     return run
 
@@ -529,7 +533,8 @@ def _kept_in_place(rows: DataFrame, parts: int) -> DataFrame:
 
 def remove_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text",
                    owner_entries: int = OWNER_ENTRIES,
-                   broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+                   broadcast_rows: int = BROADCAST_ROWS, as_text: bool = False) -> DataFrame:
+    """See the module's text; `as_text` gives `kept` as a string, where a character cut in two goes whole."""
     if length < PIECE:
         raise ValueError(f"repeats under {PIECE} bytes are not searched")
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -561,10 +566,10 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     found = texts.join(suspects, ["id", "tag"], "left").join(
         stretches.select("id", "tag", "covered"), ["id", "tag"], "left").join(places, ["id", "tag"], "left")
 
-    schema = "doc_id bigint, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint"
-    cut = found.select("id", "tag", "blob", "keys", "covered", "places").mapInArrow(tidy(_remove(length)), schema)
+    schema = f"doc_id bigint, kept {'string' if as_text else 'binary'}, n_bytes bigint, n_removed bigint, n_spans bigint"
+    cut = found.select("id", "tag", "blob", "keys", "covered", "places").mapInArrow(tidy(_remove(length, as_text)), schema)
     n = F.octet_length("text").cast("bigint")
     gone = _pick(docs, copies, "left_semi", broadcast_rows).select(
-        F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), F.lit(b"").alias("kept"),
+        F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), F.lit("" if as_text else b"").alias("kept"),
         n.alias("n_bytes"), n.alias("n_removed"), F.lit(1).cast("bigint").alias("n_spans"))
     return cut.unionByName(gone)
