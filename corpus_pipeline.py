@@ -15,10 +15,8 @@ an empty result.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from gapline.llm import exact, language, minhash, packing, suffixes
 from gapline.llm.queries import BYTE_BPE
@@ -72,15 +70,11 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _kept(docs, lambda rows, name: minhash.near_duplicates(rows, NEAR_PERCENT, id_col=name))
 
 
-def _whole_characters(kept: pd.Series) -> pd.Series:
-    return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
-
-
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows, name = _with_rows(docs)
-    cut = suffixes.remove_repeats(rows, id_col=name).filter("n_removed > 0").select("doc_id", "kept")
-    whole, own, text = F.pandas_udf(_whole_characters, StringType()), _free(rows, "_id"), _free(rows, "_text")
-    changed = cut_lineage(cut.select("doc_id", whole("kept").alias("left")))
+    cut = suffixes.remove_repeats(rows, id_col=name, as_text=True).filter("n_removed > 0")
+    own, text = _free(rows, "_id"), _free(rows, "_text")
+    changed = cut_lineage(cut.select("doc_id", F.col("kept").alias("left")))
     same = _pick(rows, name, changed, "left_anti")
     left = changed.filter("left <> ''").select(F.col("doc_id").alias(own), F.col("left").alias(text))
     new = rows.drop("text").join(left, F.col(name) == F.col(own)).withColumn("text", F.col(text))
