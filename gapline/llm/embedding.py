@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType
 
-from gapline.llm.common import NO_ID, character_noise, give_back, id_array, mix, narrow
+from gapline.llm.common import NO_ID, character_noise, give_back, id_array, mix, narrow, slices
 from gapline.operators.scale import cut_lineage
 
 SAMPLES = 256
@@ -91,11 +91,11 @@ def embed(texts: list[str]) -> list[str]:
     if not texts:
         return []
     lengths = np.array([len(t) for t in texts], np.int64)
-    raw = np.frombuffer("\0".join(texts).encode("utf-32-le") + b"\0\0\0\0", np.uint32)
-    points = _noise()[raw]
-    del raw
     ends = np.cumsum(lengths + 1) - 1
-    points[ends] = 0                      # a walk stays at the end of its text
+    points = np.zeros(int(ends[-1]) + 1, np.uint32)           # a walk stays at the 0 after its text
+    for t, a, b in zip(texts, (ends - lengths).tolist(), ends.tolist()):
+        if t:
+            points[a:b] = _noise()[np.frombuffer(t.encode("utf-32-le"), np.uint32)]
     steps = [steps_of(int(n)) for n in lengths]
     who = np.repeat(np.arange(len(texts)), [len(s) for s in steps])
     when = np.concatenate(steps)
@@ -155,11 +155,12 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     def done():
         return pa.RecordBatch.from_arrays(
             [pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()),
-             pa.array(prints := embed(texts), pa.string()), pa.array(map(name_of, prints), pa.int64())],
-            names=["doc_id", "n_chars", "fingerprint", "name"])
+             pa.array(prints := embed(texts), pa.string()), pa.array(map(name_of, prints), pa.int64()),
+             pa.array(_packed(prints), pa.binary())],
+            names=["doc_id", "n_chars", "fingerprint", "name", "packed"])
 
     size = 0
-    for batch in batches:
+    for batch in slices(batches):
         for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             ids.append(i)
             texts.append(t)
@@ -174,9 +175,12 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_chars, fingerprint, name) of every row, in one pass without a shuffle; name is the class."""
+    """(doc_id, n_chars, fingerprint, name, packed) of every row, in one pass without a shuffle.
+
+    `name` is the class; `packed` is the fingerprint in 164 bytes.
+    """
     return narrow(df, id_col, text_col).mapInArrow(
-        _fingerprints, "doc_id bigint, n_chars bigint, fingerprint string, name bigint")
+        _fingerprints, "doc_id bigint, n_chars bigint, fingerprint string, name bigint, packed binary")
 
 
 def name_of(fingerprint: str) -> int:
@@ -228,6 +232,32 @@ def _digits(prints: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return lengths, place[shown].reshape(len(prints), SAMPLES)
 
 
+def _packed(prints: list[str]) -> list[bytes]:
+    """Length, four bits a step, and a bit for each step where nothing was read."""
+    lengths, shown = _digits(prints)
+    blank = shown == 16
+    half = np.where(blank, 0, shown)
+    rows = np.concatenate([lengths.astype("<u4").view(np.uint8).reshape(-1, 4), half[:, ::2] << 4 | half[:, 1::2],
+                           np.packbits(blank, axis=1)], axis=1)
+    return [r.tobytes() for r in rows]
+
+
+def _unpacked(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """What `_digits` gives, from packed fingerprints."""
+    rows = np.frombuffer(b"".join(blobs), np.uint8).reshape(len(blobs), 4 + SAMPLES * 5 // 8)
+    lengths = np.ascontiguousarray(rows[:, :4]).view("<u4")[:, 0].astype(np.int64)
+    half, blank = rows[:, 4:4 + SAMPLES // 2], np.unpackbits(rows[:, 4 + SAMPLES // 2:], axis=1)
+    shown = np.stack([half >> 4, half & 15], axis=2).reshape(len(blobs), SAMPLES)
+    return lengths, np.where(blank == 1, np.uint8(16), shown)
+
+
+def _texts_of(blobs: list[bytes]) -> list[str]:
+    """Packed fingerprints as texts."""
+    lengths, shown = _unpacked(blobs)
+    return [f"{n:08x}:{DIGITS[row[:len(steps_of(n))]].tobytes().decode('ascii')}"
+            for n, row in zip(lengths.tolist(), shown)]
+
+
 def likenesses(n: int, shown: np.ndarray, lengths: np.ndarray, others: np.ndarray, least: float) -> np.ndarray:
     """Likeness of one fingerprint to those of texts no longer than it; 0 where it surely is below `least`."""
     steps = steps_of(n)
@@ -255,7 +285,7 @@ def likenesses(n: int, shown: np.ndarray, lengths: np.ndarray, others: np.ndarra
 def _verify(least: float):
     """Per unit, the smallest id that each member is near to, where there is a smaller one."""
     def run(unit: pd.DataFrame) -> pd.DataFrame:
-        lengths, shown = _digits(unit["fingerprint"].tolist())
+        lengths, shown = _unpacked(unit["packed"].tolist())
         order = np.lexsort((unit["id"].to_numpy(), lengths))
         ids, names = unit["id"].to_numpy()[order], unit["name"].to_numpy()[order]
         lengths, shown = lengths[order], shown[order]
@@ -323,12 +353,14 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_links(prints: DataFrame, least: float = NEAR) -> DataFrame:
     """(doc_id, near_id, likeness, name): the smallest id near to a text, where it is smaller than its own.
 
-    `prints` has doc_id, fingerprint and name.
+    `prints` has doc_id, name and packed.
     """
-    keys = F.pandas_udf(lambda s: s.map(lambda f: band_keys(f, least)), ArrayType(LongType()))
-    classes = cut_lineage(prints.groupBy(F.col("name").alias("class")).agg(
-        F.min(F.struct("doc_id", "fingerprint")).alias("first")))
-    spread = classes.select("class", F.explode(keys("first.fingerprint")).alias("key"))
+    keys = F.pandas_udf(lambda s: pd.Series([band_keys(f, least) for f in _texts_of(s.tolist())], dtype=object),
+                        ArrayType(LongType()))
+    first = F.min(F.struct("doc_id", "packed")).alias("first")
+    classes = cut_lineage(prints.groupBy(F.col("name").alias("class")).agg(first).select(
+        "class", F.col("first.doc_id").alias("own"), "first.packed"))
+    spread = classes.select("class", F.explode(keys("packed")).alias("key"))
     buckets = cut_lineage(spread.repartition("key").sortWithinPartitions("key").mapInArrow(
         _buckets(2 * BLOCK_ROWS), "key bigint, n bigint, unit bigint, names binary"))
     small = buckets.filter("unit is not null").dropDuplicates(["unit"])                # bands often agree
@@ -344,12 +376,12 @@ def near_links(prints: DataFrame, least: float = NEAR) -> DataFrame:
             F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("unit"),
             F.col("class").alias("member")))
     found = members.join(classes, F.col("member") == F.col("class")).select(
-        "unit", F.col("first.doc_id").alias("id"), F.col("member").alias("name"), "first.fingerprint"
+        "unit", F.col("own").alias("id"), F.col("member").alias("name"), "packed"
     ).groupBy("unit").applyInPandas(_verify(least), "linked bigint, near_id bigint, likeness double")
     best = found.groupBy("linked").agg(F.min_by("likeness", "near_id").alias("likeness"),
                                        F.min("near_id").alias("near_id"))
-    told = classes.join(best, F.col("class") == F.col("linked"), "left")
-    own, least_id = F.col("first.doc_id"), F.least("first.doc_id", "near_id")
+    told = classes.select("class", "own").join(best, F.col("class") == F.col("linked"), "left")
+    own, least_id = F.col("own"), F.least("own", "near_id")
     return prints.select("doc_id", "name").join(told, F.col("name") == F.col("class")).filter(
         least_id < F.col("doc_id")).select(
         "doc_id", F.nullif(least_id, F.lit(NO_ID)).alias("near_id"),
@@ -383,7 +415,7 @@ def _walk_ranges(batches: Iterator[pa.RecordBatch], linked: bool = False) -> Ite
     ids: list[int] = []
     texts: list[str] = []
     now, size, tail, near = None, 0, False, {} if linked else None
-    for batch in batches:
+    for batch in slices(batches):
         more = [c.to_pylist() for c in batch.columns[4:]] or [[None] * batch.num_rows] * 2
         for bucket, is_tail, i, t, name, near_id in zip(*(c.to_pylist() for c in batch.columns[:4]), *more):
             if bucket != now:
@@ -450,7 +482,7 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
         F.when(F.col("spot") < 0, -1 - F.col("spot")).otherwise(F.col("spot")).alias("bucket"),
         (F.col("spot") < 0).alias("tail"), "doc_id", "text")
     if least is not None:
-        links = near_links(cut_lineage(fingerprints(docs)), least)
+        links = near_links(cut_lineage(fingerprints(docs).select("doc_id", "name", "packed")), least)
         told = links.select(F.element_at(spots("doc_id"), 1).alias("bucket"), F.lit(False).alias("tail"), "doc_id",
                             F.lit(None).cast("string").alias("text"), "name",
                             F.coalesce("near_id", F.lit(NO_ID)).alias("near_id")).distinct()

@@ -119,3 +119,10 @@ def test_near_ids_through_the_keys(spark):
     got = {(r.doc_id, r.near_id) for r in e.edited_fingerprints(df, least=e.NEAR).collect()}
     want = set(brute_near(rows, e.NEAR)) - {(103, 103), (203, 103)} | {(103, None), (203, None), (None, None)}
     assert got == want
+
+
+def test_packed_fingerprints():
+    prints = e.embed([*TEXTS, "x" * 100_000])
+    blobs = e._packed(prints)
+    assert e._texts_of(blobs) == prints and {len(b) for b in blobs} == {164}
+    assert all((a == b).all() for a, b in zip(e._unpacked(blobs), e._digits(prints)))
