@@ -75,7 +75,7 @@ def main() -> int:
     spark = local_session()
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(folder)
-    failed = 0
+    ran = failed = 0
     for name in QUERIES:
         if wanted and not any(w in name for w in wanted):
             continue
@@ -85,11 +85,11 @@ def main() -> int:
             problem, rows, seconds = f"{type(e).__name__}: {str(e)[:600]}", -1, 0.0
             if len(wanted) == 1:
                 traceback.print_exc()
-        failed += problem is not None
+        ran, failed = ran + 1, failed + (problem is not None)
         mark = "BAD " if problem else ("ok  " if name in ORACLES else "rows")
         print(f"{mark} {name} {rows} {seconds:.2f}s {problem or ''}", flush=True)
-    print(f"{failed} of {len(QUERIES)} failed; {len(ORACLES)} have SQL")
-    return 1 if failed else 0
+    print(f"{failed} of {ran} failed; {len(QUERIES)} registered, {len(ORACLES)} with SQL")
+    return 1 if failed or not ran else 0
 
 
 if __name__ == "__main__":
