@@ -94,6 +94,30 @@ def test_nearest_stays_inside_its_group(spark, bucket_rows):
             j for _, j in mine]
 
 
+def test_queries_travel_to_bands_and_not_to_rings(spark, monkeypatch):
+    import gapline.operators.nearest as near
+
+    rng, moved = np.random.default_rng(3), []
+    points = rng.normal(0, 1, (600, 12)).round(1)
+    rows = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(points)], "id bigint, v array<double>")
+    search = near._search_bands
+
+    def seen(asked, *rest):
+        moved.append(asked.select(F.sum(F.size("_bands"))).first()[0])
+        return search(asked, *rest)
+
+    monkeypatch.setattr(near, "_search_bands", seen)
+    monkeypatch.setattr(near, "QUERY_BLOCK", 50)
+    monkeypatch.setattr(near, "BASE_BLOCK", 7)
+    got = near.nearest(rows, rows, id_col="id", vector="v", k=4, exclude_self=True, bucket_rows=10).collect()
+    d = ((points[:, None] - points[None]) ** 2).sum(axis=2)
+    np.fill_diagonal(d, np.inf)
+    want = {(i, p + 1, j) for i in range(600) for p, j in enumerate(np.lexsort((np.arange(600), d[i]))[:4])}
+    assert {(r["query"], r["place"], r["neighbor"]) for r in got} == want
+    # 60 rings or more, about 1,000 visits to rings a query would be 36,000; bands follow the cores.
+    assert moved[0] <= 600 * 2 * (int((4 * spark.sparkContext.defaultParallelism) ** 0.5) + 2)
+
+
 def test_nearest_of_nothing(spark):
     rows = spark.createDataFrame([(1, [1.0])], "id bigint, v array<double>")
     assert nearest(rows, rows.limit(0), id_col="id", vector="v").count() == 0
