@@ -274,3 +274,28 @@ def test_a_table_of_wide_rows_is_not_broadcast(spark):
     wide_rows = spark.range(50).select("id", F.repeat(F.lit("x"), 1_000).alias("t"))
     assert bounded_rows(wide_rows, 100, 10_000) is None and bounded_rows(wide_rows, 49) is None
     assert bounded_rows(wide_rows, 100).count() == 50
+
+
+def test_a_row_of_the_split_tells_the_sides_apart(spark):
+    rows = spark.range(500).select(F.when(F.col("id") % 50 != 7, F.col("id") % 97).alias("device"), "id")
+    sides = split.group_split(rows, "device", seed=5)
+    want = {(r["device"], r["is_test"]) for r in sides.filter("device is not null").collect()}
+    got = split.with_side(rows, "device", seed=5)
+    assert {(r["device"], r["is_test"]) for r in got.filter("device is not null").collect()} == want
+    assert got.count() == 500 and got.filter("device is null and is_test is null").count() == 10
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan.split("Subquery")[0]
+
+
+def test_categories_that_are_all_heavy_need_no_count_of_the_rows(spark, monkeypatch):
+    rows = spark.range(400).select("id", F.concat(F.lit("c"), F.col("id") % 20).alias("c"))
+    fitted = encode.fit(rows, ["c"], max_rows=3, hot_rows=10)
+    monkeypatch.setattr(encode, "split_join", lambda *a: pytest.fail("the rows are read again"))
+    coded = encode.encode(rows, fitted, codes={"c": "code"})
+    names = sorted(f"c{i}" for i in range(20))
+    assert {(r["c"], r["code"]) for r in coded.collect()} == {(c, i) for i, c in enumerate(names)}
+    # One light category: the rows are split as before.
+    monkeypatch.undo()
+    more = rows.unionByName(spark.sql("select 400L as id, 'd' as c"))
+    coded = encode.encode(more, encode.fit(more, ["c"], max_rows=3, hot_rows=10), codes={"c": "code"})
+    assert coded.filter("c = 'd' and code = 20").count() == 1 and coded.count() == 401
