@@ -5,7 +5,7 @@ layout is read under its own columns, and its rows are projected by name, absent
 heads finds the layouts, none of the rows passes through the driver.
 
 CSV files may hold quoted line breaks and are still read by many tasks a file. A first pass counts the quotes of each
-split of a file. A running parity over the splits says which of them start inside a quoted field. In a second pass the
+split of a file. Files whose every line is a record go to Spark's own reader; of the others a running parity over the splits says which of them start inside a quoted field. In a second pass the
 tasks join the lines of their splits to records; the record that is open at the end of a split and what the next splits
 hold of it are put together afterwards, at most two pieces a split. Line breaks inside a field stay as they are,
 carriage returns included. A quote inside a field must be doubled and its field quoted, as CSV writers do; a header
@@ -17,6 +17,8 @@ from __future__ import annotations
 import csv
 from collections.abc import Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+from urllib.parse import unquote
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -32,7 +34,7 @@ FOOTERS_AT_ONCE = 16
 WHOLE, HEAD, TAIL = 0, 1, 2
 LAYOUT = "_layout"
 
-_SPLITS = "file string, start bigint, quotes bigint, header string"
+_SPLITS = "file string, start bigint, quotes bigint, header string, rough boolean"
 _RECORDS = "file string, start bigint, layout int, kind int, record string"
 
 
@@ -89,11 +91,16 @@ def _quotes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for file, start, lines, _ in _runs(batch):
             header = lines[0].as_py() if start == 0 and (file, start) != seen else None
-            rows.append({"file": file, "start": start, "header": header,
-                         "quotes": pc.sum(pc.count_substring(lines, '"')).as_py() or 0})
+            quotes = pc.count_substring(lines, '"')
+            # Lines that are no records of their own, or that Spark's reader would split or skip.
+            rough = pc.any(pc.or_(pc.equal(pc.bit_wise_and(quotes, 1), 1), pc.match_substring_regex(
+                lines, r"\r|^[\x00-\x20]+$"))).as_py()
+            rows.append({"file": file, "start": start, "header": header, "quotes": pc.sum(quotes).as_py() or 0,
+                         "rough": bool(rough) or header is not None and not header.strip()})
             seen = file, start
         yield pa.RecordBatch.from_pylist(rows, pa.schema([
-            ("file", pa.string()), ("start", pa.int64()), ("quotes", pa.int64()), ("header", pa.string())]))
+            ("file", pa.string()), ("start", pa.int64()), ("quotes", pa.int64()), ("header", pa.string()),
+            ("rough", pa.bool_())]))
 
 
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,14 +152,15 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _csv_splits(spark: SparkSession, path: str) -> tuple[DataFrame, list[tuple[str, ...]]]:
-    """(file, start, layout, inside) of every split, and the columns of each layout."""
+    """(file, start, layout, inside, rough) of every split, and the columns of each layout; `rough` tells the files
+    that hold a line which is no record."""
     counted = _lines(spark, path).mapInArrow(_quotes, _SPLITS).groupBy("file", "start").agg(
-        F.sum("quotes").alias("quotes"), F.max("header").alias("header"))
+        F.sum("quotes").alias("quotes"), F.max("header").alias("header"), F.bool_or("rough").alias("rough"))
     before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("file")
     splits = cut_lineage(counted.select(
         "file", "start", (F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2).cast("int").alias("inside"),
-        F.max("header").over(whole).alias("header")))
+        F.max("header").over(whole).alias("header"), F.bool_or("rough").over(whole).alias("rough")))
     headers = [r.header for r in splits.select("header").distinct().orderBy("header").limit(MOST_LAYOUTS + 1).collect()]
     if len(headers) > MOST_LAYOUTS:
         raise ValueError(f"more than {MOST_LAYOUTS} different headers in {path}")
@@ -162,7 +170,7 @@ def _csv_splits(spark: SparkSession, path: str) -> tuple[DataFrame, list[tuple[s
     layouts = sorted(set(parsed))
     place = F.create_map(*[F.lit(x) for h, names in zip(headers, parsed) for x in (h, layouts.index(names))]) if headers else None
     number = F.lit(0) if place is None else place[F.col("header")]
-    return splits.select("file", "start", number.cast("int").alias("layout"), "inside"), layouts
+    return splits.select("file", "start", number.cast("int").alias("layout"), "inside", "rough"), layouts
 
 
 def _header(line: str) -> tuple[str, ...]:
@@ -174,7 +182,12 @@ def _header(line: str) -> tuple[str, ...]:
 def csv_records(spark: SparkSession, path: str) -> tuple[DataFrame, list[tuple[str, ...]]]:
     """(layout, record): every record of the files as one text, and the columns of each layout."""
     splits, layouts = _csv_splits(spark, path)
-    placed = lookup_join(_lines(spark, path), splits, ["file", "start"], "left").select(
+    return _records_of(spark, path, splits), layouts
+
+
+def _records_of(spark: SparkSession, path: str, splits: DataFrame) -> DataFrame:
+    """(layout, record) of the files whose splits are given."""
+    placed = lookup_join(_lines(spark, path), splits.drop("rough"), ["file", "start"], "inner").select(
         "file", "start", "value", "layout", "inside")
     found = placed.mapInArrow(_records, _RECORDS)
     pieces = cut_lineage(found.filter(F.col("kind") != WHOLE))
@@ -184,24 +197,47 @@ def csv_records(spark: SparkSession, path: str) -> tuple[DataFrame, list[tuple[s
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", "kind", "record"))),
                                  lambda p: p["record"]), "\n").alias("record"))
     records = found.filter(F.col("kind") == WHOLE).select("layout", "record").unionByName(joined.select("layout", "record"))
-    return records.withColumn("record", F.regexp_replace("record", "\r$", "")).filter("record <> ''"), layouts
+    return records.withColumn("record", F.regexp_replace("record", "\r$", "")).filter("record <> ''")
+
+
+def _plain_files(splits: DataFrame, own: Sequence[T.StructType]) -> dict[int, list[str]]:
+    """Files by layout in which every line is a record, and whose path and column names Spark takes as they are."""
+    unlike = {i for i, x in enumerate(own) if len({n.lower() for n in x.names}) < len(x.names)}
+    found: dict[int, list[str]] = {}
+    for r in splits.filter("not rough").select("file", "layout").distinct().orderBy("file").collect():
+        if r.layout not in unlike and unquote(r.file) == r.file and not set(r.file) & set("*?[]{}\\,"):
+            found.setdefault(r.layout, []).append(r.file)
+    return found
 
 
 def _read_csv(spark: SparkSession, path: str, schema: T.StructType | None) -> tuple[DataFrame, list[T.StructType]]:
-    records, layouts = csv_records(spark, path)
+    splits, layouts = _csv_splits(spark, path)
     wanted_types = {f.name: f.dataType for f in schema} if schema is not None else {}
     own = [T.StructType([T.StructField(n, wanted_types.get(n, T.StringType())) for n in names]) for names in layouts]
     merged = _merged(own, schema)
-    options = {"multiLine": "true", "escape": '"', "timestampNTZFormat": OUTPUT_FORMAT, "maxCharsPerColumn": "-1",
-               "maxColumns": "100000"}
-    row = F.lit(None)
-    for i, columns in enumerate(own):
-        parsed = F.from_csv("record", _ddl(columns), options)
-        made = F.struct(*project(parsed, {f.name: f.dataType for f in columns}, merged))
-        row = F.when(F.col("layout") == i, made).otherwise(row)
     if not own:
         return spark.createDataFrame([], T.StructType([*merged, T.StructField(LAYOUT, T.IntegerType())])), own
-    return records.select(row.alias("row"), F.col("layout").alias(LAYOUT)).select("row.*", LAYOUT), own
+    options = {"multiLine": "true", "escape": '"', "timestampNTZFormat": OUTPUT_FORMAT, "maxCharsPerColumn": "-1",
+               "maxColumns": "100000"}
+    plain, parts = _plain_files(splits, own), []
+    for i, files in plain.items():
+        rows = spark.read.schema(own[i]).options(**{**options, "multiLine": "false"}).option("header", True).option(
+            "lineSep", "\n").option("recursiveFileLookup", True).csv(files)
+        parts.append(rows.select(*project(None, {f.name: f.dataType for f in own[i]}, merged), F.lit(i).alias(LAYOUT)))
+    taken = [f for files in plain.values() for f in files]
+    rough = splits
+    if taken:
+        names = spark.createDataFrame([(f,) for f in taken], "file string")
+        rough = cut_lineage(splits.join(names, "file", "left_anti"))
+    if not taken or not rough.isEmpty():
+        row = F.lit(None)
+        for i, columns in enumerate(own):
+            parsed = F.from_csv("record", _ddl(columns), options)
+            made = F.struct(*project(parsed, {f.name: f.dataType for f in columns}, merged))
+            row = F.when(F.col("layout") == i, made).otherwise(row)
+        records = _records_of(spark, path, rough)
+        parts.append(records.select(row.alias("row"), F.col("layout").alias(LAYOUT)).select("row.*", LAYOUT))
+    return reduce(DataFrame.unionByName, parts), own
 
 
 def _ddl(columns: T.StructType) -> str:

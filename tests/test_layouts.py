@@ -73,3 +73,24 @@ def test_headers_only_odd_headers_and_nothing(spark, tmp_path):
     (tmp_path / "j.csv").write_text('"a\nb",c\n1,2\n')
     with pytest.raises(ValueError):
         layouts.read_files(spark, str(tmp_path / "j.csv"), None, "csv")
+
+
+def test_files_of_one_line_records_are_read_by_spark(spark, tmp_path, monkeypatch):
+    lines = ['1,"a ""b"" c",x', "", "2,,", '3," y ","é"', "4,z", "no,q,r"]
+    (tmp_path / "plain.csv").write_text("id,note,more\n" + "\n".join(lines) + "\n")
+    (tmp_path / "other.csv").write_bytes(b"\xef\xbb\xbfmore,id,extra\nm,5,e")
+    path, made = str(tmp_path), layouts._records_of
+    slow = made(spark, path, layouts._csv_splits(spark, path)[0]).count()
+    monkeypatch.setattr(layouts, "_records_of", lambda *a: pytest.fail("records are put together in Python"))
+    rows = layouts.read_files(spark, path, SCHEMA, "csv", extra=True)
+    want = [(1, 'a "b" c', "x", None), (2, None, None, None), (3, " y ", "é", None), (4, "z", None, None),
+            (None, "q", "r", None), (5, None, "m", "e")]
+    assert sorted(map(repr, map(tuple, rows.collect()))) == sorted(map(repr, want)) and slow == len(want)
+    # A line break, a carriage return or a blank line in one file leaves the others to Spark.
+    monkeypatch.setattr(layouts, "_records_of", made)
+    for i, text in enumerate(('6,"two\nlines",', "6,cr,\r", "   \n6,n,")):
+        (tmp_path / "rough.csv").write_text("id,note,more\n" + text + "\n", newline="")
+        splits, columns = layouts._csv_splits(spark, path)
+        assert len(layouts._plain_files(splits, [T.StructType([T.StructField(n, T.StringType()) for n in c]) for c in columns])) == 2
+        assert {r["file"].rsplit("/")[-1] for r in splits.filter("rough").collect()} == {"rough.csv"}
+        assert layouts.read_files(spark, path, SCHEMA, "csv").count() == len(want) + (2 if i == 2 else 1)
