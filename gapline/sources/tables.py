@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gapline.functions.times import format_time
+from gapline.operators.scale import free_shuffles
 from gapline.sources.layouts import read_files, source_drift
 from gapline.sources.schema import CORE_COLUMNS, STANDARD_NAMES, TIME_COLUMNS, clean_schema, raw_schema
 
@@ -46,8 +48,12 @@ def times_as_text(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
-                max_records_per_file: int = 5_000_000) -> None:
-    """Write in parallel, one or more files per task; nothing passes through the driver."""
+                max_records_per_file: int = 5_000_000, compression: str | None = None) -> None:
+    """Write in parallel, one or more files per task; nothing passes through the driver.
+
+    A gzip file is read by one task, so compressed files should hold fewer records.
+    """
+    spark, began = df.sparkSession, time.monotonic()
     if fmt == "csv":
         df = times_as_text(df)
         # All fields are quoted, so carriage returns and blanks stay; the empty string reads back as null.
@@ -56,7 +62,11 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
         writer = writer.option("ignoreTrailingWhiteSpace", False)
     else:
         writer = df.write
+    if compression is not None:
+        writer = writer.option("compression", compression)
     writer.option("maxRecordsPerFile", max_records_per_file).mode(mode).format(fmt).save(path)
+    del df, writer
+    free_shuffles(spark, began)
 
 
 def standard_names(df: DataFrame) -> DataFrame:
